@@ -1,0 +1,4 @@
+"""Placeholder until the record operators are in."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
