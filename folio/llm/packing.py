@@ -10,6 +10,7 @@ most `capacity` rows and a few sums ever reach the driver.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,10 +18,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm._common import Memo, slices, written
+from folio.llm._common import slices, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -31,39 +33,76 @@ ROUNDS = 6
 #: A bin with more free room than this share of the capacity is open: its documents may move.
 OPEN_SHARE = 1 / 64
 
-#: str.split() takes these for white space; the tokenizer does not.
-_SEPARATORS = tuple(map(chr, range(0x1C, 0x20)))
+#: Words that a Python worker remembers, some 200 bytes each, before it starts afresh.
+MEMO_WORDS = 1_200_000
+
+#: A character that stands on its own between words that are encoded together.
+_APART = "\x01"
 
 
 class WordTokenizer:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, by way of remembered words.
+    """Ids of whole texts by way of remembered words.
 
     For tokenizers that drop white space and never merge across it, which makes the ids of a text
-    those of its words. A text with a separator character, which str.split() would wrongly take
-    for white space, goes through the library as it is.
+    those of its words. Texts are split and their words numbered by Arrow; each distinct word is
+    looked up once, and numpy lays the words' ids end to end. Words not met before are encoded
+    together, as one text with a character between them whose id then tells them apart. A word
+    that holds this character, and a text with a separator character, which Arrow would wrongly
+    take for white space, go through the library on their own.
     """
 
-    def __init__(self, path: str):
-        import os
-
+    def __init__(self, path: str, entries: int = MEMO_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._library = Tokenizer.from_file(path)
-        self.words = Memo(lambda w: self._encode([w])[0])
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        plain = [not any(c in t for c in _SEPARATORS) for t in texts]
-        split = [t.split() if p else [] for t, p in zip(texts, plain, strict=True)]
-        missing = list({w for words in split for w in words if w not in self.words})
-        if len(self.words) + len(missing) > self.words._entries:
-            self.words.clear()
-        self.words.update(zip(missing, self._encode(missing), strict=True))
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) if p else self._encode([t])[0] for t, p, words in zip(texts, plain, split, strict=True)]
+        self._library, self._entries = Tokenizer.from_file(path), entries
+        (self._apart,) = self._ids(_APART)
+        self._forget()
+
+    def _forget(self) -> None:
+        """places: each word's number; its ids are store[ends[number - 1] : ends[number]]."""
+        self.places: dict[str, int] = {"": 0}
+        self._ends, self._store = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self._library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, missing: list[str]) -> None:
+        ids, sizes, order = [], [], [w for w in missing if _APART not in w]
+        for at in range(0, len(order), 4096):
+            found = self._ids(f" {_APART} ".join(order[at : at + 4096]))
+            apart = found == self._apart
+            sizes.append(np.diff(np.flatnonzero(np.concatenate(([True], apart, [True])))) - 1)
+            ids.append(found[~apart])
+        for w in missing:
+            if _APART in w:
+                order.append(w)
+                ids.append(self._ids(w))
+                sizes.append(np.array([len(ids[-1])]))
+        self.places.update(zip(order, range(len(self.places), len(self.places) + len(order)), strict=True))
+        self._ends = np.concatenate([self._ends, self._store.size + np.cumsum(np.concatenate(sizes))])
+        self._store = np.concatenate([self._store, *ids])
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, "[\x1c-\x1f]").to_numpy(zero_copy_only=False)
+        split = pc.utf8_split_whitespace(texts)
+        numbered = split.flatten().dictionary_encode()
+        words, index = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        missing = [w for w in words if w not in self.places]
+        if len(self.places) + len(missing) > self._entries:
+            self._forget()
+            missing = [w for w in words if w]
+        if missing:
+            self._learn(missing)
+        place = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        start = self._ends[np.maximum(place, 1) - 1]
+        size = np.where(place > 0, self._ends[place] - start, 0)[index]
+        after = np.cumsum(size)
+        laid = self._store[np.repeat(start[index] - (after - size), size) + np.arange(after[-1] if len(after) else 0)]
+        cuts = np.concatenate(([0], after))[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        return [self._ids(texts[i].as_py()) if odd[i] else laid[a:z] for i, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False))]
 
 
 @lru_cache(maxsize=2)
@@ -79,16 +118,16 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     Null text counts as empty: one piece that holds the end id.
     """
     key = docs.schema[id_col].dataType.simpleString()
-    end = np.asarray([end_id], "<u4").tobytes()
+    end = np.array([end_id], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(tokenizer_path).encode_all
-        for b in slices(batches):
+        encode = tokenizer(tokenizer_path).encode
+        for b in slices(batches, 1024):
             row, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(encode([t or "" for t in b.column(1).to_pylist()])):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
+            for i, ids in enumerate(encode(b.column(1))):
+                raw = np.append(ids, end).astype("<u4").tobytes()
+                for k, at in enumerate(range(0, len(raw), 4 * capacity)):
+                    part = raw[at : at + 4 * capacity]
                     row.append(i)
                     piece.append(k)
                     start.append(at // 4)
