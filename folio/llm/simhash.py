@@ -20,7 +20,6 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -100,26 +99,29 @@ def keyed(fps: np.ndarray, table: np.ndarray, groups: int, max_bits: int = MAX_B
     return np.stack(keys, 1).view(np.int64)
 
 
-def close_pairs(fps: np.ndarray, table: np.ndarray, max_bits: int = MAX_BITS, start: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i < j) at most max_bits apart, in runs; start: only pairs with i < start <= j.
+def close_pairs(fps: np.ndarray, table: np.ndarray, group: np.ndarray, max_bits: int = MAX_BITS, block: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) of one group and at most max_bits apart, in runs of bounded size.
 
-    Sorted by the first distance, each fingerprint meets those within max_bits of it there. One
-    reference after another discards pairs; the fingerprints themselves decide on those left.
+    Sorted by the first distance, each fingerprint of a group meets those within max_bits of it
+    there. One reference after another discards pairs; the fingerprints themselves decide on those
+    left. block: where it isn't negative, only pairs of different blocks are wanted.
     """
-    order = np.argsort(table[:, 0], kind="stable")
-    first = table[order, 0].astype(np.int16)
-    ends = np.searchsorted(first, first + max_bits, "right")
+    lead = group.astype(np.int64) * 512 + table[:, 0]
+    order = np.argsort(lead, kind="stable")
+    lead = lead[order]
+    n = np.searchsorted(lead, lead + max_bits, "right") - np.arange(len(order)) - 1
+    after = np.cumsum(n)
     at = 0
     while at < len(order):
-        sizes = np.cumsum(ends[at:] - np.arange(at, len(order)) - 1)
-        stop = at + max(1, int(np.searchsorted(sizes, 1 << 20)))
-        n = ends[at:stop] - np.arange(at, stop) - 1
-        i = np.repeat(np.arange(at, stop), n)
-        j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + i + 1
+        before = after[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(after, before + (1 << 20), "right")))
+        some = n[at:stop]
+        i = np.repeat(np.arange(at, stop), some)
+        j = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some) + i + 1
         i, j = order[i], order[j]
         i, j = np.minimum(i, j), np.maximum(i, j)
-        if start:
-            i, j = i[k := (i < start) & (j >= start)], j[k]
+        if block is not None:
+            i, j = i[k := (block[i] < 0) | (block[i] != block[j])], j[k]
         for p in range(1, table.shape[1], 4):
             if not len(i):
                 break
@@ -151,7 +153,8 @@ def link_fingerprints(nodes: DataFrame, max_bits: int = MAX_BITS, block_bits: in
     apart, directly or in steps; fingerprints are distinct. No link of nodes further apart is made
     but between ends of a chain of close ones."""
     pivots, kind = references(block_bits), nodes.schema["node"].dataType.simpleString()
-    groups = group_count(nodes.count(), max_bits)
+    n_nodes = nodes.count()
+    groups = group_count(n_nodes, max_bits)
 
     def tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,17 +172,39 @@ def link_fingerprints(nodes: DataFrame, max_bits: int = MAX_BITS, block_bits: in
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "fp", "distances")
 
-    def linked(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["own", "node"], kind="stable")
-        fps = g["fp"].to_numpy().view(np.uint64)
-        table = np.frombuffer(b"".join(g["distances"]), np.uint8).reshape(len(g), -1)
-        low, high = int(g["low"].iloc[0]), int(g["high"].iloc[0])
-        start = 0 if low == high else int((g["own"] == low).sum())
-        root = _roots(len(g), close_pairs(fps, table, max_bits, start))
-        node, moved = g["node"].to_numpy(), np.flatnonzero(root != np.arange(len(g)))
-        return pd.DataFrame({"a": node[moved], "b": node[root[moved]]})
-
-    return met.groupBy("key", "low", "high").applyInPandas(linked, f"a {kind}, b {kind}")
+    def linked(whole: pa.Table) -> pa.RecordBatch:
+        """Links within the groups of whole."""
+        fps = whole.column("fp").to_numpy().view(np.uint64)
+        table = np.frombuffer(b"".join(whole.column("distances").to_pylist()), np.uint8).reshape(len(fps), -1)
+        own, apart = whole.column("own").to_numpy(), whole.column("low").to_numpy() != whole.column("high").to_numpy()
+        root = _roots(len(fps), close_pairs(fps, table, np.cumsum(_starts(whole)), max_bits, np.where(apart, own, -1)))
+        moved = np.flatnonzero(root != np.arange(len(fps)))
+        node = whole.column("node").combine_chunks()
+        return pa.RecordBatch.from_arrays([node.take(pa.array(moved)), node.take(pa.array(root[moved]))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []  # rows of the group that the next batch may go on with
+        for b in batches:
+            whole = pa.Table.from_batches([*rest, b])
+            last = int(np.flatnonzero(_starts(whole))[-1]) if len(whole) else 0
+            if last:
+                yield linked(whole.slice(0, last))
+            rest = whole.slice(last).to_batches()
+        if rest:
+            yield linked(pa.Table.from_batches(rest))
+
+    # Many small groups go through one task together, in order; a group is bounded by two blocks.
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_nodes // 50_000))
+    grouped = met.repartition(tasks, "key", "low", "high").sortWithinPartitions("key", "low", "high", "own", "node")
+    return grouped.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _starts(whole: pa.Table) -> np.ndarray:
+    """Where a row begins a new group of key, low and high; the first row does."""
+    new = np.ones(len(whole), bool)
+    if len(whole):
+        new[1:] = np.logical_or.reduce([np.diff(whole.column(c).to_numpy()) != 0 for c in ("key", "low", "high")])
+    return new
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
