@@ -187,6 +187,8 @@ def calibrated_visits(tree: KMeansTree, exact: pd.DataFrame, qids: np.ndarray, q
     for i, vector in zip(qids, _unit(q), strict=True):
         place = {leaf: n for n, leaf in enumerate(tree.visit_order(vector), 1)}
         needed += [place[leaf] for leaf in exact.loc[exact["query_id"] == i, "leaf"]]
+    if not needed:
+        return tree.leaves, 1.0
     needed = np.sort(needed)
     for visits in range(1, tree.leaves + 1):
         recall = float((needed <= visits).mean())

@@ -1,0 +1,208 @@
+"""SimHash, quality, language model, toxicity, secrets against brute force or held-out labels."""
+
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from folio.llm import components, lm_score, quality, secret_scan, simhash, toxicity
+from folio.llm._common import Memo
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def words(text):
+    return re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+
+
+def plain_fingerprint(text):
+    w = words(text)
+    shingles = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_components(rows):
+    """rows of (id, fingerprint): smallest id of each component, by comparing all pairs."""
+    fps = np.array([f for _, f in rows], np.uint64)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 2) + i + 1:
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), k), k)
+    return [least[find(i)] for i in range(len(rows))]
+
+
+def test_fingerprints_and_components(spark, docs):
+    got = sorted(simhash.near_duplicates(docs).collect())
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = [(r.doc_id, int(r.fingerprint, 16)) for r in got]
+    assert all(plain_fingerprint(texts[i]) == f for i, f in rows[:200])
+    assert [r.component_id for r in got] == plain_components(rows)
+
+
+@pytest.mark.parametrize("task_nodes", [8, 4096])
+def test_links_of_clusters(spark, task_nodes):
+    rng = np.random.default_rng(3)
+    seeds = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+    fps = {int(s) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False)) for s in seeds for _ in range(20)}
+    rows = [(i, f) for i, f in enumerate(sorted(fps))]
+    nodes = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in rows], "node bigint, fp bigint")
+    links = simhash.link_fingerprints(nodes, task_nodes=task_nodes)
+    of = {r.node: r.component for r in components.connected_components(links).collect()}
+    assert [of.get(i, i) for i, _ in rows] == plain_components(rows)
+
+
+def test_components_of_a_path_and_of_nothing(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(70, 70), (None, 3), (80, 81)], "a bigint, b bigint")
+    got = {r.node: r.component for r in components.connected_components(path).collect()}
+    assert got == {**{i: 0 for i in range(61)}, 80: 80, 81: 80}
+    assert components.connected_components(path.limit(0)).count() == 0
+
+
+def test_simhash_of_odd_rows(odd, no_docs):
+    got = simhash.near_duplicates(odd).collect()
+    of = {(r.doc_id, r.component_id) for r in got}
+    assert len(got) == 10 and {(1, 1), (2, 1), (5, 1), (4, 4), (8, 4), (None, None)} <= of
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 6, 7]
+    assert simhash.near_duplicates(no_docs).count() == simhash.keep_one(no_docs).count() == 0
+
+
+def plain_quality(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    tri = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    covered = {i + k for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    dup = sum(x in lines[:i] for i, x in enumerate(lines)) if len(lines) < 500 else len(lines) - len(set(lines))
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(covered)
+
+
+def test_quality(spark, docs, odd, no_docs):
+    report = quality.quality_report(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in report.collect():
+        assert tuple(r[1:6]) == plain_quality(texts[r.doc_id])
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept)
+    labelled = report.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").filter("NOT base_failed")
+    assert labelled.filter((F.col("quality") == 1) != F.col("kept")).count() <= 0.02 * labelled.count()
+    assert sorted(tuple(r[1:6]) for r in quality.quality_report(odd).collect()) == sorted(plain_quality(r.text) for r in odd.collect())
+    assert quality.keep_good(odd).columns == odd.columns
+    assert quality.quality_report(no_docs).count() == quality.keep_good(no_docs).count() == 0
+
+
+def test_label_model_finds_accuracies():
+    rng = np.random.default_rng(0)
+    good = rng.random(20_000) < 0.8
+    right = [0.95, 0.9, 0.8, 0.7]
+    votes = np.stack([np.where(rng.random(len(good)) < 0.1, 2, np.where(rng.random(len(good)) < (a if a > 0.9 else 0.95), good, ~good)) for a in right], 1).astype(int)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    model = quality.fit_label_model(patterns, counts.astype(float))
+    assert ((model.posterior(votes) > 0.5) == good).mean() > 0.97 and abs(model.prior - 0.8) < 0.05
+    assert (model.accuracies() > 0.9).all()
+
+
+def test_trie_is_a_distribution():
+    texts = [b"abracadabra abra".split(), b"cadabra".split(), "é é".encode().split()]
+    keys, counts = np.unique(lm_score.gram_keys(texts, 3)[0], return_counts=True)
+    levels = []
+    for j in range(4):
+        g, at = np.unique(keys & lm_score._mask(j + 1), return_inverse=True)
+        levels.append((g, np.bincount(at, counts)))
+    trie = lm_score.Trie(levels)
+    for context in (b"abr", b"\xfe\xfe\xfe", b"zzz", b"rac", b"a a", b"bra"):
+        base = int.from_bytes(context, "big") << 8
+        assert (10 ** trie.log10(np.array([base + b for b in range(256)], np.uint64))).sum() == pytest.approx(1)
+
+
+@pytest.mark.parametrize("sent", [10, 200_000])
+def test_lm_scores(docs, sent):
+    d = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+    got = lm_score.score_documents(d, "h", max_sent_words=sent).collect()
+    texts = {r.doc_id: words(r.text) + [b"\n"] for r in docs.collect()}
+    held = {i for i in texts if zlib.crc32(str(i).encode()) % 7 == 2}
+    c = Counter(w for i, t in texts.items() if i not in held for w in t)
+    n, v = sum(c.values()), len(c)
+    for r in got:
+        t = texts[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (r.doc_id in held, len(t), sum(w in c for w in t), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) and r.score < 0
+    assert len(got) == len(texts)
+
+
+def test_lm_of_odd_rows(odd, no_docs):
+    got = lm_score.score_documents(odd.withColumn("h", F.lit(None).cast("boolean")), "h").collect()
+    assert len(got) == 10 and all(r.n_known == r.n_tokens and not r.held_out for r in got)
+    none = lm_score.score_documents(odd.withColumn("h", F.lit(True)), "h").collect()
+    empty = next(r for r in none if r.doc_id == 2)
+    assert (empty.n_tokens, empty.n_known, empty.train_tokens, empty.base_score) == (1, 0, 0, 0.0) and empty.score == pytest.approx(-math.log10(256))
+    assert lm_score.score_documents(no_docs.withColumn("h", F.lit(True)), "h").count() == 0
+
+
+def test_toxicity_generalises_to_misspellings():
+    rng = np.random.default_rng(1)
+    vocabulary = ["".join(rng.choice(list("aeioulmnrst"), 6)) for _ in range(400)]
+    bad = ["scumbag", "scumbags", "idiot", "idiotic", "idiots"]
+    texts, y = [], []
+    for i in range(400):
+        w = list(rng.choice(vocabulary, 60))
+        if i % 2:
+            w[int(rng.integers(60))] = str(rng.choice(bad))
+        texts.append(" ".join(w))
+        y.append(i % 2)
+    model = toxicity.fit_model(texts, y)
+    memo = Memo(model.word_logit)
+    base = " ".join(vocabulary[:50])
+    scores = model.scores(pa.array([base, base + " idiotz", base + " SCUMBAGGS!", None, " | "]), memo)
+    assert scores[0] < 0.5 < min(scores[1:3]) and scores[3] == scores[4] == model.empty
+
+
+def test_toxicity_on_tables(spark, docs, odd, no_docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit_toxicity(docs, labels.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    judged = toxicity.score_toxicity(docs, model).join(labels, "doc_id")
+    assert judged.filter("toxic = predicted").count() >= 0.93 * judged.count()
+    got = toxicity.score_toxicity(odd, model).collect()
+    assert len(got) == 10 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    kept = toxicity.drop_toxic(odd, model)
+    assert kept.columns == odd.columns and kept.count() == sum(r.predicted == 0 for r in got)
+    assert toxicity.score_toxicity(no_docs, model).count() == 0
+    none = toxicity.fit_toxicity(no_docs, labels.limit(0))
+    assert toxicity.score_toxicity(odd, none).filter("score > 0.001").count() == 0
+
+
+def test_secrets(spark, docs, odd, no_docs):
+    forest = secret_scan.fit_forest()
+    held = secret_scan.example_findings(1500, seed=77)
+    guess = forest.score(np.array([secret_scan.features(*f[:3]) for f in held])) >= 0.5
+    assert (guess == np.array([f[3] for f in held])).mean() > 0.97
+    known = re.compile(r"AKIA[A-Z0-9]{16}|(?<=password=)[0-9a-f]{18}|(?<=token = \")[0-9a-f]{40}")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    truth = {(i, m.start(), m.end() - m.start()) for i, t in texts.items() for m in known.finditer(t)}
+    found = {(r.doc_id, r.start, r.length) for r in secret_scan.find_secrets(docs, forest).filter("is_secret").collect()}
+    assert truth and truth == found
+    masked = secret_scan.mask_secrets(docs, forest)
+    assert masked.columns == docs.columns and not any(known.search(r.text) for r in masked.collect())
+    assert masked.filter(F.col("n_chars") == F.length("text")).count() == docs.filter(F.col("n_chars") == F.length("text")).count()
+    assert secret_scan.find_secrets(odd, forest).filter("doc_id = 6").count() == 0
+    assert secret_scan.mask_secrets(odd, forest).filter("text IS NULL").count() == 1 and secret_scan.find_secrets(no_docs, forest).count() == 0
