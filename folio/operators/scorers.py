@@ -5,11 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.domain import check_class_order
 from folio.functions.ranking import softmax
 from folio.operators.merge import EngineUnavailable
 
@@ -47,3 +50,43 @@ def all_or_nothing(answers: DataFrame, partial_ok: bool = False) -> DataFrame:
     if not partial_ok and (bad := answers.filter("erro IS NOT NULL").select("erro").first()):
         raise EngineUnavailable(bad[0])
     return answers.filter("erro IS NULL")
+
+
+def onnx_scores(tensors: DataFrame, model_path: str, side: int = 224, batch: int = 32) -> DataFrame:
+    """tensors(arquivo, tensor) with p, by an ONNX classifier of side x side x 3 float images.
+
+    The session is made once for each Python worker, and anew when the file has changed. Null
+    tensors get a null p."""
+    import os
+
+    stamp = os.path.getmtime(model_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session = _session(model_path, stamp)
+        name = session.get_inputs()[0].name
+        for b in batches:
+            tensors_, out = b.column(1).to_pylist(), [None] * b.num_rows
+            filled = [i for i, t in enumerate(tensors_) if t is not None]
+            for at in range(0, len(filled), batch):
+                some = filled[at : at + batch]
+                x = np.stack([np.frombuffer(tensors_[i], np.float32).reshape(side, side, 3) for i in some])
+                for i, row in zip(some, session.run(None, {name: x})[0], strict=True):
+                    out[i] = row.astype(float).tolist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], names=["arquivo", "p"])
+
+    return tensors.select("arquivo", "tensor").mapInArrow(run, "arquivo string, p array<double>")
+
+
+@lru_cache(maxsize=1)
+def _session(model_path: str, stamp: float):
+    import onnxruntime
+
+    return onnxruntime.InferenceSession(model_path, providers=["CPUExecutionProvider"])
+
+
+def read_model_metadata(spark: SparkSession, path: str) -> dict:
+    """A model's metadata file, with versao ("architecture vX"); its classes must be the catalogue's."""
+    schema = "versao_catalogo string, arquitetura string, tamanho_entrada array<int>, treinado_em string, acuracia_teste double, ids array<string>"
+    row = spark.read.schema(schema).option("multiLine", True).json(path).first().asDict()
+    check_class_order(row["ids"])
+    return row | {"versao": f"{row['arquitetura'] or 'desconhecida'} v{row['versao_catalogo'] or '?'}"}

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio import domain as D
+from folio import engine
 from folio.functions import ranking, text
 from folio.operators import classify, evaluate, labels, merge
 from folio.plans import fixtures as X
@@ -351,3 +352,37 @@ def vlm_validate(spark, sf):
 def vlm_record(spark, sf):
     parsed = classify.parse_answers(X.answers(spark, sf)).filter("valido")
     return classify.answers_to_records(parsed).select("pos", "arquivo", "especie", "diagnostico", "condicao", "confianca_texto", "sintomas", "observacoes")
+
+
+@query(f"WITH {X.CNN_SQL} SELECT pos, '{{\"arquivo\":\"' || arquivo || '\",\"condicao\":\"' || condicao || '\",\"confianca\":null}}' AS documento FROM cnn")
+def api_document(spark, sf):
+    record = X.cnn_records(spark, sf).withColumn("confianca", F.lit(None).cast("double"))
+    doc = F.from_json("documento", "arquivo string, condicao string, confianca double")
+    return engine.serialised(record).select("pos", F.to_json(doc, {"ignoreNullFields": "false"}).alias("documento"))
+
+
+@query("SELECT source, count(*) AS entradas, sum(n_chars)::BIGINT AS bytes, printf('%.1f KB', sum(n_chars) / 1024) AS texto FROM documents GROUP BY source")
+def size_totals(spark, sf):
+    d = X.table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("entradas"), F.sum("n_chars").alias("bytes"))
+    return d.withColumn("texto", F.format_string("%.1f KB", F.col("bytes") / 1024))
+
+
+@query("SELECT s_suppkey, ((row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 3)::INT AS linha FROM supplier")
+def page_groups(spark, sf):
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    return X.table(spark, sf, "supplier").select("s_suppkey", F.floor((F.row_number().over(w) - 1) / 3).cast("int").alias("linha"))
+
+
+@query("SELECT n_regionkey, string_agg(n_name || ':' || length(n_name), '|' ORDER BY n_name) || '|auto|0.6' AS assinatura FROM nation GROUP BY n_regionkey")
+def batch_signature(spark, sf):
+    pairs = F.array_sort(F.collect_list(F.struct("n_name", F.length("n_name").alias("n"))))
+    joined = F.array_join(F.transform(pairs, lambda x: F.concat(x["n_name"], F.lit(":"), x["n"].cast("string"))), "|")
+    return X.table(spark, sf, "nation").groupBy("n_regionkey").agg(F.concat(joined, F.lit("|auto|0.6")).alias("assinatura"))
+
+
+@query("SELECT p_partkey, coalesce(nullif(nullif(trim(CASE WHEN p_partkey % 3 = 0 THEN '  ' WHEN p_partkey % 3 = 1 THEN 'MUDE' ELSE ' ' || p_brand END), ''), 'MUDE'), 'desconhecida') || ' v' || p_size AS versao FROM part")
+def model_version(spark, sf):
+    k = F.col("p_partkey") % 3
+    raw = F.trim(F.when(k == 0, "  ").when(k == 1, "MUDE").otherwise(F.concat(F.lit(" "), "p_brand")))
+    known = F.coalesce(F.nullif(F.nullif(raw, F.lit("")), F.lit("MUDE")), F.lit("desconhecida"))
+    return X.table(spark, sf, "part").select("p_partkey", F.concat(known, F.lit(" v"), F.col("p_size").cast("string")).alias("versao"))
