@@ -2,13 +2,14 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from folio.llm import ann, quality, simhash, warc
-from folio.llm.queries import QUERIES
+from folio.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.01"
 
@@ -96,3 +97,12 @@ def test_pipeline(spark):
 
 def test_registered():
     assert [n.split("_")[0] for n in QUERIES] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+
+
+def test_warc_query_matches_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    cur = con.execute(ORACLE_SQL["op3_warc"])
+    got = QUERIES["op3_warc"](spark, SF)
+    assert [d[0] for d in cur.description] == got.columns
+    assert sorted(cur.fetchall()) == sorted(tuple(r) for r in got.collect())
