@@ -1,7 +1,7 @@
 """WARC archives with an externally merged capture index (operator 3).
 
-Pages become WARC/1.1 records that Spark writes as text files whose line separator is the end of a
-record: a distributed, committed write to any store that Spark writes to. Of captures with equal
+Pages become WARC/1.1 records that Spark writes as gzipped text files whose line separator is the
+end of a record: a distributed, committed write to any store that Spark writes to. Of captures with equal
 payloads the one with the smallest id is stored as a response, the others as revisits that refer
 to it. Reading goes by Content-Length, so payloads may hold anything.
 
@@ -13,6 +13,7 @@ one after another are the captures in global order.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
@@ -96,7 +97,7 @@ def record_text(captures: DataFrame) -> Column:
 
 
 def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", time_col: str | None = None) -> None:
-    """Write one record for each row of pages to .warc text files in path.
+    """Write one record for each row of pages to gzipped archives in path, each one gzip member.
 
     Null html is an empty payload; null urls are empty. Rows that share the smallest id of their
     payload are all responses. Other columns are not read. No rows make a folder without records.
@@ -104,7 +105,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES,
     captures = with_originals(digested(pages, id_col, url_col, html_col, time_col), min_bytes)
     records = captures.select(record_text(captures).alias("record"))
     # Records of a partition go to files of bounded size, since a file is read back as a whole.
-    records.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", _records_per_file(pages, html_col)).text(path)
+    records.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", _records_per_file(pages, html_col)).text(path)
 
 
 def _records_per_file(pages: DataFrame, html_col: str) -> int:
@@ -134,7 +135,9 @@ def url_key(url: str) -> str:
 
 
 def records_of(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of an archive."""
+    """Headers (names in lower case) and block of each record of an archive, gzipped or plain."""
+    if archive[:2] == b"\x1f\x8b":
+        archive = gzip.decompress(archive)
     at = 0
     while at < len(archive):
         end = archive.index(b"\r\n\r\n", at)
