@@ -361,10 +361,10 @@ def api_document(spark, sf):
     return engine.serialised(record).select("pos", F.to_json(doc, {"ignoreNullFields": "false"}).alias("documento"))
 
 
-@query("SELECT source, count(*) AS entradas, sum(n_chars)::BIGINT AS bytes, printf('%.1f KB', sum(n_chars) / 1024) AS texto FROM documents GROUP BY source")
+@query("SELECT source, count(*) AS entradas, sum(n_chars)::BIGINT AS bytes, printf('%.1f KB', floor(sum(n_chars) * 10 / 1024) / 10) AS texto FROM documents GROUP BY source")
 def size_totals(spark, sf):
     d = X.table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("entradas"), F.sum("n_chars").alias("bytes"))
-    return d.withColumn("texto", F.format_string("%.1f KB", F.col("bytes") / 1024))
+    return d.withColumn("texto", F.format_string("%.1f KB", F.floor(F.col("bytes") * 10 / 1024) / 10))
 
 
 @query("SELECT s_suppkey, ((row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 3)::INT AS linha FROM supplier")
