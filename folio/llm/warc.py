@@ -30,6 +30,8 @@ RECORD_END = "\r\n\r\n"
 FILE_BYTES = 32 << 20
 #: Payloads of at least so many bytes may be stored once for all their captures.
 MIN_REVISIT_BYTES = 0
+#: Captures of a range that one task merges, about.
+RANGE_CAPTURES = 50_000
 #: When captures without a time of their own were made.
 CAPTURED = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -239,8 +241,9 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     """The captures of sorted runs in global order of URL key, timestamp and id.
 
     Ranges of the key are the partitions; their order is the order of the captures. A URL that was
-    captured very often still spreads over ranges, by timestamp and id. Within a range the rows
-    are first put back into runs, then a loser tree merges those.
+    captured very often still spreads over ranges, by timestamp and id. Their number grows with
+    that of the captures. Within a range the rows are first put back into runs, then a loser tree
+    merges those.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -259,7 +262,8 @@ def merge_runs(runs: DataFrame) -> DataFrame:
         if rows:
             yield pd.DataFrame(rows, columns=_CAPTURE)
 
-    ranged = runs.repartitionByRange("urlkey", "timestamp", "page_id").sortWithinPartitions("run", "urlkey", "timestamp", "page_id")
+    ranges = max(runs.sparkSession.sparkContext.defaultParallelism, -(-runs.count() // RANGE_CAPTURES))
+    ranged = runs.repartitionByRange(ranges, "urlkey", "timestamp", "page_id").sortWithinPartitions("run", "urlkey", "timestamp", "page_id")
     return ranged.mapInPandas(run, _SCHEMA)
 
 
