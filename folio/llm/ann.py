@@ -5,7 +5,7 @@ query goes through the tree best bin first: a priority queue holds the branches
 their distance, and the nearest is opened next, which gives the order in which the query would
 visit all leaves. How many it does visit is widened until the recall on a calibration set, against
 brute force over all rows, reaches the target. Visits and vectors meet by leaf; a leaf that holds
-very many vectors is split into blocks.
+very many vectors is split into blocks, and many queries into lots.
 """
 
 from __future__ import annotations
@@ -23,17 +23,21 @@ from pyspark.sql import functions as F
 from folio.llm._common import written
 
 K = 5
-#: Vectors that the tree is fitted on, about: those whose hashed id falls under their share of all.
-SAMPLE = 8192
 BRANCHES = 8
-LEAVES = 128
+#: The tree has a leaf for so many vectors, but never fewer or more leaves than these.
+LEAF_VECTORS = 512
+LEAVES, MAX_LEAVES = 128, 2048
+#: Vectors for each leaf that the tree is fitted on, about: those whose hashed id falls under
+#: their share of all. With the most leaves it is fitted on 131,072.
+SAMPLE_PER_LEAF = 64
 #: Queries on which recall is measured, and what it has to be.
 CALIBRATION = 128
 TARGET_RECALL = 0.97
 #: Vectors of a leaf that one task searches; larger leaves are split.
 BLOCK_VECTORS = 8192
-#: Leaves that are searched by one task together.
+#: Leaves that are searched by one task together, and most queries, about, that it answers.
 LEAVES_TOGETHER = 4
+QUERIES_TOGETHER = 16384
 
 
 @dataclass
@@ -197,7 +201,7 @@ def calibrated_visits(tree: KMeansTree, exact: pd.DataFrame, qids: np.ndarray, q
     return visits, recall
 
 
-def nearest_neighbours(vectors: DataFrame, query_every: int = 50, k: int = K, target_recall: float = TARGET_RECALL, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, query_every: int = 50, k: int = K, target_recall: float = TARGET_RECALL, sample_per_leaf: int = SAMPLE_PER_LEAF, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by query_every its k
     nearest rows found, nearest first, equal ones by id; all the others, if these are fewer.
 
@@ -217,9 +221,10 @@ def nearest_neighbours(vectors: DataFrame, query_every: int = 50, k: int = K, ta
     base = base.groupBy("vec_id").agg(F.min("v").alias("v"))
     is_query = F.col("vec_id") % query_every == 0
 
-    share = min(1.0, sample / lengths[1])
+    leaves = min(MAX_LEAVES, max(LEAVES, lengths[1] // LEAF_VECTORS))
+    share = min(1.0, sample_per_leaf * leaves / lengths[1])
     drawn = base.filter(F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec_id", "v").toArrow().sort_by("vec_id")
-    tree = KMeansTree(_unit(_matrix(drawn.column("v").combine_chunks())))
+    tree = KMeansTree(_unit(_matrix(drawn.column("v").combine_chunks())), leaves=leaves)
     shared = spark.sparkContext.broadcast(tree)
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,6 +242,7 @@ def nearest_neighbours(vectors: DataFrame, query_every: int = 50, k: int = K, ta
     # No fewer leaves than hold k others: a small leaf alone could not fill the result.
     sizes = dict(index.groupBy("leaf").count().collect())  # one row for each leaf
     blocks = {leaf: -(-n // BLOCK_VECTORS) for leaf, n in sizes.items()}
+    lots = max(1, -(-index.filter(is_query).count() // QUERIES_TOGETHER))
 
     def visiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -258,8 +264,10 @@ def nearest_neighbours(vectors: DataFrame, query_every: int = 50, k: int = K, ta
             yield pa.RecordBatch.from_arrays([pa.array(ids[row] if len(row) else [], pa.int64()), b.column(1).take(pa.array(row, pa.int64())), pa.array(groups, pa.int32()), pa.array(block, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], names=["query_id", "q", "g", "block", "leaves"])
 
     visits_of = index.filter(is_query).select("vec_id", "v").mapInArrow(visiting, "query_id bigint, q array<double>, g int, block int, leaves array<int>")
-    parts = F.element_at(F.create_map(*[F.lit(int(x)) for pair in sorted(blocks.items()) for x in pair]), F.col("leaf"))
+    visits_of = visits_of.withColumn("lot", F.pmod(F.xxhash64("query_id", F.lit(17)), F.lit(lots)).cast("int"))
+    parts = F.element_at(F.array(*[F.lit(blocks.get(leaf, 1)) for leaf in range(tree.leaves)]), F.col("leaf") + 1)
     members = index.withColumn("g", F.floor(F.col("leaf") / LEAVES_TOGETHER).cast("int")).withColumn("block", F.pmod(F.xxhash64("vec_id"), parts).cast("int"))
+    members = members.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
 
     def search(m: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         found = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})]
@@ -272,5 +280,5 @@ def nearest_neighbours(vectors: DataFrame, query_every: int = 50, k: int = K, ta
         whole = pd.concat(found)
         return whole.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
 
-    found = visits_of.groupBy("g", "block").cogroup(members.groupBy("g", "block")).applyInPandas(lambda v, m: search(m, v), "query_id bigint, vec_id bigint, score double")
+    found = visits_of.groupBy("g", "block", "lot").cogroup(members.groupBy("g", "block", "lot")).applyInPandas(lambda v, m: search(m, v), "query_id bigint, vec_id bigint, score double")
     return _best(found, k).select("query_id", "rank", "vec_id", "score")
