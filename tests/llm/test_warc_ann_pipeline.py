@@ -69,6 +69,24 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.nearest_neighbours(one).count() == 0
 
 
+def test_neighbours_do_not_depend_on_lots_and_blocks(spark, monkeypatch):
+    d = spark.read.parquet(f"{SF}/embeddings.parquet")
+    monkeypatch.setattr(ann, "LEAVES", 16)
+    monkeypatch.setattr(ann, "LEAF_VECTORS", 10)  # more leaves than the fewest
+    found = lambda: sorted(tuple(r) for r in ann.nearest_neighbours(d, query_every=10).collect())
+    whole = found()
+    monkeypatch.setattr(ann, "QUERIES_TOGETHER", 20)
+    monkeypatch.setattr(ann, "BLOCK_VECTORS", 8)
+    assert found() == whole and len(whole) == 5 * d.filter("vec_id % 10 = 0").count()
+
+
+def test_captures_are_in_global_order_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_CAPTURES", 3)
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    captures = [tuple(r) for r in warc.archive_and_index(pages).collect()]
+    assert len(captures) == pages.count() and captures == sorted(captures, key=warc._order)
+
+
 def test_best_bin_first_visits_every_leaf_once():
     x = np.random.default_rng(0).normal(size=(2000, 8))
     tree = ann.KMeansTree(x, leaves=40)
