@@ -12,12 +12,17 @@ all coordinates of some choice of the other groups: that is the key by which the
 Equal fingerprints are one node, so that copies are never paired; a task links its nodes to the
 smallest one that it can reach, so that it emits fewer links than it has nodes; groups of nodes
 beyond a size are split into blocks, and every two blocks meet in a task of their own.
+
+keep_one() removes near-duplicates by the Jaccard similarity of their word shingles, which 64 bits
+are too few to key: at similarity 0.8 fingerprints differ in some ten bits. There, texts meet by
+bands of minimum hashes, the distance tables discard pairs by a wide radius, and the shingle sets
+themselves decide.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +40,18 @@ BLOCK_BITS = 2
 #: Nodes of a key that one task compares; more are split into blocks of so many.
 TASK_NODES = 4096
 
+#: Near-duplicates of keep_one(): words of a shingle, and the least Jaccard similarity.
+NEAR_WORDS = 5
+SIMILARITY = 0.8
+#: Minimum hashes: so many bands of so many. A pair at similarity 0.8 shares no band, and is
+#: missed, once in some 2,800 times.
+BANDS, BAND_HASHES = 20, 5
+#: Bits by which fingerprints of sets at similarity 0.8 may differ: the mean is 10, and more than 22
+#: occur once in some 17,000 times.
+NEAR_BITS = 22
+#: Shingles of a key's nodes that make a block, besides TASK_NODES.
+TASK_SHINGLES = 2_000_000
+
 
 def fingerprint(text: str, width: int = SHINGLE_WORDS) -> int:
     """64-bit SimHash: a bit is 1 if set in over half the XXH64 hashes of the word shingles.
@@ -183,15 +200,7 @@ def link_fingerprints(nodes: DataFrame, max_bits: int = MAX_BITS, block_bits: in
         return pa.RecordBatch.from_arrays([node.take(pa.array(moved)), node.take(pa.array(root[moved]))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []  # rows of the group that the next batch may go on with
-        for b in batches:
-            whole = pa.Table.from_batches([*rest, b])
-            last = int(np.flatnonzero(_starts(whole))[-1]) if len(whole) else 0
-            if last:
-                yield linked(whole.slice(0, last))
-            rest = whole.slice(last).to_batches()
-        if rest:
-            yield linked(pa.Table.from_batches(rest))
+        yield from _whole_groups(batches, linked)
 
     # Many small groups go through one task together, in order; a group is bounded by two blocks.
     tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_nodes // 50_000))
@@ -199,6 +208,19 @@ def link_fingerprints(nodes: DataFrame, max_bits: int = MAX_BITS, block_bits: in
     return grouped.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], linked: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """linked() of whole groups of key, low and high, which come in order."""
+    rest: list[pa.RecordBatch] = []  # rows of the group that the next batch may go on with
+    for b in batches:
+        whole = pa.Table.from_batches([*rest, b])
+        last = int(np.flatnonzero(_starts(whole))[-1]) if len(whole) else 0
+        if last:
+            yield linked(whole.slice(0, last))
+        rest = whole.slice(last).to_batches()
+    if rest:
+        yield linked(pa.Table.from_batches(rest))
+
+
 def _starts(whole: pa.Table) -> np.ndarray:
     """Where a row begins a new group of key, low and high; the first row does."""
     new = np.ones(len(whole), bool)
@@ -224,11 +246,133 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "do
     return rows.join(of_fp, rows["fp"] == of_fp["of"], "left").select(F.col(id_col), hexed.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_set(text: str, width: int = NEAR_WORDS) -> np.ndarray:
+    """XXH64 hashes of the distinct word shingles, in order; words as for fingerprint()."""
+    words = text.encode().lower().split()
+    shingles = set(map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))) if len(words) > width else {b" ".join(words)}
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles)))
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of distinct shingles."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+_FACTOR, _PLUS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_HASHES), np.uint64)
+_FACTOR = 2 * _FACTOR + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key for each band of minimum hashes of a shingle set."""
+    least = np.full(len(_FACTOR), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1 << 12):
+        least = np.minimum(least, (hashes[at : at + (1 << 12), None] * _FACTOR + _PLUS).min(0))
+    return [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(least.reshape(BANDS, BAND_HASHES))]
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
+    """Whether two shingle sets have at least that Jaccard similarity."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)) - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both) - 1e-9
+
+
+def _similar_roots(sets: list[np.ndarray], pairs: Iterator[tuple[np.ndarray, np.ndarray]], least: float) -> np.ndarray:
+    """Smallest index that each index reaches by pairs of similar sets; pairs already joined are not compared."""
+    root = np.arange(len(sets))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, j in pairs:
+        for at in range(0, len(i), 4096):
+            while (again := root[root]).tobytes() != root.tobytes():
+                root[:] = again
+            x, y = i[at : at + 4096], j[at : at + 4096]
+            x, y = x[k := root[x] != root[y]], y[k]
+            for a, b in zip(x.tolist(), y.tolist(), strict=True):
+                if (p := find(a)) != (q := find(b)) and similar(sets[a], sets[b], least):
+                    root[max(p, q)] = min(p, q)
+    while (again := root[root]).tobytes() != root.tobytes():
+        root[:] = again
+    return root
+
+
+def link_similar(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, width: int = NEAR_WORDS, task_nodes: int = TASK_NODES, task_shingles: int = TASK_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b): links that join all nodes(whole, node, fp, size, keys) that share a key and whose
+    shingle sets are similar, directly or in steps. Sets are worked out again from docs, only for
+    nodes that share a key with others."""
+    pivots, kind = references(), nodes.schema["node"].dataType.simpleString()
+    spread = nodes.select("whole", "node", "fp", "size", F.explode("keys").alias("key"))
+    ident = [F.bit_xor(F.xxhash64("whole")).alias("x"), F.bit_xor(F.xxhash64("node", "whole")).alias("y")]
+    sizes = spread.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), *ident).filter("n > 1")
+    # Near copies share most of their keys: of keys with the same nodes, one is enough.
+    sizes = written(sizes.groupBy("n", "shingles", "x", "y").agg(F.min("key").alias("key")), "bands")
+    blocks = F.greatest(F.ceil(F.col("n") / F.lit(task_nodes)), F.ceil(F.col("shingles") / F.lit(task_shingles)), F.lit(1)).cast("int")
+    met = written(spread.join(sizes.select("key", blocks.alias("blocks")), "key"), "met")
+    n_met = met.count()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            found = [shingle_set(t or "", width).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_digest, found), pa.binary()), pa.array(found, pa.binary())], names=["node", "whole", "shingle_set"])
+
+    wanted = met.select("node").distinct()
+    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).cast("string").alias("t")).join(wanted, "node", "left_semi")
+    found = texts.mapInArrow(sets, f"node {kind}, whole binary, shingle_set binary").dropDuplicates(["node", "whole"]).drop("node")
+    own = F.pmod(F.xxhash64("whole"), F.col("blocks")).cast("int")
+    met = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "whole", "node", "fp").join(found, "whole").drop("whole")
+
+    def linked(whole: pa.Table) -> pa.RecordBatch:
+        """Links within the groups of whole."""
+        fps = whole.column("fp").to_numpy().view(np.uint64)
+        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in whole.column("shingle_set")]
+        own, apart = whole.column("own").to_numpy(), whole.column("low").to_numpy() != whole.column("high").to_numpy()
+        pairs = close_pairs(fps, distance_table(fps, pivots), np.cumsum(_starts(whole)), NEAR_BITS, np.where(apart, own, -1))
+        root = _similar_roots(held, pairs, similarity)
+        moved = np.flatnonzero(root != np.arange(len(fps)))
+        node = whole.column("node").combine_chunks()
+        return pa.RecordBatch.from_arrays([node.take(pa.array(moved)), node.take(pa.array(root[moved]))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _whole_groups(slices(batches), linked)
+
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_met // 20_000))
+    grouped = met.repartition(tasks, "key", "low", "high").sortWithinPartitions("key", "low", "high", "own", "node")
+    return grouped.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _digest(shingles: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(shingles)
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = NEAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each near-duplicate component, that with the smallest id, with all columns of
-    documents and no others. Rows that share that id: one of them. Rows with a null id stay."""
-    found = near_duplicates(docs, max_bits, id_col, text_col)
-    kept = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("kept_id")).distinct()
+    documents and no others. Rows that share that id: one of them. Rows with a null id stay.
+
+    Near-duplicates have at least that Jaccard similarity of their sets of word shingles, directly
+    or in steps; texts without words are equal."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [shingle_set(t or "", width) for t in b.column(1).to_pylist()]
+            fps = np.array([set_fingerprint(s) for s in sets], np.uint64).view(np.int64)
+            arrays = [b.column(0), pa.array([_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(fps), pa.array(map(len, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["node", "whole", "fp", "size", "keys"])
+
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(sketch, f"node {kind}, whole binary, fp bigint, size bigint, keys array<bigint>")
+    # Equal sets are one node; what else is told of them is equal, too.
+    nodes = written(rows.groupBy("whole").agg(F.min("node").alias("node"), *[F.first(c).alias(c) for c in ("fp", "size", "keys")]), "nodes")
+    components = connected_components(link_similar(docs, nodes, similarity, width, id_col=id_col, text_col=text_col))
+    kept = nodes.join(components, "node", "left").filter(F.coalesce("component", "node") == F.col("node")).select(F.col("node").alias("kept_id")).distinct()
     have_id = docs.filter(F.col(id_col).isNotNull())
     stay = have_id.join(kept, have_id[id_col] == kept["kept_id"], "left_semi")
     n = scratch_name(docs, "n")

@@ -89,6 +89,25 @@ def test_simhash_of_odd_rows(odd, no_docs):
     assert simhash.near_duplicates(no_docs).count() == simhash.keep_one(no_docs).count() == 0
 
 
+def test_keep_one_by_similarity(spark):
+    """Copies with scattered changes, more than 2 of 64 bits apart, against all pairs."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(60, 300))]
+        for share in (0.0, 0.01, 0.02, 0.03, 0.05):
+            rows.append(" ".join(f"v{rng.integers(5000)}" if rng.random() < share else w for w in base))
+    rows += ["a b", "A  b", "", " \n", "x y z " * 200, "x y z " * 300]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words(t) for t in rows)]
+    group = list(range(len(rows)))
+    for i, j in ((i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+        low, high = sorted((group[i], group[j]))
+        group = [low if g == high else g for g in group]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    kept = sorted(r.doc_id for r in simhash.keep_one(d).collect())
+    assert kept == sorted(set(group)) and len(kept) < simhash.near_duplicates(d).select("component_id").distinct().count()
+
+
 def plain_quality(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     tri = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
