@@ -7,11 +7,15 @@ never seen share the n-gram vectors of those that were. A text is as toxic as it
 a long text a few words would vanish in the average over all of it. Labels are of texts, so
 training goes back and forth between finding each text's worst window and learning from those.
 
+A run without blanks that is longer than WORD_CHARS is split at marks, and what is still longer into
+overlapping pieces; each counts as a word, so that nothing of it is left out or vanishes in it.
+
 Scoring covers whole texts of all rows. Only the fit uses a bounded sample of the labelled rows.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +31,8 @@ from folio.llm._common import Memo, slices
 
 #: Words of a window.
 WINDOW = 3
+#: Characters of a word; longer runs are split, into pieces that begin half as many apart.
+WORD_CHARS = 64
 NGRAMS = (3, 4, 5)
 BUCKETS = 1 << 18
 DIM = 8
@@ -56,7 +62,20 @@ def words(text: str) -> list[str]:
 
 
 def clean_word(raw: str) -> str:
-    return raw.strip(_EDGE)[:64]
+    return raw.strip(_EDGE)
+
+
+_MARKS = re.compile(f"[{re.escape(_EDGE)}]+")
+
+
+def split_run(raw: str) -> list[str]:
+    """The words of a run without blanks, in lower case: itself, or its parts and overlapping pieces
+    of them if it is too long; none where nothing but marks stands there."""
+    w = clean_word(raw.lower())
+    if len(w) <= WORD_CHARS:
+        return [w] if w else []
+    step = WORD_CHARS // 2
+    return [p[at : at + WORD_CHARS] for p in _MARKS.split(w) if p for at in range(0, max(1, len(p) - step), step)]
 
 
 def window_means(scores: np.ndarray) -> np.ndarray:
@@ -88,10 +107,18 @@ class ToxicityModel:
         splits the texts and numbers their words, so that each distinct one is looked up once."""
         split = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
         numbered = split.flatten().dictionary_encode()
-        some = numbered.dictionary.to_pylist()
-        of = np.fromiter(map(memo.__getitem__, some), np.float64, len(some))[numbered.indices.to_numpy()]
+        some, at = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        ends = split.offsets.to_numpy() - split.offsets[0].as_py()
+        if max(map(len, some), default=0) > WORD_CHARS:
+            parts = [[w] if len(w) <= WORD_CHARS else split_run(w) for w in some]
+            size = np.fromiter(map(len, parts), np.int64, len(parts))
+            begin, n = (np.cumsum(size) - size)[at], size[at]
+            after = np.concatenate(([0], np.cumsum(n)))
+            at, ends = np.arange(after[-1]) + np.repeat(begin - after[:-1], n), after[ends]
+            some = [w for p in parts for w in p]
+        of = np.fromiter(map(memo.__getitem__, some), np.float64, len(some))[at]
         real = ~np.isnan(of)
-        cuts = np.concatenate(([0], np.cumsum(real)))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        cuts = np.concatenate(([0], np.cumsum(real)))[ends]
         of = of[real]
         worst = [float(window_means(of[a:z]).max()) if z > a else None for a, z in zip(cuts, cuts[1:], strict=False)]
         return [self.empty if w is None else float(1 / (1 + np.exp(-np.clip(self.scale * (w + self.bias), -500, 500)))) for w in worst]
@@ -106,9 +133,7 @@ class _Sample:
         self.docs = []
         for text in texts:
             ids = []
-            for raw in words(text):
-                if not (w := clean_word(raw)):
-                    continue
+            for w in (w for raw in words(text) for w in split_run(raw)):
                 i = number.get(w)
                 if i is None:
                     i = number[w] = len(rows)

@@ -195,6 +195,13 @@ def test_toxicity_generalises_to_misspellings():
     scores = model.scores(pa.array([base, base + " idiotz", base + " SCUMBAGGS!", None, " | "]), memo)
     assert scores[0] < 0.5 < min(scores[1:3]) and scores[3] == scores[4] == model.empty
 
+    # What stands behind the 64th character of a run without blanks counts, with or without marks.
+    runs = ["lorem," * 14 + "idiot," * 50, "lorem," * 500 + "idiot,scumbag,idiots", base.replace(" ", "_"), "漢" * 150 + "idiotidiotidiotidiotidiotidiot"]
+    alone = [model.scores(pa.array([r]), memo)[0] for r in runs]
+    assert alone[0] > 0.5 and alone[1] > 0.5 > alone[2] and alone[3] > model.scores(pa.array(["漢" * 150]), memo)[0]
+    assert model.scores(pa.array(["x", *runs, None, "," * 99]), memo)[1:] == [*alone, model.empty, model.empty]
+    assert toxicity.split_run("a" * 64) == ["a" * 64] and "".join(p[:32] for p in toxicity.split_run("abcde" * 40)) == ("abcde" * 40)[:192] and toxicity.split_run("abcde" * 40)[-1].endswith("e")
+
 
 def test_toxicity_on_tables(spark, docs, odd, no_docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
