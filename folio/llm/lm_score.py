@@ -8,6 +8,11 @@ context also followed its suffixes, so what is excluded at one length is just wh
 context one byte longer; its mass is worked out once for each context, and whole arrays of bytes
 are scored at a time.
 
+All grams count. Up to MAX_GRAMS the whole trie is sent to every task. Beyond it, the scores of the
+more frequent ones are sent, and all other grams of a text meet the counts of the grams with the
+same SPLIT bytes before the last in one task, which holds those parts of the trie that decide on
+them; so scores don't depend on where the limit lies.
+
 Beside it stands the base, a unigram model of words with add-one smoothing. Words are counted over
 all training documents; the more frequent ones are sent to every task, up to a fixed number, and
 the rest are joined.
@@ -29,9 +34,12 @@ ORDER = 5
 #: Bytes that no UTF-8 text holds: before a text, and after it.
 PAD, END = 0xFE, 0xFF
 SYMBOLS = 256
-#: Room of the trie: contexts' followers that occur too seldom for so many to fit are left to
-#: shorter contexts, whose counts are still those of all the text.
+#: Grams that are sent to every task; others are joined.
 MAX_GRAMS = 4_000_000
+#: Bytes of context by which joined grams are dealt out; levels of fewer bytes are sent to all.
+SPLIT = 3
+#: Counted grams for each task that joins, at most about.
+TASK_GRAMS = 2_000_000
 #: Words that are sent to every task.
 MAX_SENT_WORDS = 200_000
 #: The one token that no word can be: the end of a text.
@@ -63,16 +71,28 @@ class Trie:
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
         self.levels = []
-        for j, (grams, counts) in enumerate(levels):
-            at = np.argsort(grams)
-            grams, counts = grams[at], _narrow(counts[at])
-            contexts, of = np.unique(grams >> np.uint64(8), return_inverse=True)
-            total, distinct = np.bincount(of, counts, len(contexts)), np.bincount(of, minlength=len(contexts))
-            ruled_out = np.zeros(len(contexts))
-            if j and len(grams):  # count, one byte of context less, of all that followed this one
-                shorter, n = self.levels[-1][:2]
-                ruled_out = np.bincount(of, n[np.searchsorted(shorter, grams & _mask(j))], len(contexts))
-            self.levels.append((grams, counts, contexts, _narrow(total), _narrow(distinct), _narrow(ruled_out)))
+        for level in levels:
+            self._add(*level)
+
+    def _add(self, grams: np.ndarray, counts: np.ndarray) -> None:
+        j, at = len(self.levels), np.argsort(grams)
+        grams, counts = grams[at], _narrow(counts[at])
+        contexts, of = np.unique(grams >> np.uint64(8), return_inverse=True)
+        total, distinct = np.bincount(of, counts, len(contexts)), np.bincount(of, minlength=len(contexts))
+        ruled_out = np.zeros(len(contexts))
+        if j and len(grams):  # count, one byte of context less, of all that followed this one
+            shorter, n = self.levels[-1][:2]
+            ruled_out = np.bincount(of, n[np.searchsorted(shorter, grams & _mask(j))], len(contexts))
+        self.levels.append((grams, counts, contexts, _narrow(total), _narrow(distinct), _narrow(ruled_out)))
+
+    def with_grams(self, grams: np.ndarray, counts: np.ndarray, order: int) -> Trie:
+        """These levels, and those up to the order of the grams given."""
+        more = Trie([])
+        more.levels = list(self.levels)
+        while len(more.levels) <= order:
+            keys, at = np.unique(grams & _mask(len(more.levels) + 1), return_inverse=True)
+            more._add(keys, np.bincount(at, counts, len(keys)))
+        return more
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """log10 of the probability of each key's last byte after the bytes before it."""
@@ -107,11 +127,14 @@ def _mask(n: int) -> np.uint64:
     return np.uint64((1 << 8 * n) - 1)
 
 
-def text_scores(trie: Trie, texts: list[list[bytes]]) -> np.ndarray:
-    """log10 probability of each text; every distinct gram of the batch is scored once."""
-    keys, of = gram_keys(texts, len(trie.levels) - 1)
+def text_scores(model: Trie | Sent, texts: list[list[bytes]], order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(score, grams, times): log10 probability of each text, without that of the grams that the
+    model leaves open, which are listed. Every distinct gram of the batch is scored once."""
+    keys, of = gram_keys(texts, order)
     distinct, at = np.unique(keys, return_inverse=True)
-    return np.bincount(of, trie.log10(distinct)[at], len(texts))
+    score = model.log10(distinct)[at]
+    known = ~np.isnan(score)
+    return np.bincount(of[known], score[known], len(texts)), *left_over(of[~known], keys[~known], len(texts))
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -170,19 +193,87 @@ def _least_count(counts: DataFrame, room: int) -> int:
     return least if total > n else 1 << 62
 
 
-def read_trie(counts: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> Trie:
-    """The trie of counted grams. Rows of one least count stay at all lengths, so that followers of
-    a context always follow its suffixes, too."""
-    grams = counts.filter("gram IS NOT NULL")
-    least = _least_count(grams, max_grams)
+def read_trie(grams: DataFrame, order: int = ORDER) -> Trie:
+    """The trie of all counted grams, of contexts of up to order bytes."""
     levels = []
     for j in range(order + 1):
-        level = grams.groupBy(F.col("gram").bitwiseAND(int(_mask(j + 1))).alias("g")).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        table = level.toArrow()
+        table = grams.groupBy(F.col("gram").bitwiseAND(int(_mask(j + 1))).alias("g")).agg(F.sum("n").alias("n")).toArrow()
         levels.append((table.column("g").to_numpy().astype(np.uint64), table.column("n").to_numpy()))
     return Trie(levels)
 
 
+class Sent:
+    """log10 of the probabilities of some grams that occurred in training."""
+
+    def __init__(self, grams: np.ndarray, scores: np.ndarray):
+        at = np.argsort(grams)
+        self.grams, self.scores = grams[at], scores[at]
+
+    def log10(self, keys: np.ndarray) -> np.ndarray:
+        """As Trie.log10; not a number for other grams."""
+        if not len(self.grams):
+            return np.full(len(keys), np.nan)
+        g = np.minimum(np.searchsorted(self.grams, keys), len(self.grams) - 1)
+        return np.where(self.grams[g] == keys, self.scores[g], np.nan)
+
+
+def read_frequent(grams: DataFrame, least: int) -> Sent:
+    """Scores of the grams that occurred so often; all grams count in their contexts."""
+    context = F.shiftrightunsigned("gram", 8)
+    total = grams.groupBy(context.alias("context")).agg(F.sum("n").alias("total"))
+    often = grams.filter(F.col("n") >= least).withColumn("context", context).join(total, "context")
+    table = often.select("gram", F.log10((2.0 * F.col("n") - 1) / (2.0 * F.col("total"))).alias("score")).toArrow()
+    return Sent(table.column("gram").to_numpy().astype(np.uint64), table.column("score").to_numpy())
+
+
+def left_over(of: np.ndarray, keys: np.ndarray, texts: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each text, its distinct keys and how often each occurs; of: the text of each key."""
+    order = np.lexsort((keys, of))
+    of, keys = of[order], keys[order].astype(np.int64)
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (keys[1:] != keys[:-1])
+    first = np.flatnonzero(new)
+    times, cuts = np.diff(np.append(first, len(of))), np.searchsorted(of[first], np.arange(1, texts))
+    return np.split(keys[first], cuts), np.split(times, cuts)
+
+
+def score_joined(wanted: DataFrame, grams: DataFrame, low: Trie, order: int, tasks: int) -> DataFrame:
+    """(row, score): log10 of the probability of wanted(row, gram, times), summed in each row in
+    parts. low has the levels of all grams with less than SPLIT bytes of context."""
+    split, shared = len(low.levels), wanted.sparkSession.sparkContext.broadcast(low)
+    none = F.lit(None).cast("long")
+    both = grams.select("gram", none.alias("row"), "n").unionByName(wanted.select("gram", "row", F.col("times").alias("n")))
+    both = both.withColumn("context", F.shiftrightunsigned("gram", 8).bitwiseAND(int(_mask(split))))
+    dealt = both.repartition(tasks, "context").sortWithinPartitions("context", F.col("row").asc_nulls_first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A context's counted grams come before its wanted ones. held: those of the last context.
+        last, held, trie = None, [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            gram, n, context = b.column(0).to_numpy().astype(np.uint64), b.column(2).to_numpy(), b.column(3).to_numpy()
+            counted = b.column(1).is_null().to_numpy(zero_copy_only=False)
+            if counted.any() or context[0] != last or context[-1] != last:
+                trie = None
+                held = held if context[0] == last else []
+                held.append((gram[counted], n[counted], context[counted]))
+            if not counted.all():
+                if trie is None:
+                    keys, times, _ = (np.concatenate(x) for x in zip(*held, strict=True))
+                    trie = shared.value.with_grams(keys, times, order)
+                distinct, at = np.unique(gram[~counted], return_inverse=True)
+                row, of = np.unique(b.column(1).drop_null().to_numpy(), return_inverse=True)
+                score = np.bincount(of, trie.log10(distinct)[at] * n[~counted], len(row))
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(score)], names=["row", "score"])
+            if context[-1] != last:
+                last, trie = context[-1], None
+                held = [tuple(x[k] for x in h) for h in held if (k := h[2] == last).any()]
+                held = held or [(gram[:0], n[:0], context[:0])]
+
+    return dealt.select("gram", "row", "n", "context").mapInArrow(run, "row bigint, score double")
+
+
 def score_documents(docs: DataFrame, held_out_col: str, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", max_grams: int = MAX_GRAMS, max_sent_words: int = MAX_SENT_WORDS) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.
 
@@ -191,6 +282,7 @@ def score_documents(docs: DataFrame, held_out_col: str, order: int = ORDER, id_c
     scored as often as it occurs. Without training rows all bytes are equally likely and no token
     is known. Other columns are not read; an empty table stays empty. score is log10 of the
     probability of the text's tokens as the base has them: words in lower case, one space apart.
+    max_grams and max_sent_words bound what every task holds; results don't depend on them.
     """
     spark, key = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(held_out_col), F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("t"))
@@ -203,11 +295,14 @@ def score_documents(docs: DataFrame, held_out_col: str, order: int = ORDER, id_c
     end_count = frequent.pop(END_TOKEN.encode(), None)
     if end_count is None:
         end_count = (vocabulary.filter(F.col("word") == END_TOKEN).first() or ("", 0))[1]
-    shared = spark.sparkContext.broadcast(({w: np.log10(n + 1.0) for w, n in frequent.items()}, read_trie(counts, order, max_grams)))
+    grams = counts.filter("gram IS NOT NULL").select("gram", "n")
+    least_gram = _least_count(grams, max_grams)
+    model = read_trie(grams, order) if least_gram <= 1 else read_frequent(grams, least_gram)
+    shared = spark.sparkContext.broadcast(({w: np.log10(n + 1.0) for w, n in frequent.items()}, model))
     end_log = float(np.log10(end_count + 1.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, trie = shared.value
+        logs, model = shared.value
         for b in slices(batches):
             texts = [words(t or "") for t in b.column(2).to_pylist()]
             known, total, rest = [], [], []
@@ -217,15 +312,21 @@ def score_documents(docs: DataFrame, held_out_col: str, order: int = ORDER, id_c
                 known.append(len(w) - len(rare) + int(end_count > 0))
                 total.append(sum(f for f in found if f is not None) + end_log)
                 rest.append(rare)
+            score, left, times = text_scores(model, texts, order)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([len(w) + 1 for w in texts], pa.int64()), pa.array(known, pa.int64()), pa.array(total, pa.float64()), pa.array(rest, pa.list_(pa.string())), pa.array(text_scores(trie, texts), pa.float64())],
-                names=["i", "held_out", "n_tokens", "known", "total", "rest", "score"],
+                [b.column(0), b.column(1), pa.array([len(w) + 1 for w in texts], pa.int64()), pa.array(known, pa.int64()), pa.array(total, pa.float64()), pa.array(rest, pa.list_(pa.string())), pa.array(score, pa.float64()), pa.array(left, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))],
+                names=["i", "held_out", "n_tokens", "known", "total", "rest", "score", "grams", "times"],
             )
 
-    scored = written(picked.mapInArrow(run, f"i {key}, held_out boolean, n_tokens bigint, known bigint, total double, rest array<string>, score double").withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+    scored = written(picked.mapInArrow(run, f"i {key}, held_out boolean, n_tokens bigint, known bigint, total double, rest array<string>, score double, grams array<bigint>, times array<bigint>").withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     rest = scored.select("row", F.explode("rest").alias("word")).groupBy("word", "row").agg(F.count("*").alias("tf"))
     rare = vocabulary.filter((F.col("n") < least) & (F.col("word") != END_TOKEN))
     summed = rest.join(rare, "word").groupBy("row").agg(F.sum("tf").alias("more_known"), F.sum(F.col("tf") * F.log10(F.col("n") + F.lit(1.0))).alias("more"))
+    if least_gram > 1:
+        wanted = scored.select("row", F.explode(F.arrays_zip("grams", "times")).alias("g")).select("row", "g.grams", "g.times").withColumnRenamed("grams", "gram")
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-grams.count() // TASK_GRAMS))
+        joined = score_joined(wanted, grams, read_trie(grams, min(SPLIT, order) - 1), order, tasks)
+        scored = scored.join(joined.groupBy("row").agg(F.sum("score").alias("more_score")), "row", "left").withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
     nothing = F.lit(0)
     return scored.join(summed, "row", "left").select(
         F.col("i").alias(id_col),

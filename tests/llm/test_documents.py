@@ -169,6 +169,16 @@ def test_lm_scores(docs, sent):
     assert len(got) == len(texts)
 
 
+@pytest.mark.parametrize(("max_grams", "order"), [(0, 5), (2_000, 5), (20_000, 5), (500, 2)])
+def test_lm_scores_do_not_depend_on_what_is_sent(docs, odd, max_grams, order):
+    few = docs.filter("doc_id < 300").select("doc_id", "text").union(odd.select("doc_id", "text")).withColumn("h", F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+    all_sent = lm_score.score_documents(few, "h", order).orderBy("doc_id", "n_tokens").collect()
+    got = lm_score.score_documents(few, "h", order, max_grams=max_grams).orderBy("doc_id", "n_tokens").collect()
+    assert len(got) == len(all_sent) > 100
+    for a, b in zip(got, all_sent, strict=True):
+        assert a[:6] == b[:6] and a.score == pytest.approx(b.score, rel=1e-9)
+
+
 def test_lm_of_odd_rows(odd, no_docs):
     got = lm_score.score_documents(odd.withColumn("h", F.lit(None).cast("boolean")), "h").collect()
     assert len(got) == 10 and all(r.n_known == r.n_tokens and not r.held_out for r in got)
