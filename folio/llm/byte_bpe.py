@@ -7,7 +7,9 @@ when every two neighbours are the encoding of theirs, so an unchanged outermost
 that everything further out stays. Decoding is a homomorphism: bytes of parts are concatenated
 up the same tree.
 
-Texts are first cut by the tokenizer's pattern; each match is encoded on its own.
+Texts are first cut by the tokenizer's pattern; each match is encoded on its own, so that above
+the matches the join is mere concatenation. What is met again and again is remembered up to a fixed
+number of entries: matches, halves of them, and the windows of one token on each side of a seam.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -25,10 +28,16 @@ from pyspark.sql import functions as F
 
 from folio.llm._common import Memo, slices
 
-#: Bytes up to which a piece is merged outright, without halving it.
-LEAF_BYTES = 48
-#: Bytes up to which the encoding of a match is remembered.
+#: Bytes up to which a piece is a leaf of the tree, which is merged outright.
+LEAF_BYTES = 4
+#: Bytes up to which merging looks through all pairs for the next one; beyond, a heap has them.
+SCAN_BYTES = 48
+#: Bytes up to which the encoding of a match, or of a part of one, is remembered.
 MEMO_BYTES = 64
+#: Matches that a Python worker remembers, some 250 bytes each, before it starts afresh.
+MEMO_MATCHES = 1_000_000
+#: Parts that a node of the decoding tree joins.
+FAN_OUT = 64
 
 
 class ByteBpe:
@@ -38,11 +47,13 @@ class ByteBpe:
         self.ranks = ranks
         self.token_bytes = {i: b for b, i in ranks.items()}
         self.matches = regex.compile(pattern, regex.V0).findall
-        self.memo = Memo(self.encode_piece)
+        self.memo = Memo(self.encode_match, MEMO_MATCHES)
+        self.parts = Memo(self.tree)
+        self.seams = Memo(lambda pair: self.merge(self.token_bytes[pair[0]] + self.token_bytes[pair[1]]))
 
     def merge(self, piece: bytes) -> list[int]:
         """The encoding of a piece: the neighbours of lowest rank merge first, leftmost first."""
-        return self._merge_scan(piece) if len(piece) <= LEAF_BYTES else self._merge_heap(piece)
+        return self._merge_scan(piece) if len(piece) <= SCAN_BYTES else self._merge_heap(piece)
 
     def _merge_scan(self, piece: bytes) -> list[int]:
         get = self.ranks.get
@@ -85,33 +96,39 @@ class ByteBpe:
         """The encoding of two neighbouring texts from the encodings of each."""
         if not left or not right:
             return left or right
-        width = 1
+        width, window = 1, self.seams[left[-1], right[0]]
         while True:
             a, b = left[-width:], right[:width]
-            window = self.merge(self.decode(a) + self.decode(b))
             if (len(a) == len(left) or window[0] == a[0]) and (len(b) == len(right) or window[-1] == b[-1]):
                 return left[: len(left) - len(a)] + window + right[len(b) :]
             width *= 2
+            window = self.merge(self.decode(left[-width:] + right[:width]))
 
     def tree(self, piece: bytes) -> list[int]:
+        """The encoding of a piece: its halves', joined."""
         if len(piece) <= LEAF_BYTES:
             return self.merge(piece)
         half = len(piece) // 2
-        return self.join(self.tree(piece[:half]), self.tree(piece[half:]))
+        part = self.parts.__getitem__ if len(piece) <= 2 * MEMO_BYTES else self.tree
+        return self.join(part(piece[:half]), part(piece[half:]))
 
-    def encode_piece(self, match: str) -> list[int]:
+    def encode_match(self, match: str) -> list[int]:
         piece = match.encode()
         whole = self.ranks.get(piece)
         return [whole] if whole is not None else self.tree(piece)
 
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for m in self.matches(text):
-            ids += self.memo[m] if len(m) <= MEMO_BYTES else self.encode_piece(m)
-        return ids
+        matches = self.matches(text)
+        if max(map(len, matches), default=0) <= MEMO_BYTES:
+            return list(chain.from_iterable(map(self.memo.__getitem__, matches)))
+        return list(chain.from_iterable(self.memo[m] if len(m) <= MEMO_BYTES else self.encode_match(m) for m in matches))
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.token_bytes.__getitem__, ids))
+        """Bytes of the ids, concatenated up a tree."""
+        parts = list(map(self.token_bytes.__getitem__, ids))
+        while len(parts) > 1:
+            parts = [b"".join(parts[at : at + FAN_OUT]) for at in range(0, len(parts), FAN_OUT)]
+        return parts[0] if parts else b""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
