@@ -7,15 +7,18 @@ that suffix and how many tokens it is behind. A list of tokens is the encoding o
 when all neighbours are, so the last token of a longer text is the one piece that fits the token
 before it. States and transitions are made when first needed and kept.
 
-Pieces never reach over a seam between a character and a following word mark, so words count on
-their own. Long texts are cut into chunks at any place. A chunk's state map is (what to run from
-the entry state before its first seam, the count after that, the exit state); maps form a monoid
-and are composed by a prefix scan.
+Two characters that stand together in no piece are a seam: no token reaches over it, so that the
+state behind it is the start. Texts are cut into chunks, at a seam if one is near. A chunk's state
+map sends each state that may come in to the state that goes out and the tokens in between; maps
+are functions on finite sets of states, a monoid under composition, and a parallel prefix scan
+composes them. At a seam only the start comes in. At any other cut a token begins somewhere in the
+reach of the longest piece, and from there on the encoding does not depend on what was before: the
+states that come in are those reached from there. Should the scan find that another one came in,
+the chunk's map gets it as well, and the scan is run again: counts are exact in any case.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,8 +30,9 @@ from folio.llm._common import Memo, slices
 
 #: The mark that stands for a space.
 MARK = "▁"
-#: Characters of a chunk.
-CHUNK_CHARS = 1 << 16
+#: Characters of a chunk, and how far beyond that a seam is looked for.
+CHUNK_CHARS = 512
+SEAM_CHARS = 64
 #: Words up to so many characters are remembered with their counts.
 MEMO_CHARS = 64
 #: Transitions after which the compiled part is dropped and made afresh as needed.
@@ -51,6 +55,11 @@ class CountingTransducer:
     def __init__(self, pieces: dict[str, float]):
         self.pieces = pieces
         self.starts = {p[:i] for p in pieces for i in range(1, len(p))}
+        self.together = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+        self.longest = max(map(len, pieces), default=1)
+        #: Whether every word begins at a seam, or with further marks.
+        self.word_seams = not any(b == MARK != a for a, b in self.together)
+        self.start = State((("", None, 0),))
         self._fits: dict[tuple[str, str], bool] = {}
         self._whole: dict[str, bool] = {}
         self._forget()
@@ -59,7 +68,8 @@ class CountingTransducer:
     def _forget(self) -> None:
         self._states: dict[tuple, State] = {}
         self._made = 0
-        self.start = self._state((("", None, 0),))
+        self.start.step.clear()
+        self._states[self.start.items] = self.start
 
     def _state(self, items: tuple) -> State:
         found = self._states.get(items)
@@ -124,74 +134,89 @@ class CountingTransducer:
         """Tokens of a word with its mark put before it."""
         return self.run(self.start, MARK + word)[1]
 
-    # Chunk state maps: (head, n, exit). head is run from the entry state; if n is None the chunk
-    # has no seam and head is all of it; else exit is reached after n more tokens, whatever came in.
-
-    def chunk_map(self, chunk: str, first: bool) -> tuple[str, int | None, State | None]:
-        seam = 0 if first else next((m.start() + 1 for m in _SEAM.finditer(chunk)), None)
-        if seam is None:
-            return chunk, None, None
-        state, n = self._run_words(chunk[seam:])
-        return chunk[:seam], n, state
-
-    def _run_words(self, text: str) -> tuple[State, int]:
-        """Run text from the start, word by word; all words but the last are remembered."""
-        at = [0, *(m.start() + 1 for m in _SEAM.finditer(text))]
-        total = 0
-        for a, b in zip(at, at[1:], strict=False):
-            word = text[a:b]
-            total += self.words[word[1:]] if word[0] == MARK and b - a <= MEMO_CHARS else self.run(self.start, word)[1]
-        state, n = self.run(self.start, text[at[-1] :])
+    def words_of(self, text: str) -> tuple[State, int]:
+        """(state, tokens) after a text from the start on; words are remembered with their counts."""
+        if not self.word_seams or MARK + MARK in text:
+            return self.run(self.start, text)
+        first, *rest = text.split(MARK)
+        if not rest:
+            return self.run(self.start, text)
+        total = self.run(self.start, first)[1] if first else 0
+        last = rest.pop()
+        total += sum(self.words[w] if len(w) <= MEMO_CHARS else self.count_word(w) for w in rest)
+        state, n = self.run(self.start, MARK + last)
         return state, total + n
 
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        """The map of two neighbouring chunks; associative."""
-        head, n, state = a
-        if n is None:
-            # The seam may lie between the two chunks, and is then found here.
-            if head and head[-1] != MARK and b[0][:1] == MARK:
-                after, more = self.run(self.start, b[0])
-                return (head, more, after) if b[1] is None else (head, more + b[1], b[2])
-            return head + b[0], b[1], b[2]
-        if b[1] is None:
-            after, more = self._cross(state, b[0])
-            return head, n + more, after
-        return head, n + self._cross(state, b[0])[1] + b[1], b[2]
-
-    def _cross(self, state: State, text: str) -> tuple[State, int]:
-        last = state.items[0][1]
-        if text[:1] == MARK and last is not None and last[-1] != MARK:
-            state = self.start
-        return self.run(state, text)
-
-    def scan(self, maps: list[tuple]) -> list[tuple]:
-        """Inclusive prefix scan by doubling; the last map is that of the whole text."""
-        step = 1
-        while step < len(maps):
-            maps = [m if i < step else self.compose(maps[i - step], m) for i, m in enumerate(maps)]
-            step *= 2
-        return maps
-
-    def reduce(self, maps: list[tuple]) -> tuple:
-        """The last map of the scan alone: its up-sweep, composing neighbours."""
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0]
+    def seam(self, text: str, at: int, end: int) -> int | None:
+        """The first seam from one place to before another."""
+        return next((i for i in range(at, end) if text[i - 1 : i + 1] not in self.together), None)
+
+    def cuts(self, text: str, size: int) -> list[tuple[int, bool]]:
+        """(where a chunk begins, whether at a seam) for each chunk of a text."""
+        found, at = [(0, True)], size
+        while at < len(text):
+            sealed = self.seam(text, at, min(at + SEAM_CHARS, len(text)))
+            found.append((at, False) if sealed is None else (sealed, True))
+            at = found[-1][0] + size
+        return found
+
+    def last_seam(self, text: str, at: int) -> int | None:
+        """The last seam that lies before a place and not further back than tokens can matter."""
+        return next((i for i in range(at - 1, max(0, at - 2 * self.longest), -1) if text[i - 1 : i + 1] not in self.together), None)
+
+    def entries(self, text: str, at: int) -> set[State]:
+        """The states that may come in at a cut without a seam."""
+        seam, far = self.last_seam(text, at), at - 2 * self.longest
+        begins = range(max(0, far), max(1, far + self.longest)) if seam is None else [seam]
+        return {self.run(self.start, text[b:at])[0] for b in begins}
+
+    def through(self, state: State, chunk: str, sealed: bool) -> tuple[State, int]:
+        """(state, tokens) after a chunk; sealed: whether it ends at a seam, behind which is the start."""
+        if state is self.start:
+            out, n = self.words_of(chunk)
+        elif (first := self.seam(chunk, 1, len(chunk))) is None:
+            out, n = self.run(state, chunk)
+        else:
+            out, more = self.words_of(chunk[first:])
+            n = self.run(state, chunk[:first])[1] + more
+        if sealed:
+            return self.start, n
+        last = self.last_seam(chunk, len(chunk))
+        return (out if last is None else self.run(self.start, chunk[last:])[0]), n
+
+    @staticmethod
+    def compose(a: dict, b: dict) -> dict:
+        """The map of two neighbouring chunks; associative. Where b doesn't go on, neither does it."""
+        return {state: (b[out][0], n + b[out][1]) for state, (out, n) in a.items() if out in b}
+
+    def scan(self, maps: list[dict]) -> list[dict]:
+        """Inclusive prefix scan: neighbours are composed, their scan gives every second prefix, and
+        one composition each of the others. All those of a step are independent of one another."""
+        if len(maps) < 2:
+            return maps
+        outer = self.scan([self.compose(a, b) for a, b in zip(maps[::2], maps[1::2], strict=False)])
+        return [maps[0], *(outer[i // 2] if i % 2 else self.compose(outer[i // 2 - 1], maps[i]) for i in range(1, len(maps)))]
+
+    def state_maps(self, text: str, size: int) -> tuple[list[dict], list[str], list[bool]]:
+        """(maps, chunks, whether each ends at a seam) of a text with its spaces as marks."""
+        cuts = self.cuts(text, size)
+        ends = [*(at for at, _ in cuts[1:]), len(text)]
+        chunks, sealed = [text[a:z] for (a, _), z in zip(cuts, ends, strict=True)], [*(s for _, s in cuts[1:]), False]
+        come_in = [{self.start} if at_seam else self.entries(text, at) for at, at_seam in cuts]
+        return [{s: self.through(s, c, z) for s in states} for states, c, z in zip(come_in, chunks, sealed, strict=True)], chunks, sealed
 
     def count(self, text: str, chunk_chars: int = CHUNK_CHARS) -> int:
         """Tokens of a whole text."""
         if not text:
             return 0
-        if len(text) <= chunk_chars and MARK not in text and "  " not in text and text[0] != " " and text[-1] != " ":
-            words = text.split(" ")
-            if len(text) <= MEMO_CHARS or max(map(len, words)) <= MEMO_CHARS:
-                return sum(map(self.words.__getitem__, words))
-        marked = MARK + text.replace(" ", MARK)
-        chunks = [marked[i : i + chunk_chars] for i in range(0, len(marked), chunk_chars)]
-        return self.reduce([self.chunk_map(c, not i) for i, c in enumerate(chunks)])[1]
-
-
-_SEAM = re.compile(f"[^{MARK}](?={MARK})", re.S)
+        maps, chunks, sealed = self.state_maps(MARK + text.replace(" ", MARK), chunk_chars)
+        while True:
+            prefixes = self.scan(maps)
+            if self.start in prefixes[-1]:
+                return prefixes[-1][self.start][1]
+            miss = next(i for i, p in enumerate(prefixes) if self.start not in p)
+            state = prefixes[miss - 1][self.start][0]
+            maps[miss][state] = self.through(state, chunks[miss], sealed[miss])
 
 
 @lru_cache(maxsize=2)

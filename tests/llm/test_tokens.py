@@ -40,6 +40,25 @@ def test_join_is_encoding_of_the_whole(piece, cut):
     assert BPE.join(BPE.merge(piece[:cut]), BPE.merge(piece[cut:])) == BPE.merge(piece) == BPE.tree(piece)
 
 
+def test_matches_outside_the_vocabulary_go_up_the_tree(spark, monkeypatch):
+    """On documents, each match of more bytes than a leaf that is no token is made by joins, and
+    ids are tiktoken's."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    bpe = byte_bpe.ByteBpe(BPE.ranks, P.PATTERN)
+    joined, join = set(), bpe.join
+
+    def counted(left, right):
+        out = join(left, right)
+        joined.add(bpe.decode(left) + bpe.decode(right))
+        return out
+
+    monkeypatch.setattr(bpe, "join", counted)
+    assert [bpe.encode(t) for t in texts] == TIKTOKEN.encode_ordinary_batch(texts)
+    outside = {m.encode() for t in texts for m in bpe.matches(t)} - set(bpe.ranks)
+    tall = {m for m in outside if len(m) > byte_bpe.LEAF_BYTES}
+    assert tall <= joined and len(tall) > 0.9 * len(outside) > 1000
+
+
 @settings(max_examples=300, deadline=None)
 @given(TEXT, st.integers(1, 40))
 def test_token_counts(text, chunk):
@@ -48,14 +67,51 @@ def test_token_counts(text, chunk):
 
 
 @settings(max_examples=100, deadline=None)
-@given(TEXT, st.integers(1, 9))
+@given(TEXT.filter(bool), st.integers(1, 9))
 def test_prefix_scan_agrees_with_prefixes(text, size):
     marked = "▁" + text.replace(" ", "▁")
-    chunks = [marked[i : i + size] for i in range(0, len(marked), size)]
-    maps = COUNTER.scan([COUNTER.chunk_map(c, not i) for i, c in enumerate(chunks)])
-    assert maps[-1][1] == COUNTER.reduce([COUNTER.chunk_map(c, not i) for i, c in enumerate(chunks)])[1]
-    for k, m in enumerate(maps):
-        assert m[1] == len(COUNTER.encode("".join(chunks[: k + 1]))) + sum(len(x.encode()) - 1 for x in COUNTER.encode("".join(chunks[: k + 1])) if x not in COUNTER.pieces)
+    maps, chunks, _ = COUNTER.state_maps(marked, size)
+    assert "".join(chunks) == marked
+    for k, m in enumerate(COUNTER.scan(maps)):
+        pieces = COUNTER.encode("".join(chunks[: k + 1]))
+        assert m[COUNTER.start][1] == sum(1 if x in COUNTER.pieces else len(x.encode()) for x in pieces)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=12), st.data())
+def test_scan_is_that_of_any_order(sizes, data):
+    """On any partial functions of three states: the scan is composition from left to right."""
+    maps = [{s: (data.draw(st.integers(0, 2)), data.draw(st.integers(0, 9))) for s in range(n)} for n in sizes]
+    want = maps[:1]
+    for m in maps[1:]:
+        want.append(COUNTER.compose(want[-1], m))
+    assert COUNTER.scan(maps) == want
+
+
+def test_maps_are_composed_on_documents(spark):
+    """Ordinary documents have several chunks; the scan composes them, and never lacks a state."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(300).collect()]
+    n = [len(COUNTER.state_maps("▁" + t.replace(" ", "▁"), token_counts.CHUNK_CHARS)[0]) for t in texts if t]
+    assert np.median(n) > 1 and [COUNTER.count(t) for t in texts] == [len(x) for x in SP.encode(texts)]
+
+
+def test_states_that_were_not_foreseen(monkeypatch):
+    """Without any foreseen state the scan finds them one by one."""
+    monkeypatch.setattr(COUNTER, "entries", lambda text, at: set())
+    for text in ("abcdefgh" * 40, "=" * 333, "thethethe then" * 9):
+        assert COUNTER.count(text, 16) == len(SP.encode(text))
+
+
+def test_texts_without_seams_cost_in_proportion():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        COUNTER.count("a" * n)
+        began = time.process_time()
+        assert COUNTER.count("a" * n) == len(SP.encode("a" * n))
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0]
 
 
 @pytest.mark.parametrize("run", ["a" * 5000, "=" * 3001, "ab" * 2000, " " * 999])
