@@ -90,8 +90,44 @@ def test_captures_are_in_global_order_over_many_ranges(spark, monkeypatch):
 def test_best_bin_first_visits_every_leaf_once():
     x = np.random.default_rng(0).normal(size=(2000, 8))
     tree = ann.KMeansTree(x, leaves=40)
-    order = tree.visit_order(x[0])
-    assert sorted(order) == list(range(tree.leaves)) and len(set(tree.assign(x))) == tree.leaves
+    order = list(tree.visits(x[0]))
+    assert sorted(order) == list(range(tree.leaves)) and len(set(tree.assign(x))) == tree.leaves and order[0] == tree.assign(x[:1])[0]
+    tree.graft({3: ann.KMeansTree(x[:200], leaves=9), 5: ann.KMeansTree(x[:50], leaves=2)})
+    order = list(tree.visits(x[0]))
+    assert sorted(order) == list(range(tree.leaves)) and tree.leaves > 40 and order[0] == tree.assign(x[:1])[0]
+
+
+def test_lots():
+    assert ann.dealt_lots({}) == ({}, 0) and ann.dealt_lots({2: 5, 9: 7}) == ({2: (0, 1), 9: (0, 1)}, 1)
+    n = ann.QUERIES_TOGETHER
+    assert ann.dealt_lots({1: n - 1, 2: 3, 3: 2 * n + 1, 4: 1}) == ({1: (0, 1), 2: (1, 1), 3: (2, 3), 4: (5, 1)}, 6)
+
+
+def test_neighbours_of_extreme_vectors(spark):
+    rows = [(0, [1e200, 1.0]), (50, [1e200, 2.0]), (2, [1.0, 1e200]), (3, [3e-200, 4e-200]), (4, [5e-324, 0.0]), (5, [-1.7e308, 1.7e308])]
+    d = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [tuple(r) for r in ann.nearest_neighbours(d).filter("query_id = 0").orderBy("rank").collect()]
+    assert [r[2] for r in got] == [4, 50, 3, 2, 5] and [r[3] for r in got] == pytest.approx([1, 1, 0.6, 0, -(0.5**0.5)])
+    assert ann.cosine(np.array([3.0, 4.0]), np.array([[4.0, 3.0]]))[0] == 24 / 25
+
+
+def test_recall_beyond_the_calibration_set(spark):
+    """Each second vector is a query; the visits are calibrated on 128 of them, the others count."""
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    ids, x = t.column("vec_id").to_numpy(), np.stack(t.column("embedding").to_numpy()).astype(float)
+    want, got = brute(ids, x, 2, 5), {}
+    seen = {r.vec_id for r in e.filter("vec_id % 2 = 0").orderBy(F.xxhash64("vec_id", F.lit(13)), "vec_id").limit(ann.CALIBRATION).select("vec_id").collect()}
+    for r in ann.nearest_neighbours(e, query_every=2).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    found = [len(set(got[q]) & set(w)) / len(w) for q, w in want.items() if q not in seen]
+    print("recall", np.mean(found), "on", len(found))
+    assert len(found) > 800 and np.mean(found) >= 0.9
+
+
+def test_recall_with_branches_fitted_by_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "TOP_LEAVES", 8)
+    test_recall(spark)
 
 
 def test_pipeline(spark):
