@@ -4,12 +4,13 @@ Documents are tokenized once, cut into pieces of at most the capacity, and dealt
 few thousand pieces. Each group runs best-fit decreasing; lower bounds from dual-feasible functions
 certify its number of bins. Groups whose bins don't meet the bound, and bins that stay open, have a
 gap: their documents are exchanged (dealt into fewer, new groups) and best-fit decreasing runs
-again, until the bound over all lengths is met or a round saves nothing. Only lengths, a histogram of at
-most `capacity` rows and a few sums ever reach the driver.
+again, until the bound over all lengths is met or a round saves nothing. Only a histogram of at most
+`capacity` rows and a few sums ever reach the driver.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -28,8 +29,6 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of a group: what one task packs at a time.
 GROUP_PIECES = 4096
-#: Exchanges of documents between groups after the first packing.
-ROUNDS = 6
 #: A bin with more free room than this share of the capacity is open: its documents may move.
 OPEN_SHARE = 1 / 64
 
@@ -199,13 +198,13 @@ def _pack_groups(pieces: DataFrame, round_no: int, capacity: int) -> DataFrame:
             return out.assign(**{c: g[c] for c in _PACKED})
         fill = np.bincount(bins, lengths, n).astype(np.int64)[bins] if len(g) else bins
         is_open = capacity - fill > (capacity * OPEN_SHARE if certified else 0)
-        return out.assign(sequence_id=(round_no << 56) + (int(g["group"].iloc[0]) << 24) + bins, offset=offsets, fill=fill, open=is_open)
+        return out.assign(sequence_id=(round_no << 48) + (int(g["group"].iloc[0]) << 16) + bins, offset=offsets, fill=fill, open=is_open)
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name in names)
     return pieces.groupBy("group").applyInPandas(pack, f"{kept}, sequence_id bigint, offset bigint, fill bigint, open boolean")
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Every row of pieces (with its column length, 1 to capacity) with sequence_id and offset.
 
     Rows of a sequence lie one after another from offset 0 and fill at most the capacity. Repeated
@@ -219,18 +218,16 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int =
     bound = lower_bound(histogram, capacity)
     # Rows are numbered, not hashed by content: repeated rows must not meet in one group.
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups(int(histogram.sum())))))
-    table, done, closed = written(_pack_groups(dealt, 0, capacity), "packed"), [], 0
-    for round_no in range(1, rounds + 1):
+    table, done, closed, exchanged = written(_pack_groups(dealt, 0, capacity), "packed"), [], 0, None
+    for round_no in itertools.count(1):
         first = F.col("offset") == 0  # one row of each bin
         n_bins, n_open, open_rows = table.agg(F.count_if(first), F.count_if(first & F.col("open")), F.count_if("open")).first()
-        if closed + n_bins <= bound or n_open < 2:
+        if closed + n_bins <= bound or n_open < 2 or n_bins == exchanged:
             break
         done.append(table.filter("NOT open"))
-        closed += n_bins - n_open
+        closed, exchanged = closed + n_bins - n_open, n_open
         to_group = F.pmod(F.xxhash64("sequence_id", F.lit(round_no)), F.lit(groups(open_rows)))
         table = written(_pack_groups(table.filter("open").withColumn("group", to_group), round_no, capacity), "packed")
-        if groups(open_rows) == 1 and table.filter(first).count() >= n_open:
-            break
     for part in done:
         table = table.unionByName(part)
     return table.drop("fill", "open")
