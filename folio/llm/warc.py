@@ -15,13 +15,14 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import itertools
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio.llm._common import fresh_path, slices, written
 
@@ -101,9 +102,12 @@ def record_text(captures: DataFrame) -> Column:
 def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", time_col: str | None = None) -> None:
     """Write one record for each row of pages to gzipped archives in path, each one gzip member.
 
-    Null html is an empty payload; null urls are empty. Rows that share the smallest id of their
+    Ids are integers; others are a TypeError, since a record's id is written and read back as one.
+    Null ids stay null. Null html is an empty payload; null urls are empty. Rows that share the smallest id of their
     payload are all responses. Other columns are not read. No rows make a folder without records.
     """
+    if not isinstance(pages.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"ids of captures are integers, not {pages.schema[id_col].dataType.simpleString()}")
     captures = with_originals(digested(pages, id_col, url_col, html_col, time_col), min_bytes)
     records = captures.select(record_text(captures).alias("record"))
     # Records of a partition go to files of bounded size, since a file is read back as a whole.
@@ -174,6 +178,7 @@ def capture(headers: dict[str, str], block: bytes) -> tuple:
 
 _CAPTURE = ["urlkey", "timestamp", "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 _SCHEMA = "urlkey string, timestamp string, page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+_TYPES = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
 
 def _order(c: tuple) -> tuple:
@@ -230,8 +235,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 found = sorted((capture(*r) for r in records_of(content.as_py())), key=_order)
                 columns = [pa.array(list(c)) for c in zip(*found, strict=True)] if found else [[]] * len(_CAPTURE)
-                types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), *(pa.array(c, t) if not isinstance(c, pa.Array) else c.cast(t) for c, t in zip(columns, types, strict=True))], names=["run", *_CAPTURE])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), *(pa.array(c, t) if not isinstance(c, pa.Array) else c.cast(t) for c, t in zip(columns, _TYPES, strict=True))], names=["run", *_CAPTURE])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("path", "content").mapInArrow(run, f"run string, {_SCHEMA}")
@@ -246,25 +250,18 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     merges those.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[str, list[tuple]] = {}
-        for frame in frames:
-            frame = frame.astype(object).where(frame.notna(), None)
-            for name, *row in frame.itertuples(index=False, name=None):
+        for b in batches:
+            for name, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 parts.setdefault(name, []).append(tuple(row))
-        merged = LoserTree([iter(rows) for _, rows in sorted(parts.items())])
-        rows: list[tuple] = []
-        for row in merged:
-            rows.append(row)
-            if len(rows) == 8192:
-                yield pd.DataFrame(rows, columns=_CAPTURE)
-                rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=_CAPTURE)
+        merged = iter(LoserTree([iter(rows) for _, rows in sorted(parts.items())]))
+        while rows := list(itertools.islice(merged, 8192)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_CAPTURE)
 
     ranges = max(runs.sparkSession.sparkContext.defaultParallelism, -(-runs.count() // RANGE_CAPTURES))
     ranged = runs.repartitionByRange(ranges, "urlkey", "timestamp", "page_id").sortWithinPartitions("run", "urlkey", "timestamp", "page_id")
-    return ranged.mapInPandas(run, _SCHEMA)
+    return ranged.mapInArrow(run, _SCHEMA)
 
 
 def archive_and_index(pages: DataFrame, path: str | None = None, min_bytes: int = MIN_REVISIT_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", time_col: str | None = None) -> DataFrame:

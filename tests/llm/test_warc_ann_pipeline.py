@@ -27,6 +27,19 @@ def test_warc_round_trip(spark):
     assert warc.archive_and_index(pages.limit(0)).count() == 0
 
 
+def test_warc_ids(spark):
+    """Beyond 2^53, with nulls in one range, over many runs; ids that are no integers are an error."""
+    big = 2**53 + 1
+    rows = [(None if i % 5 == 0 else big + i, f"http://a.example.com/{i % 3}", "same" if i % 2 else f"own {i}") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    got = warc.archive_and_index(pages).collect()
+    first = min(i for i, _, t in rows if t == "same" and i is not None)
+    assert sorted(r.page_id or 0 for r in got) == sorted(i or 0 for i, *_ in rows)
+    assert {r.refers_to for r in got if r.record_type == "revisit"} == {first} and first > 2**53
+    with pytest.raises(TypeError):
+        warc.archive_and_index(pages.withColumn("page_id", F.lit("x")))
+
+
 def test_surt():
     assert warc.surt("https://user@WWW.Example.com:443/a?b=1") == "com,example)/a?b=1"
     assert warc.url_key("http://[bad") == "http://[bad"
