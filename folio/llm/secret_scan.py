@@ -1,14 +1,23 @@
 """Secret scans with a random forest that removes false positives (operator 7).
 
-A pattern finds candidates: long runs of key-like characters with a digit or a known beginning. A random forest, trained
-in numpy from labelled findings, tells secrets from what only looks like one: checksums, commit
-and order numbers, card numbers, UUIDs, paths, identifiers. It looks at the candidate's length, its
-transitions between characters, how much of it dictionary words cover, whether it is part of a
-path or address, and the neighbouring words.
+Patterns find candidates, and take in more than they should: key-like runs with a digit or a known
+beginning, whatever is assigned to a secret's name, bearer tokens, passwords in URLs, whole web
+tokens and private key blocks. A random forest, trained in numpy from labelled findings, tells
+secrets from what only looks like one: checksums, commit and order numbers, card numbers, UUIDs,
+paths, identifiers, plain words. It looks at the candidate's length, its transitions between
+characters, how much of it dictionary words cover, whether it is part of a path or address, and the
+neighbouring words.
+
+Candidates don't overlap: of nested or overlapping ones, that of the pattern which stands first in
+PATTERNS holds, then the one that begins first. Adjacent ones are each a candidate.
+
+Findings to train from are a parameter. Those used where no own ones are at hand come from a generator,
+which knows the kinds of secrets and of look-alikes below.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -27,20 +36,36 @@ from folio.llm._common import slices
 CONTEXT = 48
 MASK = "[SECRET]"
 THRESHOLD = 0.5
+#: Characters of a candidate whose transitions and words count; all of it counts as its length.
+MOST_LOOKED_AT = 4096
+#: Labelled findings that the forest is fitted on, at most; those of the smallest hashes.
+MAX_FINDINGS = 20_000
 
 # Words and key prefixes that the features count.
 SECRET_WORDS = ["password", "passwd", "passphrase", "pwd", "secret", "token", "key", "apikey", "api", "auth", "bearer", "credential", "credentials", "access", "private", "login"]
 BENIGN_WORDS = ["commit", "sha", "sha1", "sha256", "md5", "hash", "digest", "checksum", "revision", "uuid", "guid", "id", "order", "invoice", "ticket", "phone", "card", "isbn", "etag", "version", "build", "trace", "request", "session", "file", "blob", "object", "serial", "tracking", "reference"]
+SECRET_NAMES = ["passw", "passphrase", "pwd", "secret", "token", "key", "auth", "credential", "private", "cookie"]
 KEY_PREFIXES = ["AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "glpat-", "sk-", "sk_live_", "rk_live_", "pk_live_", "xoxb-", "xoxp-", "eyJ", "SG_", "npm_", "hf_"]
 DICTIONARY = ["the", "and", "for", "with", "this", "that", "from", "your", "here", "user", "name", "test", "example", "sample", "demo", "data", "file", "path", "image", "index", "page", "item", "list", "main", "home", "config", "server", "client", "version", "release", "build", "model", "table", "column", "value", "number", "string", "array", "object", "class", "method", "function", "return", "update", "create", "delete", "select", "order", "report", "project", "service", "system", "change", "insert", "place", "holder", "placeholder", "dummy", "default", "local", "host", "http", "https", "www", "html", "json", "text", "time", "date", "year", "month", "week", "photo", "video", "music", "copy", "draft", "final", "backup", "archive", "log", "temp", "key", "token", "secret", "password"]
 
-#: A run of key-like characters that holds a digit or begins as keys do.
-CANDIDATE = re.compile(rf"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*[0-9]|{'|'.join(map(re.escape, KEY_PREFIXES))})[A-Za-z0-9_+/\-]{{12,}}={{0,2}}")
+_RUN = rf"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*[0-9]|{'|'.join(map(re.escape, KEY_PREFIXES))})[A-Za-z0-9_+/\-]{{12,}}={{0,2}}"
+_NAME = re.compile("|".join(SECRET_NAMES), re.I)
+#: Each pattern's candidates, the most telling pattern first. Group v is the candidate; what group
+#: name holds, if there is one, must be a secret's name.
+PATTERNS = [
+    re.compile(r"(?P<v>-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----[A-Za-z0-9+/=\s:,\-]*?-----END [A-Z ]{0,32}PRIVATE KEY-----)"),
+    re.compile(r"(?<![A-Za-z0-9_\-])(?P<v>eyJ[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]+){1,2})"),
+    re.compile(r"://[^\s/:@]{0,64}:(?P<v>[^\s/@]{3,128})(?=@)"),
+    re.compile(r"(?i)\bbearer[ \t]{1,3}(?P<v>[A-Za-z0-9._~+/\-]{8,}={0,2})"),
+    re.compile(r"(?<![\w.\-])(?P<name>[\w.\-]{1,64}+)[\"'\]]{0,2}[ \t]{0,3}(?:=>|:=|==|[=:])[ \t]{0,3}(?=[\"'`]?(?P<v>[^\s\"'`,;<>(){}\[\]]{3,}[^\s\"'`,;<>(){}\[\].!?:]))"),
+    re.compile(f"(?P<v>{_RUN})"),
+]
 _WORDS = re.compile("|".join(sorted(DICTIONARY, key=len, reverse=True)))
 _NEIGHBOUR = re.compile(r"[a-z0-9]+")
 _UUID = re.compile(r"[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$", re.I)
 _HEX = re.compile(r"[0-9a-fA-F]+$")
 _SECRET, _BENIGN = set(SECRET_WORDS), set(BENIGN_WORDS)
+_SYMBOLS = set("!#$%&*?@^~|.,;:")
 _COMMON_PAIRS = {a + b for w in DICTIONARY for a, b in zip(w, w[1:], strict=False)}
 
 
@@ -54,7 +79,7 @@ def _luhn(digits: str) -> bool:
 
 
 def features(before: str, candidate: str, after: str) -> list[float]:
-    body = candidate.rstrip("=")
+    body = candidate[:MOST_LOOKED_AT].rstrip("=") or "="
     n, kinds, lower = len(body), _kinds(body), body.lower()
     of = np.bincount(kinds, minlength=4) / n
     moves = np.zeros((4, 4))
@@ -69,7 +94,7 @@ def features(before: str, candidate: str, after: str) -> list[float]:
     near = set(near_before + near_after)
     return [
         # length
-        n,
+        len(candidate),
         candidate.count("="),
         float(n in (32, 40, 64)),
         # characters and transitions between them
@@ -84,10 +109,15 @@ def features(before: str, candidate: str, after: str) -> list[float]:
         float(bool(_UUID.match(body))),
         float(body.isdigit() and _luhn(body)),
         float(any(body.startswith(x) for x in KEY_PREFIXES)),
+        float(candidate.startswith("-----BEGIN")),
+        len(set(body) & _SYMBOLS),
         # dictionary coverage
         sum(map(len, _WORDS.findall(lower))) / n,
         # path
         body.count("/") + body.count("-") + body.count("_"),
+        body.count("."),
+        float("://" in before.rsplit(None, 1)[-1] if before.strip() else 0),
+        float(body[:1] in "/.$%{~" or body[-1:] == "/"),
         float(left in ("/", ".", "@", "#")),
         float(right in ("/", ".", "@")),
         # neighbouring words
@@ -95,7 +125,7 @@ def features(before: str, candidate: str, after: str) -> list[float]:
         float(bool(set(near_before[-1:]) & _SECRET)),
         float(bool(near & _BENIGN)),
         float(bool(set(near_before[-1:]) & _BENIGN)),
-        float(left in ("=", ":")),
+        float(left in ("=", ":", ">")),
         float(before[-1:] in ("'", '"', "`")),
     ]
 
@@ -137,7 +167,7 @@ class RandomForest:
                     gain = y.mean() * (1 - y.mean()) - (na * a * (1 - a) + nb * b * (1 - b)) / len(y)
                     if gain.max() > best[0]:
                         k = cut[gain.argmax()]
-                        best = (gain.max(), f, (v[k] + v[k + 1]) / 2)
+                        best = (gain.max(), f, mid if (mid := (v[k] + v[k + 1]) / 2) < v[k + 1] else v[k])
             if best[1] >= 0:
                 low = x[:, best[1]] <= best[2]
                 nodes[me][:2] = best[1:]
@@ -158,60 +188,170 @@ class RandomForest:
         return total / max(1, len(self.trees))
 
 
-def example_findings(n: int = 4000, seed: int = 3) -> list[tuple[str, str, str, int]]:
-    """Labelled findings to train from where no own ones are at hand: (before, candidate, after, label).
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each candidate of a whole text, in code points and in order."""
+    taken: list[tuple[int, int]] = []
+    for pattern in PATTERNS:
+        named, more = "name" in pattern.groupindex, []
+        for m in pattern.finditer(text):
+            a, z = m.span("v")
+            if named and not _NAME.search(m["name"]):
+                continue
+            at = bisect.bisect_left(taken, (a, a))
+            if (at and taken[at - 1][1] > a) or (at < len(taken) and taken[at][0] < z) or (more and more[-1][1] > a):
+                continue
+            more.append((a, z))
+        taken = sorted(taken + more)
+    return taken
 
-    Half are keys and passwords as configuration, code and prose hold them, half what they are
-    mistaken for.
-    """
-    rng = random.Random(seed)
-    pick = lambda chars, a, b=None: "".join(rng.choices(chars, k=rng.randint(a, b or a)))
-    hexa, b64 = "0123456789abcdef", string.ascii_letters + string.digits + "+/"
-    alnum, upper = string.ascii_letters + string.digits, string.ascii_uppercase + string.digits
-    word = lambda: pick(string.ascii_lowercase, 2, 8)
-    prose = lambda: " ".join(word() for _ in range(rng.randint(1, 5)))
-    assign = lambda: rng.choice(["=", " = ", ": ", '="', ' = "', "='", ' "'])
-    named = lambda: rng.choice(["", prose() + " ", "my_"]) + rng.choice(["password", "passwd", "pwd", "secret", "token", "api_key", "auth_token", "access_key", "private_key", "Bearer"]) + assign()
-    secret = [
-        lambda: (named(), pick(hexa, 16, 64)),
-        lambda: (named(), pick(alnum, 14, 48)),
-        lambda: (named(), pick(b64, 24, 64) + "=" * rng.randint(0, 2)),
-        lambda: (prose() + " ", rng.choice(["AKIA", "ASIA"]) + pick(upper, 16)),
-        lambda: (rng.choice([named(), prose() + " "]), rng.choice(["ghp_", "gho_", "npm_", "hf_"]) + pick(alnum, 30, 36)),
-        lambda: (rng.choice([named(), prose() + " "]), rng.choice(["sk-", "sk_live_", "xoxb-", "glpat-"]) + pick(alnum, 20, 40)),
-        lambda: (rng.choice([named(), prose() + " "]), "eyJ" + pick(alnum, 30, 90)),
-    ]
-    benign = [
-        lambda: (prose() + " " + rng.choice(BENIGN_WORDS) + rng.choice([" ", ": ", "=", " = "]), pick(hexa, rng.choice([32, 40, 64]))),
-        lambda: (prose() + " ", pick(hexa, rng.choice([32, 40, 64]))),
-        lambda: (rng.choice([prose() + " ", "id=", "uuid: ", "key "]), str(uuid.UUID(int=rng.getrandbits(128), version=4))),
-        lambda: (rng.choice([prose() + " ", "card ", "| ", "no. ", "order "]), pick(string.digits, 12, 19)),
-        lambda: ("https://" + word() + ".example.com", "/" + "/".join(rng.choice(DICTIONARY) + pick(string.digits, 0, 4) for _ in range(3)) + pick(string.digits, 1, 3)),
-        lambda: (prose() + " ", "-".join(rng.choice(DICTIONARY) for _ in range(rng.randint(2, 4))) + "-" + pick(string.digits, 1, 6)),
-        lambda: (rng.choice([named(), prose() + " "]), rng.choice(["your_", "example_", "my_", "test_", "dummy_"]) + rng.choice(["password", "token", "secret_key", "api_key"]) + "_" + rng.choice(["here1", "123", "placeholder0"])),
-        lambda: (prose() + " ", rng.choice(DICTIONARY) + rng.choice(DICTIONARY).title() + rng.choice(DICTIONARY).title() + pick(string.digits, 1, 3)),
-        lambda: (prose() + " ", f"20{pick(string.digits, 2)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T{rng.randint(10, 23)}"),
-        lambda: (prose() + " ", pick(string.ascii_lowercase, 9, 16) + pick(string.digits, 1, 4)),
-        lambda: (prose() + " ", "+".join(pick(string.digits, 3, 5) for _ in range(4))),
-    ]
-    found = []
-    while len(found) < n:
-        label = len(found) % 2
-        before, candidate = rng.choice(secret if label else benign)()
-        if CANDIDATE.fullmatch(candidate):
-            found.append((before[-CONTEXT:], candidate, rng.choice(['"', "'", "", ";", ","]) + " " + prose(), label))
-    return found
 
+class _Examples:
+    """A source of labelled findings. SECRET and BENIGN: kinds, as methods that return what stands
+    before a candidate and the candidate."""
+
+    SECRET = ["hexadecimal", "letters_and_digits", "base64", "cloud_key", "prefixed", "web_token", "password", "letters_only", "url_password", "key_block", "bearer"]
+    BENIGN = ["checksum", "bare_hex", "uuid", "number", "path", "slug", "placeholder", "camel_case", "date", "word_and_digits", "sum", "assigned_word", "reference", "assigned_number"]
+
+    def __init__(self, seed: int):
+        self.rng = random.Random(seed)
+        self.hexa, self.alnum = "0123456789abcdef", string.ascii_letters + string.digits
+
+    def pick(self, chars: str, a: int, b: int | None = None) -> str:
+        return "".join(self.rng.choices(chars, k=self.rng.randint(a, b or a)))
+
+    def prose(self) -> str:
+        return " ".join(self.pick(string.ascii_lowercase, 2, 8) for _ in range(self.rng.randint(1, 5)))
+
+    def named(self) -> str:
+        names = ["password", "passwd", "pwd", "secret", "token", "api_key", "auth_token", "access_key", "private_key", "db_password", "API_KEY", "SECRET_KEY"]
+        return self.rng.choice(["", self.prose() + " ", "my_"]) + self.rng.choice(names) + self.rng.choice(["=", " = ", ": ", '="', ' = "', "='", ' => "', '": "'])
+
+    def or_prose(self) -> str:
+        return self.rng.choice([self.named(), self.prose() + " "])
+
+    def word(self) -> str:
+        return self.rng.choice(DICTIONARY)
+
+    def hexadecimal(self):
+        return self.named(), self.pick(self.hexa, 16, 64)
+
+    def letters_and_digits(self):
+        return self.named(), self.pick(self.alnum, 14, 48)
+
+    def base64(self):
+        return self.named(), self.pick(self.alnum + "+/", 24, 64) + "=" * self.rng.randint(0, 2)
+
+    def cloud_key(self):
+        return self.prose() + " ", self.rng.choice(["AKIA", "ASIA"]) + self.pick(string.ascii_uppercase + string.digits, 16)
+
+    def prefixed(self):
+        return self.or_prose(), self.rng.choice(["ghp_", "gho_", "npm_", "hf_", "sk-", "sk_live_", "xoxb-", "glpat-"]) + self.pick(self.alnum, 20, 40)
+
+    def web_token(self):
+        return self.or_prose(), ".".join(["eyJ" + self.pick(self.alnum, 15, 60), *(self.pick(self.alnum + "_-", 20, 90) for _ in range(2))])
+
+    def password(self):
+        return self.named(), self.pick(self.alnum + "!#$%&*?@^", 6, 16) + self.pick(self.alnum, 1)
+
+    def letters_only(self):
+        return self.named(), self.pick(string.ascii_letters, 14, 40)
+
+    def url_password(self):
+        scheme = self.rng.choice(["postgres", "mysql", "https", "redis", "amqp", "mongodb", "ftp"])
+        return f"{scheme}://{self.rng.choice(['', 'admin', 'root', self.word()])}:", self.pick(self.alnum + "!$%_-", 6, 20)
 
-def fit_forest(findings: list[tuple[str, str, str, int]] | None = None) -> RandomForest:
-    """A forest from labelled findings (before, candidate, after, label); the examples if None."""
+    def key_block(self):
+        kind = self.rng.choice(["", "RSA ", "EC ", "OPENSSH "])
+        body = "\n".join(self.pick(self.alnum + "+/", 64) for _ in range(self.rng.randint(2, 12)))
+        return self.prose() + "\n", f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----"
+
+    def bearer(self):
+        return self.rng.choice(["Authorization: ", self.prose() + " "]) + "Bearer ", self.pick(self.alnum + "._-", 16, 60) + self.pick(self.alnum, 1)
+
+    def checksum(self):
+        return self.prose() + " " + self.rng.choice(BENIGN_WORDS) + self.rng.choice([" ", ": ", "=", " = "]), self.pick(self.hexa, self.rng.choice([32, 40, 64]))
+
+    def bare_hex(self):
+        return self.prose() + " ", self.pick(self.hexa, self.rng.choice([32, 40, 64]))
+
+    def uuid(self):
+        return self.rng.choice([self.prose() + " ", "id=", "uuid: ", "key "]), str(uuid.UUID(int=self.rng.getrandbits(128), version=4))
+
+    def number(self):
+        return self.rng.choice([self.prose() + " ", "card ", "| ", "no. ", "order "]), self.pick(string.digits, 12, 19)
+
+    def path(self):
+        return f"https://{self.pick(string.ascii_lowercase, 2, 8)}.example.", "com/" + "/".join(self.word() + self.pick(string.digits, 0, 4) for _ in range(3)) + self.pick(string.digits, 1, 3)
+
+    def slug(self):
+        return self.prose() + " ", "-".join(self.word() for _ in range(self.rng.randint(2, 4))) + "-" + self.pick(string.digits, 1, 6)
+
+    def placeholder(self):
+        return self.or_prose(), self.rng.choice(["your_", "example_", "my_", "test_", "dummy_", "your-", "insert-"]) + self.rng.choice(["password", "token", "secret_key", "api_key", "key"]) + self.rng.choice(["_here1", "_123", "_placeholder0", "", "_here", "-here"])
+
+    def camel_case(self):
+        return self.prose() + " ", self.word() + self.word().title() + self.word().title() + self.pick(string.digits, 1, 3)
+
+    def date(self):
+        r = self.rng
+        return self.prose() + " ", f"20{self.pick(string.digits, 2)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}"
+
+    def word_and_digits(self):
+        return self.prose() + " ", self.pick(string.ascii_lowercase, 9, 16) + self.pick(string.digits, 1, 4)
+
+    def sum(self):
+        return self.prose() + " ", "+".join(self.pick(string.digits, 3, 5) for _ in range(4))
+
+    def assigned_word(self):
+        return self.named(), self.rng.choice([self.word() + self.rng.choice(["", self.word(), "ed", "ing", "s"]), "null", "None", "true", "false", "required", "string", "optional", "nothing", "undefined", self.pick(string.ascii_lowercase, 4, 9)])
+
+    def reference(self):
+        forms = ["os.environ", "process.env." + self.word().upper(), "self." + self.word(), self.word() + "." + self.word(), "$" + self.word().upper(), "/" + self.word() + "/" + self.word(), self.word() + "_" + self.word(), "get" + self.word().title() + self.word().title()]
+        return self.named(), self.rng.choice(forms)
+
+    def assigned_number(self):
+        return self.named(), self.pick(string.digits, 4, 6)
+
+    def findings(self, n: int, kinds: list[str]) -> list[tuple[str, str, str, int]]:
+        """So many findings of these kinds, those of either label as often if both are among them."""
+        of = [ks for ks in ([k for k in kinds if k in self.BENIGN], [k for k in kinds if k in self.SECRET]) if ks]
+        found, tried = [], 0
+        while len(found) < n:
+            tried += 1
+            kind = self.rng.choice(of[tried % len(of)])
+            before, candidate = getattr(self, kind)()
+            after = "@" + self.word() + ".example.com" if kind == "url_password" else self.rng.choice(['"', "'", "", ",", "\n"]) + " " + self.prose()
+            if (len(before), len(before) + len(candidate)) in candidates(before + candidate + after):
+                found.append((before[-CONTEXT:], candidate, after[:CONTEXT], int(kind in self.SECRET)))
+        return found
+
+
+def example_findings(n: int = 6000, seed: int = 3, kinds: list[str] | None = None, without: tuple[str, ...] = ()) -> list[tuple[str, str, str, int]]:
+    """Labelled findings to train from where no own ones are at hand: (before, candidate, after, label).
+
+    Half are keys and passwords as configuration, code and prose hold them, half what they are
+    mistaken for; of these kinds (all, if None) but those left out."""
+    kinds = kinds or _Examples.SECRET + _Examples.BENIGN
+    return _Examples(seed).findings(n, [k for k in kinds if k not in without])
+
+
+def fit_forest(findings: list[tuple[str, str, str, int]] | DataFrame | None = None) -> RandomForest:
+    """A forest from labelled findings (before, candidate, after, label: 1 for a secret); the examples
+    if None. Of a table, rows with nulls are left out, and at most MAX_FINDINGS are taken, by hash. Without findings
+    nothing is a secret."""
+    if isinstance(findings, DataFrame):
+        names = ["before", "candidate", "after", "label"]
+        rows = findings.select(*names).dropna().filter("candidate <> ''")
+        findings = [(r.before, r.candidate, r.after, int(r.label)) for r in rows.orderBy(F.xxhash64(*names), *names).limit(MAX_FINDINGS).collect()]
     findings = example_findings() if findings is None else findings
+    if not findings:
+        return RandomForest(trees=0)
     return RandomForest().fit(np.array([features(*f[:3]) for f in findings], float), np.array([f[3] for f in findings]))
 
 
 def scan(texts: list[str], forest: RandomForest) -> list[list[tuple[int, int, float]]]:
     """(start, end, score) of each candidate of each whole text; in code points."""
-    spans = [[m.span() for m in CANDIDATE.finditer(t)] for t in texts]
+    spans = [candidates(t) for t in texts]
     rows = [features(t[max(0, a - CONTEXT) : a], t[a:b], t[b : b + CONTEXT]) for t, found in zip(texts, spans, strict=True) for a, b in found]
     scores = iter(forest.score(np.array(rows, float)).tolist() if rows else [])
     return [[(a, b, next(scores)) for a, b in found] for found in spans]
@@ -222,7 +362,8 @@ def find_secrets(docs: DataFrame, forest: RandomForest | None = None, threshold:
 
     start is a 0-based code point; the candidate itself isn't returned, but its digest is. Texts
     without candidates and null texts have no rows. Null ids stay; a repeated row's candidates are
-    repeated. A score at the threshold counts as secret. Other columns are not read.
+    repeated. A score at the threshold counts as secret. Other columns are not read; an empty table
+    gives an empty one.
     """
     key, shared = docs.schema[id_col].dataType.simpleString(), docs.sparkSession.sparkContext.broadcast(forest or fit_forest())
 
@@ -240,7 +381,9 @@ def find_secrets(docs: DataFrame, forest: RandomForest | None = None, threshold:
 
 def mask_secrets(docs: DataFrame, forest: RandomForest | None = None, threshold: float = THRESHOLD, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """All rows with secrets in the text replaced by a mask, and the length column, if the table
-    has it, set to the new length in code points where the text changed. Null text stays null."""
+    has it, set to the new length in code points where the text changed. Null text stays null, and a
+    repeated row is masked as often as it occurs. A score at the threshold counts as secret. An empty
+    table stays empty; other columns stay as they are."""
     at, shared = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(forest or fit_forest())
     size_at = docs.columns.index(length_col) if length_col in docs.columns else None
 
