@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm._common import written
+from folio.llm._common import removed, written_at
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     are pre-aggregated before they are shuffled. Links of a node to itself and repeated links do
     no harm; rows with a null end are left out.
     """
-    edges = written(links.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    edges, path = written_at(links.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
     while True:
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
@@ -31,4 +31,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         # Small star: smaller neighbours, and the node itself, go to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        old = path
+        edges, path = written_at(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        removed(links.sparkSession, old)
