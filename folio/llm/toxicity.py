@@ -5,12 +5,16 @@ of a window of neighbouring words are averaged and go into a linear softmax over
 Embeddings and softmax are trained jointly in numpy, so that misspellings and inflections that were
 never seen share the n-gram vectors of those that were. A text is as toxic as its worst window: in
 a long text a few words would vanish in the average over all of it. Labels are of texts, so
-training goes back and forth between finding each text's worst window and learning from those.
+training first averages whole texts and then goes back and forth between finding each text's worst
+window and learning from those. The score is the softmax of the worst window; its temperature and
+its prior are fitted on texts that training didn't see.
 
 A run without blanks that is longer than WORD_CHARS is split at marks, and what is still longer into
 overlapping pieces; each counts as a word, so that nothing of it is left out or vanishes in it.
 
 Scoring covers whole texts of all rows. Only the fit uses a bounded sample of the labelled rows.
+Arrow splits the texts of a batch and numbers their words; numpy hashes the n-grams of all its
+distinct words at once, and finds the worst windows of all its texts at once.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm._common import Memo, slices
+from folio.llm._common import slices
 
 #: Words of a window.
 WINDOW = 3
@@ -38,137 +42,174 @@ BUCKETS = 1 << 18
 DIM = 8
 #: Most labelled texts of each class, and most bytes of text of all of them, that the fit takes;
 #: they are chosen by a hash of their id.
-MAX_DOCS_PER_CLASS = 2500
-MAX_TRAIN_BYTES = 32 << 20
+MAX_DOCS_PER_CLASS = 3000
+MAX_TRAIN_BYTES = 48 << 20
 EPOCHS = 12
-#: Words that a Python worker remembers with their scores.
-MEMO_WORDS = 1_000_000
+#: Epochs at the start in which a text's average is over all of its words, or over a stretch of so
+#: many at random.
+WHOLE_EPOCHS, WHOLE_WORDS = 1, 4096
 #: Windows at random that each clean text adds to its worst one.
 ANYWHERE = 3
 #: What is left of all weights after each epoch.
 DECAY = 0.6
+#: Rows, and bytes of text, that are scored together.
+SCORED_ROWS, SCORED_BYTES = 4096, 16 << 20
 
 _EDGE = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "«»„“”‘’¿¡…–—"
-
-
-def ngrams(word: str) -> list[int]:
-    """Buckets of a word's character n-grams, its two ends marked; the word itself is one of them."""
-    w = f"<{word}>"
-    return [zlib.crc32(g.encode()) % BUCKETS for g in {w, *(w[i : i + n] for n in NGRAMS for i in range(len(w) - n + 1))}]
-
-
-def words(text: str) -> list[str]:
-    return text.lower().split()
-
-
-def clean_word(raw: str) -> str:
-    return raw.strip(_EDGE)
-
-
 _MARKS = re.compile(f"[{re.escape(_EDGE)}]+")
 
 
-def split_run(raw: str) -> list[str]:
-    """The words of a run without blanks, in lower case: itself, or its parts and overlapping pieces
-    of them if it is too long; none where nothing but marks stands there."""
-    w = clean_word(raw.lower())
+def split_run(word: str) -> list[str]:
+    """The words of a run without blanks: itself, or its parts and overlapping pieces of them if it
+    is too long; none where nothing but marks stands there."""
+    w = word.strip(_EDGE)
     if len(w) <= WORD_CHARS:
         return [w] if w else []
     step = WORD_CHARS // 2
     return [p[at : at + WORD_CHARS] for p in _MARKS.split(w) if p for at in range(0, max(1, len(p) - step), step)]
 
 
-def window_means(scores: np.ndarray) -> np.ndarray:
-    """Mean over each window of neighbouring words; a shorter text is one window."""
-    if len(scores) <= WINDOW:
-        return scores.mean(keepdims=True)
-    sums = np.cumsum(np.concatenate(([0.0], scores)))
-    return (sums[WINDOW:] - sums[:-WINDOW]) / WINDOW
+def numbered_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct, at, ends): the distinct words of some texts in lower case, without marks around
+    them; the number of each word where it stands; and where each text's words end, from 0."""
+    # Trimmed first: Arrow may miss white space that ends a text.
+    split = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(pc.fill_null(texts, ""))))
+    numbered = split.flatten().dictionary_encode()
+    distinct, at = pc.utf8_trim(numbered.dictionary, characters=_EDGE), numbered.indices.to_numpy()
+    ends = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+    size = pc.utf8_length(distinct).to_numpy()
+    long = np.flatnonzero(size > WORD_CHARS)
+    if len(long):
+        parts = [split_run(w) for w in distinct.take(pa.array(long)).to_pylist()]
+        begin = np.arange(len(distinct))
+        count = (size > 0).astype(np.int64)
+        count[long] = list(map(len, parts))
+        begin[long] = len(distinct) + np.cumsum(count[long]) - count[long]
+        distinct = pa.concat_arrays([distinct, pa.array([w for p in parts for w in p], pa.string())])
+    else:
+        begin, count = np.arange(len(distinct)), (size > 0).astype(np.int64)
+    after = np.concatenate(([0], np.cumsum(count[at])))
+    return distinct, _ragged(begin[at], count[at]), after[ends]
+
+
+def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... (size of them) for each entry, one entry after another."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def ngram_buckets(words: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """(per n: (bucket at each character, whether an n-gram begins there), begin of each word, buckets
+    of whole words): n-grams of characters with the ends of words marked, hashed at once."""
+    marked = pc.binary_join_element_wise("<", words, ">", "")
+    _, offsets, raw = marked.buffers()
+    raw = raw.to_pybytes()[: np.frombuffer(offsets, np.int32)[len(marked)]] if len(marked) else b""
+    code = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = pc.utf8_length(marked).to_numpy().astype(np.int64)
+    begin = np.cumsum(size) - size
+    left = np.repeat(begin + size, size) - np.arange(len(code))  # characters to the word's end
+    padded, rolled, found = np.concatenate((code, np.zeros(max(NGRAMS), np.uint64))), np.zeros(len(code), np.uint64), []
+    for n in range(max(NGRAMS)):
+        rolled = rolled * np.uint64(0x100000001B3) + padded[n : n + len(code)]
+        if n + 1 in NGRAMS:
+            found.append(((_mixed(rolled + np.uint64(n)) & np.uint64(BUCKETS - 1)).astype(np.int64), left > n))
+    whole = np.add.reduceat(_mixed(code + (left.astype(np.uint64) << np.uint64(32))), begin) if len(words) else np.zeros(0, np.uint64)
+    return found, begin, (_mixed(whole) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def word_rows(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(flat, at): the buckets of word i are flat[at[i] : at[i + 1]]."""
+    flats, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for first in range(0, len(words), 1 << 14):  # some at a time, to bound what is held in between
+        some = words.slice(first, 1 << 14)
+        found, begin, whole = ngram_buckets(some)
+        of = np.repeat(np.arange(len(some)), np.diff(np.append(begin, len(found[0][0]))))
+        flat, word = np.concatenate([b[v] for b, v in found] + [whole]), np.concatenate([of[v] for _, v in found] + [np.arange(len(some))])
+        flats.append(flat[np.argsort(word, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(word, minlength=len(some)))
+    return np.concatenate(flats), np.cumsum(np.concatenate(sizes))
+
+
+def word_means(words: pa.Array, per_bucket: np.ndarray) -> np.ndarray:
+    """Mean over the buckets of each word."""
+    found, begin, whole = ngram_buckets(words)
+    if not len(words):
+        return np.zeros(0)
+    total = np.add.reduceat(sum(np.where(v, per_bucket[b], 0) for b, v in found).astype(np.float64), begin) + per_bucket[whole]
+    return total / (1 + np.add.reduceat(sum(v.astype(np.int64) for _, v in found), begin))
+
+
+def worst_windows(of_word: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, mean) of each text's worst window of words; of_word: a value for each word of all
+    texts; a shorter text is one window. Texts without words: no number."""
+    begin, size = ends[:-1], np.diff(ends)
+    n = np.maximum(size - WINDOW + 1, (size > 0).astype(np.int64))
+    starts = _ragged(begin, n)
+    width = np.repeat(np.minimum(size, WINDOW), n)
+    mean = np.zeros(len(starts))
+    for k in range(WINDOW):
+        mean += np.where(width > k, of_word[np.minimum(starts + k, len(of_word) - 1)], 0)
+    mean /= np.maximum(width, 1)
+    some = n > 0
+    top = np.full(len(n), np.nan)
+    first = np.cumsum(n) - n
+    if some.any():
+        top[some] = np.maximum.reduceat(mean, first[some])
+    at = np.zeros(len(n), np.int64)
+    hit = np.flatnonzero(mean == np.repeat(top, n))
+    text = np.repeat(np.arange(len(n)), n)[hit]
+    at[text[::-1]] = starts[hit[::-1]] - begin[text[::-1]]  # the first of equal ones
+    return at, top
 
 
 @dataclass
 class ToxicityModel:
     """bucket_logit: each bucket's embedding times the softmax's weights (toxic less clean), which
-    is all that scoring needs, since averaging and the linear layer commute. empty: the score of a
-    text without words."""
+    is all that scoring needs, since averaging and the linear layer commute. bias: the softmax's,
+    with the prior that was fitted; temperature: what its logit is divided by. empty: the score of
+    a text without words."""
 
     bucket_logit: np.ndarray
     bias: float
-    scale: float
+    temperature: float
     empty: float
 
-    def word_logit(self, raw: str) -> float:
-        """Of a word as it stands in the text; not a number where nothing but marks stands there."""
-        w = clean_word(raw.lower())
-        return float(self.bucket_logit[ngrams(w)].mean()) if w else np.nan
-
-    def scores(self, texts: pa.Array, memo: dict) -> list[float]:
-        """Score of each text; null counts as empty. memo: word_logit of words met before. Arrow
-        splits the texts and numbers their words, so that each distinct one is looked up once."""
-        split = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
-        numbered = split.flatten().dictionary_encode()
-        some, at = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
-        ends = split.offsets.to_numpy() - split.offsets[0].as_py()
-        if max(map(len, some), default=0) > WORD_CHARS:
-            parts = [[w] if len(w) <= WORD_CHARS else split_run(w) for w in some]
-            size = np.fromiter(map(len, parts), np.int64, len(parts))
-            begin, n = (np.cumsum(size) - size)[at], size[at]
-            after = np.concatenate(([0], np.cumsum(n)))
-            at, ends = np.arange(after[-1]) + np.repeat(begin - after[:-1], n), after[ends]
-            some = [w for p in parts for w in p]
-        of = np.fromiter(map(memo.__getitem__, some), np.float64, len(some))[at]
-        real = ~np.isnan(of)
-        cuts = np.concatenate(([0], np.cumsum(real)))[ends]
-        of = of[real]
-        worst = [float(window_means(of[a:z]).max()) if z > a else None for a, z in zip(cuts, cuts[1:], strict=False)]
-        return [self.empty if w is None else float(1 / (1 + np.exp(-np.clip(self.scale * (w + self.bias), -500, 500)))) for w in worst]
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """Softmax of the worst window of each text; null counts as empty."""
+        distinct, at, ends = numbered_words(texts)
+        _, top = worst_windows(word_means(distinct, self.bucket_logit)[at], ends)
+        z = np.clip((np.nan_to_num(top) + self.bias) / self.temperature, -500, 500)
+        return np.where(np.isnan(top), self.empty, 1 / (1 + np.exp(-z)))
 
 
 class _Sample:
-    """Training texts as word numbers, words as rows of buckets."""
+    """Training texts: words as rows of buckets, and where the texts hold them."""
 
     def __init__(self, texts: list[str]):
-        number: dict[str, int] = {}
-        rows: list[list[int]] = []
-        self.docs = []
-        for text in texts:
-            ids = []
-            for w in (w for raw in words(text) for w in split_run(raw)):
-                i = number.get(w)
-                if i is None:
-                    i = number[w] = len(rows)
-                    rows.append(ngrams(w))
-                ids.append(i)
-            self.docs.append(np.array(ids, np.int32))
-        size = np.fromiter(map(len, rows), np.int64, len(rows))
-        self.at = np.concatenate(([0], np.cumsum(size)))
-        self.flat = np.fromiter((b for r in rows for b in r), np.int32, int(self.at[-1]))
-        self.size = size
+        distinct, word, self.ends = numbered_words(pa.array(texts, pa.string()))
+        self.word = word.astype(np.int32)
+        self.flat, self.at = word_rows(distinct)
+        self.size = np.diff(self.at)
 
     def word_means(self, per_bucket: np.ndarray) -> np.ndarray:
-        sums = np.concatenate(([0.0], np.cumsum(per_bucket[self.flat], dtype=np.float64)))
-        return (sums[self.at[1:]] - sums[self.at[:-1]]) / np.maximum(1, self.size)
-
-    def worst(self, of_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each text's worst window starts, and its mean."""
-        at, top = np.zeros(len(self.docs), np.int64), np.zeros(len(self.docs))
-        for i, d in enumerate(self.docs):
-            if len(d):
-                m = window_means(of_word[d])
-                at[i] = m.argmax()
-                top[i] = m[at[i]]
-        return at, top
-
-    def buckets_of(self, doc: int, start: int) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets of a window, and the weight of each in its average."""
-        ids = self.docs[doc][start : start + WINDOW]
-        parts = [self.flat[self.at[i] : self.at[i + 1]] for i in ids]
-        return np.concatenate(parts), np.concatenate([np.full(len(p), 1 / (max(1, len(p)) * len(ids))) for p in parts])
+        total = np.add.reduceat(per_bucket[self.flat], self.at[:-1], dtype=np.float64) if len(self.size) else np.zeros(0)
+        return (total / self.size)[self.word]
+
+    def buckets_of(self, docs: np.ndarray, start: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, bucket, weight): buckets of some windows, and the weight of each in its average."""
+        ids = self.word[_ragged(self.ends[docs] + start, width)]
+        size = self.size[ids]
+        row = np.repeat(np.repeat(np.arange(len(docs)), width), size)
+        return row, self.flat[_ragged(self.at[ids], size)], np.repeat(1 / (size * np.repeat(width, width)), size).astype(np.float32)
 
 
 def fit_model(texts: list[str], toxic: list[int], seed: int = 7, epochs: int = EPOCHS, natural: float | None = None) -> ToxicityModel:
-    """Train on (text, 0/1). Every fifth text is kept back to place the threshold; natural is the
-    share of toxic texts where they come from, by which the two kinds of error are weighed there.
+    """Train on (text, 0/1). Every fifth text is kept back to fit prior and temperature; natural is
+    the share of toxic texts where they come from, by which the two kinds of error are weighed there.
 
     Without texts of both classes every text is as those that there are, or clean if there are none.
     """
@@ -177,38 +218,32 @@ def fit_model(texts: list[str], toxic: list[int], seed: int = 7, epochs: int = E
     if len(set(toxic)) < 2:
         return ToxicityModel(np.zeros(BUCKETS, np.float32), 1e6 if share else -1e6, 1.0, share)
     rng, s = np.random.default_rng(seed), _Sample(texts)
-    filled = np.array([len(d) > 0 for d in s.docs])
+    words = np.diff(s.ends)
     held = np.arange(len(y)) % 5 == 4
-    train = np.flatnonzero(filled & ~held)
-
-    # Where to begin: how much more often toxic texts hold a bucket than clean ones.
-    df = np.full((2, BUCKETS), 0.5)
-    for i in train:
-        found = np.unique(s.docs[i])
-        df[y[i], np.unique(np.concatenate([s.flat[s.at[w] : s.at[w + 1]] for w in found]))] += 1
-    n = np.bincount(y[train], minlength=2) + 1.0
-    at, _ = s.worst(s.word_means(np.log(df[1] / n[1]) - np.log(df[0] / n[0])))
+    train = np.flatnonzero((words > 0) & ~held)
+    clean = train[y[train] == 0]
+    width = np.minimum(words, WINDOW)
 
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     soft, bias = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     emb_sq, soft_sq, bias_sq = np.full(BUCKETS, 1e-6, np.float32), 1e-6, 1e-6
     for epoch in range(epochs):
-        if epoch:
-            at, _ = s.worst(s.word_means(emb @ (soft[:, 1] - soft[:, 0])))
-        clean = train[y[train] == 0]
-        anywhere = [(i, int(rng.integers(max(1, len(s.docs[i]) - WINDOW + 1)))) for i in np.repeat(clean, ANYWHERE)]
-        jobs = [(i, int(at[i])) for i in train] + anywhere
-        for k in np.array_split(rng.permutation(len(jobs)), max(1, len(jobs) // 64)):
-            batch = [jobs[j] for j in k]
-            parts = [s.buckets_of(*job) for job in batch]
-            row = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-            buckets, weight = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.float32)
-            h = np.zeros((len(parts), DIM), np.float32)
-            np.add.at(h, row, emb[buckets] * weight[:, None])
+        if epoch < WHOLE_EPOCHS:
+            docs, wide = train, np.minimum(words[train], WHOLE_WORDS)
+            start = rng.integers(0, words[train] - wide + 1)
+        else:
+            at, _ = worst_windows(s.word_means(emb @ (soft[:, 1] - soft[:, 0])), s.ends)
+            more = np.repeat(clean, ANYWHERE)
+            docs = np.concatenate((train, more))
+            start = np.concatenate((at[train], rng.integers(0, words[more] - width[more] + 1)))
+            wide = width[docs]
+        for k in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // (16 if epoch < WHOLE_EPOCHS else 64))):
+            row, buckets, weight = s.buckets_of(docs[k], start[k], wide[k])
+            h = np.add.reduceat(emb[buckets] * weight[:, None], np.flatnonzero(np.diff(row, prepend=-1)))
             z = h @ soft + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            p[np.arange(len(p)), y[[i for i, _ in batch]]] -= 1
+            p[np.arange(len(p)), y[docs[k]]] -= 1
             back = (p @ soft.T)[row] * weight[:, None]
             g_soft, g_bias = h.T @ p / len(p), p.mean(0)
             soft_sq, bias_sq = soft_sq + (g_soft**2).mean(), bias_sq + (g_bias**2).mean()
@@ -220,9 +255,10 @@ def fit_model(texts: list[str], toxic: list[int], seed: int = 7, epochs: int = E
         soft *= DECAY
     logit = (emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
 
-    # The threshold lies where it errs least on the texts kept back, in the middle of the gap.
-    _, top = s.worst(s.word_means(logit))
-    check = np.flatnonzero(held & filled) if len(set(y[held & filled])) == 2 else train
+    # Prior and temperature, on the texts kept back: half lies where fewest errors are made, in the
+    # middle of the gap; the temperature is the likeliest one.
+    _, top = worst_windows(s.word_means(logit), s.ends)
+    check = np.flatnonzero(held & (words > 0)) if len(set(y[held & (words > 0)])) == 2 else train
     order = check[np.argsort(top[check], kind="stable")]
     below = np.concatenate(([0], np.cumsum(y[order] == 1)))  # toxic ones called clean
     above = np.concatenate((np.cumsum((y[order] == 0)[::-1])[::-1], [0]))  # clean ones called toxic
@@ -231,8 +267,10 @@ def fit_model(texts: list[str], toxic: list[int], seed: int = 7, epochs: int = E
     best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
     cut = best[len(best) // 2]
     edge = np.concatenate(([top[order[0]] - 1], top[order], [top[order[-1]] + 1]))
-    threshold = (edge[cut] + edge[cut + 1]) / 2
-    return ToxicityModel(logit, -float(threshold), 3.0 / max(1e-6, float(top[check].std())), share)
+    z = top[order] - (edge[cut] + edge[cut + 1]) / 2
+    spread = max(1e-6, float(z.std())) * np.geomspace(0.02, 2, 60)
+    loss = [np.logaddexp(0, np.where(y[order] == 1, -z, z) / t).mean() for t in spread]
+    return ToxicityModel(logit, -float(edge[cut] + edge[cut + 1]) / 2, float(spread[np.argmin(loss)]), share)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS_PER_CLASS, max_bytes: int = MAX_TRAIN_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
@@ -269,10 +307,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     key, shared = docs.schema[id_col].dataType, docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(shared.value.word_logit, MEMO_WORDS)
-        for b in slices(batches, 1024):
-            scores = shared.value.scores(b.column(1), memo)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32())], names=[id_col, "score", "predicted"])
+        for b in slices(batches, SCORED_ROWS, SCORED_BYTES):
+            scores = shared.value.scores(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[id_col, "score", "predicted"])
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {key.simpleString()}, score double, predicted int")
 
@@ -282,8 +319,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
     at, shared = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(shared.value.word_logit, MEMO_WORDS)
-        for b in slices(batches, 1024):
-            yield b.filter(pa.array([x < 0.5 for x in shared.value.scores(b.column(at), memo)], pa.bool_()))
+        for b in slices(batches, SCORED_ROWS, SCORED_BYTES):
+            yield b.filter(pa.array(shared.value.scores(b.column(at)) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
