@@ -1,14 +1,17 @@
-"""Classify a folder of score vectors: spark-submit folio/cli.py SCORES --motor auto --saida OUT."""
+"""Diagnose a folder of images with an ONNX classifier: spark-submit folio/cli.py FOLDER --modelo M.onnx
+--motor auto --saida OUT. Without a model the folder is a table of ready score vectors."""
 
 from __future__ import annotations
 
 import argparse
 import sys
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from folio import domain as D
-from folio.operators import merge
+from folio.functions import text
+from folio.operators import merge, scorers
 from folio.operators.classify import classify
 from folio.session import ship_library
 from folio.sources import exports
@@ -20,7 +23,9 @@ def _no_vlm(_):
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("scores", help="Parquet with pos, arquivo, p")
+    parser.add_argument("pasta", help="folder of images; without --modelo, Parquet with pos, arquivo, p")
+    parser.add_argument("--modelo", help="ONNX file of a classifier whose classes are the catalogue's, in its order")
+    parser.add_argument("--lado", type=int, default=224, help="side of the model's input")
     parser.add_argument("--motor", choices=sorted(merge.MODES), default="auto")
     parser.add_argument("--saida", default="exportacoes")
     parser.add_argument("--limiar", type=float, default=D.THRESHOLD)
@@ -28,16 +33,29 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.getOrCreate()
     ship_library(spark)
     try:
-        items = spark.read.parquet(args.scores)
-        records, warnings = merge.analyse(items, lambda i: classify(i, args.limiar).cache(), _no_vlm, merge.MODES[args.motor])
-        csv, doc = exports.save(records, args.saida, threshold=args.limiar, order=("pos", "ordem"))
+        warnings = []
+        if args.modelo:
+            items, bad = scorers.folder_scores(spark, args.pasta, args.modelo, args.lado)
+            warnings = [f"{r.arquivo} could not be decoded" for r in bad.orderBy("arquivo").limit(20).collect()]
+        else:
+            items = spark.read.parquet(args.pasta)
+        as_of, version = text.now_iso(), Path(args.modelo).stem if args.modelo else "stub v1.0.0"
+        items = items.cache()
+        records, more = merge.analyse(items, lambda i: classify(i, args.limiar, as_of, version), _no_vlm, merge.MODES[args.motor])
+        records = records.cache()
+        for r in records.orderBy("pos", "ordem").select(text.padded(records["arquivo"], 32).alias("a"), text.padded(records["diagnostico"], 28).alias("d"), "motor", "confianca_texto").toLocalIterator():
+            print(f"  [{'CNN' if r.motor == D.CNN else 'VLM'}] {r.a} {r.d} {r.confianca_texto}")
+        paths = exports.save(records, args.saida, prefix=Path(args.pasta).name if args.modelo else "analise", threshold=args.limiar, order=("pos", "ordem"))
+        totals = merge.summary(records).first().asDict()
+        records.unpersist()
+        items.unpersist()
     except Exception as e:
         print(f"failed: {e}", file=sys.stderr)
         return 1
-    for w in warnings:
+    for w in warnings + more:
         print(f"warning: {w}", file=sys.stderr)
-    print(merge.summary(records).first().asDict())
-    print(csv, doc, sep="\n")
+    print(totals)
+    print(*paths, sep="\n")
     return 0
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -26,25 +27,35 @@ class Engine:
         return {"modos": list(merge.MODES.values()), "limiar_padrao": D.THRESHOLD, "classes": [{"id": c[0], "cultura": c[2], "diagnostico": c[3], "condicao": c[4]} for c in D.CATALOGUE], "total_historico": self.history.total()}
 
     def analyse(self, items: DataFrame, mode: str = merge.AUTO, keep: bool = True) -> tuple[DataFrame, list[str]]:
-        """(records, warnings); the CNN's records are cached, as the second engine depends on them."""
-        records, warnings = merge.analyse(items, lambda i: self.cnn(i).cache(), self.vlm, mode)
+        """(records, warnings). What an engine answers is written once, next to the history, and read
+        from there by all that follows: no item is asked about twice, and history and caller have
+        the same answers."""
+        records, warnings = merge.analyse(items, lambda i: self._once(self.cnn(i)), lambda i: self._once(self.vlm(i)), mode)
         if keep:
             self.history.save_all(records)
         return records, warnings
 
-    def export(self, folder: str, prefix: str = "historico") -> tuple[Path, Path]:
-        """CSV and JSON of the whole history; an error if there is none."""
+    def _once(self, answers: DataFrame) -> DataFrame:
+        path = f"{self.history.path.rstrip('/')}-answers/{uuid.uuid4().hex}"
+        answers.write.parquet(path)
+        return self.spark.read.schema(answers.schema).parquet(path)
+
+    def export(self, folder: str, prefix: str = "historico", formats: tuple[str, ...] = exports.FORMATS) -> list[Path]:
+        """The whole history as files of these formats; an error if there is none, or for an unknown
+        format."""
         if not self.history.total():
             raise LookupError("the history is empty")
-        return exports.save(self.history.records(), folder, prefix)
+        return exports.save(self.history.records(), folder, prefix, formats=formats)
 
 
 def serialised(records: DataFrame) -> DataFrame:
-    """(pos, documento): each record as JSON, its ranking as label and confidence; nulls are kept."""
+    """(pos, documento): each record as JSON, its ranking as label and confidence; nulls are kept.
+    id_historico is the record's id in the history, null if records have none."""
     labels = F.create_map(*[x for c in D.CATALOGUE for x in (F.lit(c[0]), F.lit(f"{c[2]} — {c[3]}"))])
     shown = F.transform("ranking", lambda r: F.struct(F.element_at(labels, r["id_classe"]).alias("rotulo"), r["confianca"].alias("confianca")))
     fields = [c for c in D.RECORD.names if c != "ranking"]
-    return records.select("pos", F.to_json(F.struct(*fields, shown.alias("ranking")), {"ignoreNullFields": "false"}).alias("documento"))
+    kept_as = (F.col("id_historico") if "id_historico" in records.columns else F.lit(None)).cast("bigint").alias("id_historico")
+    return records.select("pos", F.to_json(F.struct(kept_as, *fields, shown.alias("ranking")), {"ignoreNullFields": "false"}).alias("documento"))
 
 
 def save_metrics(measures: dict, path: str) -> None:

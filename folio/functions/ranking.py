@@ -6,9 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once for all that a lambda in it does."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def softmax(logits: Column) -> Column:
-    powers = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
+    powers = _bound(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    total = lambda w: F.aggregate(w, F.lit(0.0), lambda a, b: a + b)
+    return _bound(powers, lambda w: _bound(total(w), lambda s: F.transform(w, lambda x: x / s)))
 
 
 def ranked(p: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,12 +39,47 @@ def detail_line(*parts: Column) -> Column:
     return F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull() & ~x.isin("", "—")), " · ")
 
 
+def clamped_percent(share: Column, places: int = 2) -> Column:
+    """Percent of a share that counts as 1 at most."""
+    return percent(F.least(share, F.lit(1.0)), places)
+
+
+def padded(value: Column, width: int) -> Column:
+    """Left-aligned in a column of so many characters; longer text stays whole."""
+    return F.format_string(f"%-{width}s", value)
+
+
+def is_image_type(mime: Column) -> Column:
+    """Whether a MIME type is PNG or JPEG, in any case."""
+    return mime.rlike(r"(?i)^image/(png|jpe?g)$")
+
+
+def first_line(value: Column) -> Column:
+    return F.substring_index(value, "\n", 1)
+
+
+def file_size(size: Column) -> Column:
+    """Whole and tenth kilobytes, rounded down."""
+    return F.format_string("%.1f KB", F.floor(size * 10 / 1024) / 10)
+
+
+def model_version(architecture: Column, catalogue: Column, placeholder: str) -> Column:
+    """"architecture vX"; blanks around the name don't count, and blank or the placeholder is unknown."""
+    known = F.nullif(F.nullif(F.trim(architecture), F.lit("")), F.lit(placeholder))
+    return F.concat(F.coalesce(known, F.lit("desconhecida")), F.lit(" v"), catalogue.cast("string"))
+
+
 def html_escape(value: Column) -> Column:
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         value = F.replace(value, F.lit(char), F.lit(entity))
     return value
 
 
+def now_iso() -> str:
+    """Local time to the second."""
+    return datetime.datetime.now().isoformat(timespec="seconds")
+
+
 def human_date(iso: Column) -> Column:
     """dd/mm/yyyy às HH:MM; text that is no date stays as it is."""
     return F.coalesce(F.date_format(F.try_to_timestamp(iso), "dd/MM/yyyy 'às' HH:mm"), iso)

@@ -9,6 +9,16 @@ from folio import domain as D
 from folio.functions import ranking, text
 
 
+# How conditions are shown.
+DISPLAY = {D.HEALTHY: "selo-saudavel", D.DISEASED: "selo-doente", D.UNDETERMINED: "selo-indeterminado"}
+
+
+def display_class(condition: Column) -> Column:
+    """The display class of a condition; of an unknown or null one, that of undetermined."""
+    known = F.create_map(*[F.lit(x) for pair in DISPLAY.items() for x in pair])
+    return F.coalesce(F.element_at(known, condition), F.lit(DISPLAY[D.UNDETERMINED]))
+
+
 def class_map() -> Column:
     """idx to the catalogue's row, as a literal map: no join, no shuffle."""
     names = ["id", "cultura", "diagnostico", "condicao", "agente", "sintomas", "manejo"]
@@ -22,11 +32,27 @@ def label_of(info: Column) -> Column:
     return F.concat_ws(" — ", info["cultura"], info["diagnostico"])
 
 
-def classify(scores: DataFrame, threshold: float = D.THRESHOLD, as_of: str = "2024-01-01T00:00:00", version: str = "stub v1.0.0") -> DataFrame:
+def of_catalogue(p: Column) -> Column:
+    """The vector; one that is null or doesn't have a value for each class is an error, since its
+    classes can't be those of the catalogue."""
+    return F.when(F.size(p) == len(D.CATALOGUE), p).otherwise(F.raise_error(F.lit(f"a score vector must have {len(D.CATALOGUE)} values, one for each class of the catalogue")))
+
+
+def with_class(predictions: DataFrame, column: str = "id_classe") -> DataFrame:
+    """predictions with info, the catalogue's row of a class id; an unknown id is an error."""
+    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(["cultura", "diagnostico", "condicao", "agente", "sintomas", "manejo"], c[2:], strict=True)]) for c in D.CATALOGUE]
+    of_id = F.create_map(*[x for c, row in zip(D.CATALOGUE, rows, strict=True) for x in (F.lit(c[0]), row)])
+    found = F.element_at(of_id, F.col(column))
+    return predictions.withColumn("info", F.when(found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit("unknown class: "), F.coalesce(F.col(column), F.lit("null"))))))
+
+
+def classify(scores: DataFrame, threshold: float = D.THRESHOLD, as_of: str | None = None, version: str = "stub v1.0.0") -> DataFrame:
     """(pos, record columns) from (arquivo, pos, p): the best class, unless it is under the
-    threshold (strictly). as_of stands for the time of analysis, once for the batch."""
+    threshold (strictly). as_of is the time of analysis, once for the batch; now, if None. Vectors
+    that are null or not of the catalogue's classes are an error."""
     info = class_map()
-    d = scores.withColumn("_top", ranking.top_k(F.col("p")))
+    as_of = as_of or text.now_iso()
+    d = scores.withColumn("_top", ranking.top_k(of_catalogue(F.col("p"))))
     best = d.withColumn("_best", F.element_at("_top", 1)).withColumn("_info", F.element_at(info, F.col("_best.idx")))
     under = F.col("_best.confianca") < threshold
     pick = lambda c, literal: F.when(under, F.lit(literal)).otherwise(F.col(f"_info.{c}"))
@@ -60,8 +86,9 @@ def parse_answers(answers: DataFrame, json_col: str = "resposta") -> DataFrame:
     return d.withColumn("valido", F.coalesce(ok, F.lit(False)))
 
 
-def answers_to_records(parsed: DataFrame, as_of: str = "2024-01-01T00:00:00", version: str = "remote") -> DataFrame:
-    """(pos, record columns) from valid answers (pos, arquivo, laudo)."""
+def answers_to_records(parsed: DataFrame, as_of: str | None = None, version: str = "remote") -> DataFrame:
+    """(pos, record columns) from valid answers (pos, arquivo, laudo); as_of as for classify()."""
+    as_of = as_of or text.now_iso()
     a, no_plant = F.col("laudo"), ~F.col("laudo.e_planta")
     pick = lambda literal, c: F.when(no_plant, literal if isinstance(literal, Column) else F.lit(literal)).otherwise(c)
     return parsed.select(

@@ -71,9 +71,32 @@ def confidence_by_outcome(rows: DataFrame) -> DataFrame:
 def threshold_coverage(rows: DataFrame, thresholds: list[float]) -> DataFrame:
     """For each threshold: right answers rejected (and their share of all rows), errors blocked."""
     right = F.col("pred") == F.col("truth")
-    out = None
-    for t in thresholds:  # a few constants
+    found = []
+    for t in thresholds:  # all in one scan
         lost = right & (F.col("conf") < t)
-        one = rows.agg(F.lit(t).alias("limiar"), F.count_if(lost).alias("acertos_rejeitados"), F.avg(lost.cast("double")).alias("fracao_rejeitada"), F.count_if(~right & (F.col("conf") < t)).alias("erros_bloqueados"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        found.append(F.struct(F.lit(t).alias("limiar"), F.count_if(lost).alias("acertos_rejeitados"), F.avg(lost.cast("double")).alias("fracao_rejeitada"), F.count_if(~right & (F.col("conf") < t)).alias("erros_bloqueados")))
+    return rows.agg(F.array(*found).alias("found")).select(F.explode("found").alias("f")).select("f.*")
+
+
+def split_sizes(rows: DataFrame) -> DataFrame:
+    """One row: how many rows each split has."""
+    return rows.agg(*[F.count_if(F.col("conjunto") == s).alias(n) for s, n in zip(SPLITS, ["treino", "validacao", "teste"], strict=True)])
+
+
+def metrics(rows: DataFrame, training_rows: int, threshold: float) -> dict:
+    """The measures of a test set as one document: accuracy, sizes, and the report by class with the
+    overall accuracy and the averages. The driver gets a row for each class."""
+    names = {"precisao": "precision", "revocacao": "recall", "f1": "f1-score", "suporte": "support"}
+    report = {r.classe: {names[c]: r[c] for c in names} for r in class_report(rows).collect()}
+    total, right = rows.agg(F.count("*"), F.avg((F.col("pred") == F.col("truth")).cast("double"))).first()
+    averages = {k: report.pop(k) for k in ("macro avg", "weighted avg")}
+    by_class = dict(sorted(report.items(), key=lambda x: (len(x[0]), x[0])))
+    return {"acuracia_teste": right, "imagens_teste": total, "imagens_treino": training_rows, "limiar_confianca": threshold, "por_classe": {**by_class, "accuracy": right, **averages}}
+
+
+def joined_histories(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Two training phases' histories (metrica, valores array) as one: the second's values go on
+    after the first's; a measure that one phase lacks keeps the other's."""
+    b = second.select("metrica", F.col("valores").alias("_more"))
+    none = F.array().cast(second.schema["valores"].dataType)
+    return first.join(b, "metrica", "full").select("metrica", F.concat(F.coalesce("valores", none), F.coalesce("_more", none)).alias("valores"))

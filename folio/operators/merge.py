@@ -99,6 +99,20 @@ def summary(records: DataFrame) -> DataFrame:
     return records.agg(F.count("*").alias("total_laudos"), F.countDistinct("arquivo").alias("total_imagens"), *counts, *engines)
 
 
+def batch_signature(items: DataFrame, keys: list[str], mode: str, threshold: float, name: str = "n_name", size: str = "n") -> DataFrame:
+    """(keys, assinatura): names and sizes of each batch in order of the name, its mode and its
+    threshold as one text, by which a change of the batch is told."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(name).alias("a"), F.col(size).alias("b"))))
+    joined = F.array_join(F.transform(pairs, lambda x: F.concat(x["a"], F.lit(":"), x["b"].cast("string"))), "|")
+    return items.groupBy(*keys).agg(F.concat(joined, F.lit(f"|{mode}|{threshold}")).alias("assinatura"))
+
+
+def in_rows_of(items: DataFrame, batch: str, order: str, width: int = 3) -> DataFrame:
+    """items with linha: the row of a page that holds so many side by side, from 0 in each batch."""
+    place = F.row_number().over(Window.partitionBy(batch).orderBy(order))
+    return items.withColumn("linha", F.floor((place - 1) / width).cast("int"))
+
+
 def display_order(records: DataFrame) -> DataFrame:
     """records with lugar: the place when the CNN's come first, else as before; within a file."""
     w = Window.partitionBy("arquivo").orderBy(F.col("motor") != D.CNN, "pos", "ordem")

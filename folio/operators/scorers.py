@@ -11,10 +11,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio.domain import check_class_order
 from folio.functions.ranking import softmax
+from folio.operators.evaluate import numbered
 from folio.operators.merge import EngineUnavailable
+from folio.sources import images
+from folio.sources.files import IMAGE, image_files
 
 
 def stub_scores(items: DataFrame, classes: int = 12, sharpness: float = 8.0) -> DataFrame:
@@ -53,10 +57,11 @@ def all_or_nothing(answers: DataFrame, partial_ok: bool = False) -> DataFrame:
 
 
 def onnx_scores(tensors: DataFrame, model_path: str, side: int = 224, batch: int = 32) -> DataFrame:
-    """tensors(arquivo, tensor) with p, by an ONNX classifier of side x side x 3 float images.
+    """tensors with p in place of tensor, by an ONNX classifier of side x side x 3 float images.
 
-    The session is made once for each Python worker, and anew when the file has changed. Null
-    tensors get a null p."""
+    The session is made once for each Python worker, and anew when the file has changed; model_path
+    is a path that all of them can open. Null tensors get a null p; a tensor of another size is a
+    ValueError. Rows and all other columns stay."""
     import os
 
     stamp = os.path.getmtime(model_path)
@@ -65,16 +70,32 @@ def onnx_scores(tensors: DataFrame, model_path: str, side: int = 224, batch: int
         session = _session(model_path, stamp)
         name = session.get_inputs()[0].name
         for b in batches:
-            tensors_, out = b.column(1).to_pylist(), [None] * b.num_rows
+            tensors_, out = b.column(at_tensor).to_pylist(), [None] * b.num_rows
             filled = [i for i, t in enumerate(tensors_) if t is not None]
+            if any(len(tensors_[i]) != 4 * 3 * side * side for i in filled):
+                raise ValueError(f"tensors must be of {side} x {side} x 3 floats")
             for at in range(0, len(filled), batch):
                 some = filled[at : at + batch]
                 x = np.stack([np.frombuffer(tensors_[i], np.float32).reshape(side, side, 3) for i in some])
                 for i, row in zip(some, session.run(None, {name: x})[0], strict=True):
                     out[i] = row.astype(float).tolist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], names=["arquivo", "p"])
-
-    return tensors.select("arquivo", "tensor").mapInArrow(run, "arquivo string, p array<double>")
+            kept = [c for i, c in enumerate(b.columns) if i != at_tensor]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.list_(pa.float64()))], names=[*(n for n in b.schema.names if n != "tensor"), "p"])
+
+    at_tensor = tensors.columns.index("tensor")
+    schema = T.StructType([*(f for f in tensors.schema if f.name != "tensor"), T.StructField("p", T.ArrayType(T.DoubleType()))])
+    return tensors.mapInArrow(run, schema)
+
+
+def folder_scores(spark: SparkSession, folder: str, model_path: str, side: int = 224) -> tuple[DataFrame, DataFrame]:
+    """(scores, undecodable) of the images right in a folder: (pos, arquivo, p) in the order of their
+    paths, and (arquivo) of those that could not be decoded, which have no place in that order."""
+    listing = image_files(spark, folder, content=False)  # an error if there is none
+    tensors = images.model_inputs(images.decoded(spark, folder), side).filter(F.col("path").rlike(IMAGE))
+    scored = onnx_scores(tensors, model_path, side)
+    bad = tensors.filter("tensor IS NULL").select("arquivo")
+    placed = numbered(listing.select(F.regexp_replace("path", "^file:/+", "/").alias("path")), ["path"], "pos")
+    return placed.join(scored.filter("p IS NOT NULL"), "path").select("pos", "arquivo", "p"), bad
 
 
 @lru_cache(maxsize=1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio import domain as D
@@ -176,8 +176,8 @@ def label_match_ambiguous(spark, sf):
 
 @query("SELECT vec_id, label, CASE WHEN label % 2 = 0 THEN label // 2 ELSE -1 END AS remap FROM embeddings")
 def label_remap(spark, sf):
-    kept = F.create_map(*[F.lit(x) for k in range(0, 12, 2) for x in (k, k // 2)])
-    return X.table(spark, sf, "embeddings").select("vec_id", "label", F.coalesce(F.element_at(kept, F.col("label")), F.lit(-1)).alias("remap"))
+    kept = {k: k // 2 for k in range(0, 12, 2)}
+    return X.table(spark, sf, "embeddings").select("vec_id", "label", labels.remapped(F.col("label"), kept).alias("remap"))
 
 
 def _split(spark, sf):
@@ -195,9 +195,41 @@ def split_crosstab(spark, sf):
     return evaluate.split_crosstab(_split(spark, sf), "lang")
 
 
+@query(f"WITH {X.HITS_SQL}, {X.CATALOGUE_SQL} SELECT nm.nome, h.idx, cat.id AS id_classe FROM nm JOIN (SELECT nome, min(idx) AS idx FROM hits GROUP BY nome) h ON nm.nome = h.nome JOIN cat ON cat.idx = h.idx")
+def label_filter(spark, sf):
+    return labels.kept_labels(X.label_names(spark, sf), "nome")
+
+
+@query(f"WITH {X.SPLIT_SQL} SELECT count(*) FILTER (conjunto = 'treino') AS treino, count(*) FILTER (conjunto = 'validação') AS validacao, count(*) FILTER (conjunto = 'teste') AS teste FROM sp")
+def split_sizes(spark, sf):
+    return evaluate.split_sizes(_split(spark, sf))
+
+
+@query("""WITH h AS (SELECT r_name AS metrica, list(n_nationkey ORDER BY n_nationkey) FILTER (n_nationkey < 12) AS a, list(n_nationkey ORDER BY n_nationkey DESC) FILTER (n_nationkey >= 12) AS b FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name)
+ SELECT metrica, array_to_string(list_concat(coalesce(a, []), coalesce(b, [])), ',') AS valores FROM h""")
+def joined_histories(spark, sf):
+    n = X.table(spark, sf, "nation").join(X.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    phase = lambda rows, ascending: rows.groupBy(F.col("r_name").alias("metrica")).agg(F.sort_array(F.collect_list("n_nationkey"), ascending).alias("valores"))
+    both = evaluate.joined_histories(phase(n.filter("n_nationkey < 12"), True), phase(n.filter("n_nationkey >= 12"), False))
+    return both.select("metrica", F.array_join(F.col("valores").cast("array<string>"), ",").alias("valores"))
+
+
 # Evaluation
 
 
+@query(f"""WITH {X.PRED_SQL}, k AS (SELECT truth AS c FROM pr UNION SELECT pred FROM pr),
+ t AS (SELECT c, (SELECT count(*) FROM pr WHERE truth = c) AS t, (SELECT count(*) FROM pr WHERE pred = c) AS p, (SELECT count(*) FROM pr WHERE pred = c AND truth = c) AS tp FROM k)
+ SELECT (SELECT round(avg((pred = truth)::INT), 8) FROM pr) AS acuracia_teste, (SELECT count(*) FROM pr) AS imagens_teste, 70::BIGINT AS imagens_treino, 0.6::DOUBLE AS limiar_confianca,
+ count(*) AS classes, round(avg(2 * tp / (t + p)), 8) AS macro_f1, round(sum(t * 2 * tp / (t + p)) / sum(t), 8) AS weighted_f1, (SELECT round(avg((pred = truth)::INT), 8) FROM pr) AS accuracy FROM t""")
+def metrics_document(spark, sf):
+    m = evaluate.metrics(X.predictions(spark, sf), 70, 0.6)
+    by_class = m.pop("por_classe")
+    f1 = [round(by_class.pop(k)["f1-score"], 8) for k in ("macro avg", "weighted avg")]
+    overall = round(by_class.pop("accuracy"), 8)
+    row = (round(m["acuracia_teste"], 8), m["imagens_teste"], m["imagens_treino"], m["limiar_confianca"], len(by_class), *f1, overall)
+    return spark.createDataFrame([row], "acuracia_teste double, imagens_teste bigint, imagens_treino bigint, limiar_confianca double, classes bigint, macro_f1 double, weighted_f1 double, accuracy double")
+
+
 @query(f"WITH {X.PRED_SQL} SELECT round(avg((pred = truth)::INT), 8) AS acuracia FROM pr")
 def accuracy(spark, sf):
     return evaluate.accuracy(X.predictions(spark, sf)).select(F.round("acuracia", 8).alias("acuracia"))
@@ -256,14 +288,14 @@ def history_all(spark, sf):
     return d.select("id", "arquivo", "data_hora", "motor", "especie", "condicao", F.round("confianca", 4).alias("confianca"))
 
 
-@query(f"{_NOW} SELECT id, arquivo, motor FROM h WHERE id = 42")
+@query(f"{_NOW} SELECT id, arquivo, motor FROM h WHERE id = 43")
 def history_get(spark, sf):
-    return history.current(_log(spark, sf)).filter("id = 42").select("id", "arquivo", "motor")
+    return history.current(_log(spark, sf)).filter("id = 43").select("id", "arquivo", "motor")
 
 
-@query(f"{_NOW} SELECT id, props AS miniatura FROM h WHERE id = 42")
+@query(f"{_NOW} SELECT id, props AS miniatura FROM h WHERE id = 43")
 def history_thumb(spark, sf):
-    return history.current(_log(spark, sf)).filter("id = 42").select("id", F.decode("miniatura", "UTF-8").alias("miniatura"))
+    return history.current(_log(spark, sf)).filter("id = 43").select("id", F.decode("miniatura", "UTF-8").alias("miniatura"))
 
 
 @query(f"{_NOW} SELECT id, motor FROM h")
@@ -313,6 +345,23 @@ def html_escape(spark, sf):
     return X.table(spark, sf, "pages").select("page_id", F.md5(text.html_escape(F.col("html"))).alias("escapado"))
 
 
+@query(f"WITH {X.SCORES_SQL} SELECT pos, printf('%.2f%%', least(conf * 1.5, 1) * 100) AS barra FROM r WHERE rn = 1")
+def clamped_percent(spark, sf):
+    return X.scores(spark, sf).select("pos", text.clamped_percent(F.array_max("p") * 1.5).alias("barra"))
+
+
+@query("SELECT p_partkey, '[' || rpad(p_name, greatest(24, length(p_name))::INT, ' ') || ']' AS coluna, split_part(p_name || chr(10) || 'x', chr(10), 1) AS linha FROM part")
+def padded_column(spark, sf):
+    name = F.col("p_name")
+    return X.table(spark, sf, "part").select("p_partkey", F.concat(F.lit("["), text.padded(name, 24), F.lit("]")).alias("coluna"), text.first_line(F.concat(name, F.lit("\nx"))).alias("linha"))
+
+
+@query("SELECT p_partkey, tipo, regexp_matches(lower(tipo), '^image/(png|jpe?g)$') AS imagem FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'image/PNG' WHEN 1 THEN 'IMAGE/jpeg' WHEN 2 THEN 'image/gif' WHEN 3 THEN 'image/jpg' ELSE 'text/image/png' END AS tipo FROM part)")
+def mime_filter(spark, sf):
+    kind = F.element_at(F.array(*map(F.lit, ["image/PNG", "IMAGE/jpeg", "image/gif", "image/jpg", "text/image/png"])), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return X.table(spark, sf, "part").select("p_partkey", kind.alias("tipo"), text.is_image_type(kind).alias("imagem"))
+
+
 # Files
 
 
@@ -351,38 +400,52 @@ def vlm_validate(spark, sf):
  CASE WHEN e_planta THEN 'Parte analisada: folha' || CASE WHEN observacoes = '' THEN '' ELSE ' · ' || observacoes END ELSE observacoes END AS observacoes FROM an WHERE valido""")
 def vlm_record(spark, sf):
     parsed = classify.parse_answers(X.answers(spark, sf)).filter("valido")
-    return classify.answers_to_records(parsed).select("pos", "arquivo", "especie", "diagnostico", "condicao", "confianca_texto", "sintomas", "observacoes")
+    return classify.answers_to_records(parsed, X.AS_OF).select("pos", "arquivo", "especie", "diagnostico", "condicao", "confianca_texto", "sintomas", "observacoes")
+
 
+_FIELDS = [c for c in D.RECORD.names if c != "ranking"]
 
-@query(f"WITH {X.CNN_SQL} SELECT pos, '{{\"arquivo\":\"' || arquivo || '\",\"condicao\":\"' || condicao || '\",\"confianca\":null}}' AS documento FROM cnn")
+
+@query(f"""WITH {X.CNN_SQL}, k AS (SELECT pos, string_agg(cultura || ' — ' || diagnostico || '=' || printf('%.4f', round(conf, 4)), '|' ORDER BY rn) AS ranking FROM r JOIN cat ON r.idx = cat.idx WHERE rn <= 3 GROUP BY pos)
+ SELECT cnn.pos, cnn.pos + 7 AS id_historico, arquivo, '{X.AS_OF}' AS data_hora, '{D.CNN}' AS motor, especie, diagnostico, condicao, round(conf, 4) AS confianca, printf('%.1f%%', conf * 100) AS confianca_texto,
+ agente, sintomas, manejo, 'stub v1.0.0' AS modelo_versao, '' AS observacoes, k.ranking FROM cnn JOIN k ON cnn.pos = k.pos""")
 def api_document(spark, sf):
-    record = X.cnn_records(spark, sf).withColumn("confianca", F.lit(None).cast("double"))
-    doc = F.from_json("documento", "arquivo string, condicao string, confianca double")
-    return engine.serialised(record).select("pos", F.to_json(doc, {"ignoreNullFields": "false"}).alias("documento"))
+    records = X.cnn_records(spark, sf).withColumn("id_historico", F.col("pos") + 7)
+    fields = ", ".join(f"{c} {'double' if c == 'confianca' else 'string'}" for c in _FIELDS)
+    doc = engine.serialised(records).select("pos", F.from_json("documento", f"id_historico bigint, {fields}, ranking array<struct<rotulo string, confianca double>>").alias("d"))
+    shown = F.array_join(F.transform("d.ranking", lambda r: F.concat(r["rotulo"], F.lit("="), F.format_string("%.4f", F.round(r["confianca"], 4)))), "|")
+    return doc.select("pos", "d.id_historico", *[F.round("d.confianca", 4).alias(c) if c == "confianca" else f"d.{c}" for c in _FIELDS], shown.alias("ranking"))
+
+
+@query(f"WITH {X.CNN_SQL} SELECT pos, CASE condicao WHEN 'saudável' THEN 'selo-saudavel' WHEN 'doente' THEN 'selo-doente' ELSE 'selo-indeterminado' END AS selo, 'selo-indeterminado' AS outro FROM cnn")
+def display_class(spark, sf):
+    return X.cnn_records(spark, sf).select("pos", classify.display_class(F.col("condicao")).alias("selo"), classify.display_class(F.concat("condicao", F.lit("?"))).alias("outro"))
+
+
+@query(f"WITH {X.SCORES_SQL}, {X.CATALOGUE_SQL} SELECT pos, rn::INT AS lugar, cultura, diagnostico, condicao, manejo FROM r JOIN cat ON r.idx = cat.idx WHERE rn <= 3")
+def catalogue_lookup(spark, sf):
+    d = X.cnn_records(spark, sf).select("pos", F.posexplode("ranking").alias("n", "t")).select("pos", (F.col("n") + 1).alias("lugar"), "t.id_classe")
+    return classify.with_class(d).select("pos", "lugar", "info.cultura", "info.diagnostico", "info.condicao", "info.manejo")
 
 
 @query("SELECT source, count(*) AS entradas, sum(n_chars)::BIGINT AS bytes, printf('%.1f KB', floor(sum(n_chars) * 10 / 1024) / 10) AS texto FROM documents GROUP BY source")
 def size_totals(spark, sf):
     d = X.table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("entradas"), F.sum("n_chars").alias("bytes"))
-    return d.withColumn("texto", F.format_string("%.1f KB", F.floor(F.col("bytes") * 10 / 1024) / 10))
+    return d.withColumn("texto", text.file_size(F.col("bytes")))
 
 
 @query("SELECT s_suppkey, ((row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 3)::INT AS linha FROM supplier")
 def page_groups(spark, sf):
-    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
-    return X.table(spark, sf, "supplier").select("s_suppkey", F.floor((F.row_number().over(w) - 1) / 3).cast("int").alias("linha"))
+    return merge.in_rows_of(X.table(spark, sf, "supplier"), "s_nationkey", "s_suppkey").select("s_suppkey", "linha")
 
 
 @query("SELECT n_regionkey, string_agg(n_name || ':' || length(n_name), '|' ORDER BY n_name) || '|auto|0.6' AS assinatura FROM nation GROUP BY n_regionkey")
 def batch_signature(spark, sf):
-    pairs = F.array_sort(F.collect_list(F.struct("n_name", F.length("n_name").alias("n"))))
-    joined = F.array_join(F.transform(pairs, lambda x: F.concat(x["n_name"], F.lit(":"), x["n"].cast("string"))), "|")
-    return X.table(spark, sf, "nation").groupBy("n_regionkey").agg(F.concat(joined, F.lit("|auto|0.6")).alias("assinatura"))
+    return merge.batch_signature(X.table(spark, sf, "nation").withColumn("n", F.length("n_name")), ["n_regionkey"], "auto", 0.6)
 
 
 @query("SELECT p_partkey, coalesce(nullif(nullif(trim(CASE WHEN p_partkey % 3 = 0 THEN '  ' WHEN p_partkey % 3 = 1 THEN 'MUDE' ELSE ' ' || p_brand END), ''), 'MUDE'), 'desconhecida') || ' v' || p_size AS versao FROM part")
 def model_version(spark, sf):
     k = F.col("p_partkey") % 3
-    raw = F.trim(F.when(k == 0, "  ").when(k == 1, "MUDE").otherwise(F.concat(F.lit(" "), "p_brand")))
-    known = F.coalesce(F.nullif(F.nullif(raw, F.lit("")), F.lit("MUDE")), F.lit("desconhecida"))
-    return X.table(spark, sf, "part").select("p_partkey", F.concat(known, F.lit(" v"), F.col("p_size").cast("string")).alias("versao"))
+    raw = F.when(k == 0, "  ").when(k == 1, "MUDE").otherwise(F.concat(F.lit(" "), "p_brand"))
+    return X.table(spark, sf, "part").select("p_partkey", text.model_version(raw, F.col("p_size"), "MUDE").alias("versao"))

@@ -56,23 +56,38 @@ def _lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws(";", *[quoted(c) for c in rows.columns]).alias("line"))
 
 
-def save(records: DataFrame, folder: str, prefix: str = "analise", threshold: float = D.THRESHOLD, now: datetime.datetime | None = None, order: tuple[str, ...] = ("pos",)) -> tuple[Path, Path]:
-    """Write {prefix}_{stamp}.csv (semicolons, BOM) and .json; the paths of both.
+#: What save() can write.
+FORMATS = ("csv", "json")
+
+
+def save(records: DataFrame, folder: str, prefix: str = "analise", threshold: float = D.THRESHOLD, now: datetime.datetime | None = None, order: tuple[str, ...] = ("pos",), formats: tuple[str, ...] = FORMATS) -> list[Path]:
+    """Write {prefix}_{stamp}.csv (semicolons, BOM) and .json, or those of them that are asked for; their
+    paths. An unknown format is an error.
 
     One file of each kind is what is asked for, so rows stream through the driver partition by
     partition; for large exports, write export_rows() as a table."""
+    if unknown := set(formats) - set(FORMATS):
+        raise ValueError(f"unknown format {sorted(unknown)[0]!r}")
     stamp = (now or datetime.datetime.now()).strftime("%Y%m%d_%H%M%S")
     base = Path(folder)
     base.mkdir(parents=True, exist_ok=True)
-    csv, doc = base / f"{prefix}_{stamp}.csv", base / f"{prefix}_{stamp}.json"
+    paths = [base / f"{prefix}_{stamp}.{kind}" for kind in FORMATS if kind in formats]
     rows = export_rows(records.orderBy(*order))
-    with csv.open("w", encoding="utf-8-sig", newline="") as f:
+    for path in paths:
+        (_write_csv if path.suffix == ".csv" else _write_json)(path, rows, records, threshold)
+    return paths
+
+
+def _write_csv(path: Path, rows: DataFrame, records: DataFrame, threshold: float) -> None:
+    with path.open("w", encoding="utf-8-sig", newline="") as f:
         f.write(";".join(D.EXPORT_COLUMNS) + "\n")
         f.writelines(r.line + "\n" for r in _lines(csv_text(rows)).toLocalIterator())
-    with doc.open("w", encoding="utf-8") as f:
+
+
+def _write_json(path: Path, rows: DataFrame, records: DataFrame, threshold: float) -> None:
+    with path.open("w", encoding="utf-8") as f:
         f.write('{\n  "metadata": ' + json.dumps(metadata(records, threshold), ensure_ascii=False, indent=2).replace("\n", "\n  ") + ',\n  "resultados": [')
         for n, r in enumerate(rows.toLocalIterator()):
             cells = {k: "" if v is None else v for k, v in r.asDict().items()}
             f.write(("," if n else "") + "\n    " + json.dumps(cells, ensure_ascii=False))
         f.write("\n  ]\n}\n")
-    return csv, doc

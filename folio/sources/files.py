@@ -15,11 +15,47 @@ MAX_UPLOAD = 20 << 20
 def image_files(spark: SparkSession, folder: str, content: bool = True) -> DataFrame:
     """(arquivo, path, length[, content]) of the images right in a folder, by path; suffixes in any
     case. None is an error. Without content only the listing is read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).filter(F.col("path").rlike(IMAGE))
-    found = found.select(file_name(F.col("path")).alias("arquivo"), "path", "length", *(["content"] if content else [])).orderBy("path")
-    if not found.head(1):
+    found = _images(spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder))
+    if not found.select("path").head(1):
         raise FileNotFoundError(f"no PNG or JPEG in {folder}")
-    return found
+    return found.select("arquivo", "path", "length", *(["content"] if content else [])).orderBy("path")
+
+
+def _images(files: DataFrame) -> DataFrame:
+    return files.filter(F.col("path").rlike(IMAGE)).withColumn("arquivo", file_name(F.col("path")))
+
+
+def listed_images(spark: SparkSession, paths: list[str], content: bool = True) -> DataFrame:
+    """As image_files(), of an explicit list of paths; a path that isn't there is an error."""
+    return _images(spark.read.format("binaryFile").load(paths)).select("arquivo", "path", "length", *(["content"] if content else [])).orderBy("path")
+
+
+def uploads(spark: SparkSession, contents: dict[str, bytes]) -> DataFrame:
+    """(pos, arquivo, content) of files handed over in memory, in their order."""
+    return spark.createDataFrame([(i, n, bytearray(c)) for i, (n, c) in enumerate(contents.items())], "pos bigint, arquivo string, content binary")
+
+
+def labelled_images(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
+    """(rotulo, arquivo, path, length[, content]) of images in folders named after their labels.
+    Without content only the listing is read. Ordered by path is the dataset's order; numbered() of
+    the evaluation operators gives positions."""
+    found = _images(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder))
+    return found.select(F.element_at(F.split("path", "/"), -2).alias("rotulo"), "arquivo", "path", "length", *(["content"] if content else []))
+
+
+def all_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(caminho, length): every file below a folder, by its path from there; contents aren't read.
+    Spark leaves out what begins with a dot or an underscore."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    plain = lambda c: F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/")
+    root = plain(F.lit(folder.rstrip("/") + "/"))
+    return found.select(F.substring(plain(F.col("path")), F.length(root) + 1, F.length("path")).alias("caminho"), "length")
+
+
+def exported_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(arquivo, path, length) of the .csv and .json files right in a folder, by path."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).filter(F.col("path").rlike(r"\.(csv|json)$"))
+    return found.select(file_name(F.col("path")).alias("arquivo"), "path", "length").orderBy("path")
 
 
 def acceptable(uploads: DataFrame) -> DataFrame:
@@ -30,6 +66,18 @@ def acceptable(uploads: DataFrame) -> DataFrame:
     return uploads.withColumn("tipo", kind).withColumn("aceito", F.coalesce(kind.isNotNull() & (size > 0) & (size <= MAX_UPLOAD), F.lit(False)))
 
 
+def set_aside(uploads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good, bad): bad ones with motivo: empty, too large, neither PNG nor JPEG, or cut off (without
+    the mark that ends such a file)."""
+    d = acceptable(uploads)
+    size = F.coalesce(F.octet_length("content"), F.lit(0))
+    tail = F.hex(F.expr("substring(content, greatest(1, octet_length(content) - 15), 16)"))
+    ends = F.when(F.col("tipo") == "png", tail.contains("49454E44")).otherwise(tail.contains("FFD9"))
+    why = F.when(size == 0, "vazio").when(size > MAX_UPLOAD, "grande demais").when(F.col("tipo").isNull(), "nem PNG nem JPEG").when(~ends, "incompleto")
+    d = d.withColumn("motivo", why)
+    return d.filter("motivo IS NULL").drop("motivo", "aceito"), d.filter("motivo IS NOT NULL").drop("aceito")
+
+
 def package_files(paths: DataFrame, column: str = "caminho", report: str | None = None) -> DataFrame:
     """The relative paths that belong into a package."""
     p, name = F.col(column), file_name(F.col(column))

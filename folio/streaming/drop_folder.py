@@ -11,5 +11,6 @@ from folio.operators.classify import classify
 def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, threshold: float = 0.60) -> StreamingQuery:
     """Score vectors (pos, arquivo, p) arrive as Parquet files; records are appended to out. Handles
     all that is there and then ends; the checkpoint keeps what was done already."""
+    # One time of analysis for all that a start of the query handles.
     scores: DataFrame = spark.readStream.schema("pos bigint, arquivo string, p array<double>").parquet(folder)
     return classify(scores, threshold).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

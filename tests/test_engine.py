@@ -1,5 +1,6 @@
 """The engine object, the command line and model metadata."""
 
+import datetime
 import json
 
 import pytest
@@ -8,7 +9,9 @@ from pyspark.sql import functions as F
 from folio import cli, domain as D
 from folio.engine import Engine, serialised
 from folio.operators import merge, scorers
-from folio.operators.classify import classify
+from folio.operators.classify import answers_to_records, classify, parse_answers, with_class
+from folio.operators.labels import check_label_map, kept_labels
+from folio.plans.fixtures import LABEL_NAMES
 
 ITEMS = "pos bigint, arquivo string, p array<double>"
 
@@ -35,6 +38,50 @@ def test_engine(spark, tmp_path):
     assert shown["ranking"][0]["rotulo"] == "Maçã — Saudável" and "confianca" in shown
 
 
+def test_each_item_is_asked_about_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def remote(d):
+        def ask(name):
+            calls.add(1)
+            return {"e_planta": True, "especie": name, "parte_analisada": "folha", "condicao": D.HEALTHY, "diagnostico": str(calls), "agente_causal": "—", "sintomas_observados": "", "manejo_recomendado": "", "confianca": "alta", "observacoes": ""}
+
+        return answers_to_records(parse_answers(scorers.all_or_nothing(scorers.ask_remote(d, ask), partial_ok=True)).filter("valido"))
+
+    e = Engine(spark, str(tmp_path / "h"), classify, remote)
+    records, _ = e.analyse(items(spark), merge.ONLY_VLM)
+    assert records.count() == 2 and {r.arquivo for r in records.collect()} == {"a", "b"}
+    assert e.history.rows.count() == 2 and calls.value == 2
+    assert all(abs(datetime.datetime.now() - datetime.datetime.fromisoformat(r.data_hora)) < datetime.timedelta(minutes=10) for r in records.collect())
+    with pytest.raises(ValueError):
+        e.export(str(tmp_path), formats=("xlsx",))
+    (only,) = e.export(str(tmp_path), formats=("json",))
+    assert only.suffix == ".json"
+    kept = e.history.records().withColumn("id_historico", F.col("id"))
+    assert {json.loads(r.documento)["id_historico"] for r in serialised(kept).collect()} == {r.id for r in e.history.rows.collect()}
+
+
+def test_classes_outside_the_catalogue_are_errors(spark):
+    for p in ([1 / 13] * 13, [], None):
+        with pytest.raises(Exception, match="12 values"):
+            classify(spark.createDataFrame([(0, "a", p)], ITEMS)).collect()
+    d = spark.createDataFrame([("apple_scab",), ("rose",)], "id_classe string")
+    assert with_class(d.limit(1)).first().info.cultura == "Maçã"
+    with pytest.raises(Exception, match="unknown class: rose"):
+        with_class(d).collect()
+
+
+def test_label_map(spark):
+    names = spark.createDataFrame([(n,) for n in LABEL_NAMES[:8]], "n string")
+    with pytest.raises(ValueError, match="of 12"):
+        check_label_map(names, "n")
+    all_of_them = spark.createDataFrame([(" ".join(c[1]),) for c in D.CATALOGUE] + [("rose",)], "n string")
+    check_label_map(all_of_them, "n")
+    with pytest.raises(ValueError, match="several"):
+        check_label_map(all_of_them.union(spark.createDataFrame([("apple SCAB 2",)], "n string")), "n")
+    assert kept_labels(all_of_them, "n").count() == 12
+
+
 def test_cli(spark, tmp_path, capsys):
     items(spark).write.parquet(str(tmp_path / "s"))
     assert cli.main([str(tmp_path / "s"), "--motor", "cnn", "--saida", str(tmp_path / "o")]) == 0
