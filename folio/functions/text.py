@@ -69,8 +69,9 @@ def model_version(architecture: Column, catalogue: Column, placeholder: str) ->
     return F.concat(F.coalesce(known, F.lit("desconhecida")), F.lit(" v"), catalogue.cast("string"))
 
 
-def html_escape(value: Column) -> Column:
-    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+def html_escape(value: Column, apostrophe: str = "&#x27;") -> Column:
+    """Pages made by the server and by the browser's script write an apostrophe in two ways."""
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", apostrophe)):
         value = F.replace(value, F.lit(char), F.lit(entity))
     return value
 

@@ -31,6 +31,17 @@ def split_by_position(rows: DataFrame, position: str = "i") -> DataFrame:
     return rows.withColumn("conjunto", F.when(r < 3, SPLITS[2]).when(r < 6, SPLITS[1]).otherwise(SPLITS[0]))
 
 
+def batches(rows: DataFrame, order: list[str], size: int = 32, seed: int | None = None) -> DataFrame:
+    """rows with lote and lugar: batches of so many and places in them, from 0. With a seed the order
+    is shuffled: by a hash of what the rows are ordered by, over all rows and not in a buffer, so
+    that it is the same for the same seed on any cluster."""
+    if seed is None:
+        placed = numbered(rows, order, "_i")
+    else:
+        placed = numbered(rows.withColumn("_shuffled", F.xxhash64(*order, F.lit(seed))), ["_shuffled", *order], "_i").drop("_shuffled")
+    return placed.withColumn("lote", F.floor(F.col("_i") / size)).withColumn("lugar", F.col("_i") % size).drop("_i")
+
+
 def split_crosstab(rows: DataFrame, label: str = "classe") -> DataFrame:
     """One row for each class: rows in each split, their total and the share of training."""
     counts = [F.count_if(F.col("conjunto") == s).alias(n) for s, n in zip(SPLITS, ["treino", "validacao", "teste"], strict=True)]

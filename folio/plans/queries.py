@@ -214,6 +214,11 @@ def joined_histories(spark, sf):
     return both.select("metrica", F.array_join(F.col("valores").cast("array<string>"), ",").alias("valores"))
 
 
+@query("SELECT doc_id, (i // 32)::BIGINT AS lote, (i % 32)::BIGINT AS lugar FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents)")
+def loader_batches(spark, sf):
+    return evaluate.batches(X.table(spark, sf, "documents").select("doc_id"), ["doc_id"]).select("doc_id", "lote", "lugar")
+
+
 # Evaluation
 
 
@@ -362,6 +367,11 @@ def mime_filter(spark, sf):
     return X.table(spark, sf, "part").select("p_partkey", kind.alias("tipo"), text.is_image_type(kind).alias("imagem"))
 
 
+@query("SELECT page_id, md5(replace(replace(replace(replace(replace(html || '(&)' || chr(39), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')) AS escapado FROM pages")
+def html_escape_script(spark, sf):
+    return X.table(spark, sf, "pages").select("page_id", F.md5(text.html_escape(F.concat("html", F.lit("(&)'")), "&#39;")).alias("escapado"))
+
+
 # Files
 
 
@@ -396,11 +406,11 @@ def vlm_validate(spark, sf):
 
 
 @query(f"""WITH {X.ANSWERS_SQL} SELECT pos, arquivo, CASE WHEN e_planta THEN 'Tomate' ELSE '—' END AS especie, CASE WHEN e_planta THEN 'd' || pos ELSE 'Não é uma planta' END AS diagnostico, CASE WHEN e_planta THEN condicao ELSE 'indeterminado' END AS condicao,
- CASE WHEN e_planta THEN confianca || ' (autoavaliada)' ELSE '—' END AS confianca_texto, CASE WHEN toxic <> 1 THEN 'manchas' WHEN e_planta THEN '' ELSE {X.quoted(D.NO_PLANT_SYMPTOMS)} END AS sintomas,
+ CASE WHEN e_planta THEN confianca || ' (autoavaliada)' ELSE '—' END AS confianca_texto, '—' AS agente, CASE WHEN e_planta THEN 'podar' ELSE {X.quoted(D.NO_PLANT['manejo'])} END AS manejo, CASE WHEN toxic <> 1 THEN 'manchas' WHEN e_planta THEN '' ELSE {X.quoted(D.NO_PLANT_SYMPTOMS)} END AS sintomas,
  CASE WHEN e_planta THEN 'Parte analisada: folha' || CASE WHEN observacoes = '' THEN '' ELSE ' · ' || observacoes END ELSE observacoes END AS observacoes FROM an WHERE valido""")
 def vlm_record(spark, sf):
     parsed = classify.parse_answers(X.answers(spark, sf)).filter("valido")
-    return classify.answers_to_records(parsed, X.AS_OF).select("pos", "arquivo", "especie", "diagnostico", "condicao", "confianca_texto", "sintomas", "observacoes")
+    return classify.answers_to_records(parsed, X.AS_OF).select("pos", "arquivo", "especie", "diagnostico", "condicao", "confianca_texto", "agente", "manejo", "sintomas", "observacoes")
 
 
 _FIELDS = [c for c in D.RECORD.names if c != "ranking"]

@@ -13,6 +13,13 @@ from folio.sources import exports, files
 from folio.sources.history import History
 
 
+def test_batches_are_shuffled_by_seed(spark):
+    d = spark.range(100).withColumnRenamed("id", "k")
+    order = lambda seed: [r.k for r in evaluate.batches(d, ["k"], 8, seed).orderBy("lote", "lugar").collect()]
+    assert order(None) == list(range(100)) and order(1) == order(1) != order(2) != order(None)
+    assert sorted(order(1)) == list(range(100)) and evaluate.batches(d, ["k"], 8, 1).filter("lote = 12").count() == 4
+
+
 def vector(first, at=0):
     p = [(1 - first) / 11] * 12
     p[at] = first
