@@ -40,6 +40,8 @@ MAX_GRAMS = 4_000_000
 SPLIT = 3
 #: Counted grams for each task that joins, at most about.
 TASK_GRAMS = 2_000_000
+#: Grams that a Python worker remembers with their scores.
+REMEMBERED = 2_000_000
 #: Words that are sent to every task.
 MAX_SENT_WORDS = 200_000
 #: The one token that no word can be: the end of a text.
@@ -127,7 +129,33 @@ def _mask(n: int) -> np.uint64:
     return np.uint64((1 << 8 * n) - 1)
 
 
-def text_scores(model: Trie | Sent, texts: list[list[bytes]], order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+class Remembered:
+    """A model that remembers the grams it has scored, and starts afresh beyond a fixed number."""
+
+    def __init__(self, model: Trie | Sent, entries: int = REMEMBERED):
+        self._model, self._entries = model, entries
+        self._keys, self._scores = np.zeros(0, np.uint64), np.zeros(0)
+
+    def log10(self, keys: np.ndarray) -> np.ndarray:
+        """As the model's; keys in order, each once."""
+        at = np.searchsorted(self._keys, keys)
+        met = at < len(self._keys)
+        met[met] = self._keys[at[met]] == keys[met]
+        score = np.empty(len(keys))
+        score[met] = self._scores[at[met]]
+        if not met.all():
+            new = keys[~met]
+            score[~met] = self._model.log10(new)
+            if len(self._keys) + len(new) > self._entries:
+                self._keys, self._scores = new, score[~met]
+            else:
+                both = np.concatenate((self._keys, new))
+                order = np.argsort(both, kind="stable")  # two sorted runs: a merge
+                self._keys, self._scores = both[order], np.concatenate((self._scores, score[~met]))[order]
+        return score
+
+
+def text_scores(model: Remembered, texts: list[list[bytes]], order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """(score, grams, times): log10 probability of each text, without that of the grams that the
     model leaves open, which are listed. Every distinct gram of the batch is scored once."""
     keys, of = gram_keys(texts, order)
@@ -302,7 +330,7 @@ def score_documents(docs: DataFrame, held_out_col: str, order: int = ORDER, id_c
     end_log = float(np.log10(end_count + 1.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, model = shared.value
+        logs, model = shared.value[0], Remembered(shared.value[1])
         for b in slices(batches):
             texts = [words(t or "") for t in b.column(2).to_pylist()]
             known, total, rest = [], [], []

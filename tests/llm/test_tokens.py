@@ -181,6 +181,9 @@ def test_exchanges_meet_the_bound(spark):
     for r in rows:
         fill[r.sequence_id] += r.length
     assert max(fill.values()) <= 100 and len(fill) <= -(-total // 100) * 1.01 + 1
+    # Lengths that no two of fit together: the first packing is certified, and no round saves a bin.
+    d = spark.createDataFrame([(i, 51 + i % 30) for i in range(500)], "k int, length bigint").repartition(4)
+    assert packing.pack_pieces(d, 100, group_pieces=64).select("sequence_id").distinct().count() == 500
 
 
 def test_odd_rows_through_spark(spark, odd, no_docs):

@@ -1,15 +1,20 @@
 """WARC round trips, nearest neighbours and the pipeline."""
 
 import random
+import re
+import zlib
 
 import duckdb
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from folio.llm import ann, quality, simhash, warc
-from folio.llm.queries import ORACLE_SQL, QUERIES
+from folio.llm import ann, quality, secret_scan, simhash, toxicity, warc
+from folio.llm.queries import ORACLE_SQL, QUERIES, toxicity_model
 
 SF = "/root/testdata/sf0.01"
 
@@ -161,6 +166,32 @@ def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, SF)
     assert packed.select("doc_id").distinct().count() == sizes[4] and packed.filter("length > 4096 OR offset + length > 4096").count() == 0
 
+    # The last three stages by brute force: all pairs of shingle sets, the library's ids of masked texts.
+    model = toxicity_model(spark, SF, docs)
+    before = quality.keep_good(toxicity.drop_toxic(docs, model)).collect()
+    assert {r.doc_id for r in before} == {r.doc_id for r in docs.collect() if model.scores(pa.array([r.text]))[0] < 0.5} & {r.doc_id for r in quality.quality_report(toxicity.drop_toxic(docs, model)).filter("kept").collect()}
+    words = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text)) for r in before}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    ids, least = sorted(sets), {i: i for i in sets}
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            a, b = sets[i], sets[j]
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b):
+                low, high = sorted((least[i], least[j]))
+                least = {k: low if v == high else v for k, v in least.items()}
+    assert {r.doc_id for r in kept.collect()} == {i for i, v in least.items() if i == v}
+    forest, library = secret_scan.fit_forest(), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {}
+    for r in before:
+        if least[r.doc_id] == r.doc_id:
+            text = r.text
+            for z, y in reversed([(z, y) for z, y, score in secret_scan.scan([text], forest)[0] if score >= 0.5]):
+                text = text[:z] + secret_scan.MASK + text[y:]
+            found = np.array([*library.encode(text, add_special_tokens=False).ids, 1], "<u4")
+            for k in range(0, len(found), 4096):
+                want[r.doc_id, k // 4096] = (k, len(found[k : k + 4096]), zlib.crc32(found[k : k + 4096].tobytes()))
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in packed.collect()} == want
+
 
 def test_registered():
     assert [n.split("_")[0] for n in QUERIES] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
