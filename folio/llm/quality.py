@@ -6,6 +6,9 @@ maximisation estimates, without labels, how often each rule casts each vote on g
 documents, and what share is good; a rule is held to be right more often than wrong, in that it
 calls few good documents bad. A document is kept by its posterior probability of being good, not
 by passing every rule.
+
+Texts are measured once, and what was found is written; all that follows is a count of patterns and
+a join with their posteriors, of which there are 3^rules at most.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm._common import slices
+from folio.llm._common import scratch_name, slices, written
 
 WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -156,32 +159,23 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200,
     return model
 
 
-def fit_quality(docs: DataFrame, text_col: str = "text") -> LabelModel:
-    """Fit over all documents that pass the base test: the driver gets at most 3^rules patterns
-    with their counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            found = [m for m in (measures(t or "") for t in b.column(0).to_pylist()) if not base_failed(m)]
-            yield pa.RecordBatch.from_arrays([pa.array(map(votes, found), pa.binary())], names=["votes"])
-
-    found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "votes binary").groupBy("votes").count().collect()
-    found.sort()
-    patterns = np.array([list(r[0]) for r in found], np.int64).reshape(-1, len(RULES))
-    return fit_label_model(patterns, np.array([r[1] for r in found], float))
-
-
 def base_failed(m: dict[str, float]) -> bool:
     return m["n_words"] < MIN_WORDS or 100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"]
 
 
-def _judged(m: dict[str, float], good: dict[bytes, float]) -> tuple[bool, float]:
-    return base_failed(m), good[votes(m)]
+def fit_quality(measured: DataFrame, failed_col: str = "base_failed", votes_col: str = "votes") -> LabelModel:
+    """Fit over all measured documents that pass the base test: the driver gets at most 3^rules
+    patterns with their counts."""
+    found = sorted(measured.filter(~F.col(failed_col)).groupBy(F.col(votes_col).alias("v")).count().collect())
+    patterns = np.array([list(r[0]) for r in found], np.int64).reshape(-1, len(RULES))
+    return fit_label_model(patterns, np.array([r[1] for r in found], float))
 
 
-def _posteriors(model: LabelModel) -> dict[bytes, float]:
-    grid = np.stack(np.meshgrid(*[np.arange(3)] * len(RULES), indexing="ij"), -1).reshape(-1, len(RULES))
-    return dict(zip(map(bytes, grid.tolist()), model.posterior(grid).tolist(), strict=True))
+def posteriors(measured: DataFrame, model: LabelModel, votes_col: str = "votes") -> DataFrame:
+    """(votes, p_good) for each pattern that there is: at most 3^rules rows, so it may be broadcast."""
+    found = [bytes(r[0]) for r in measured.select(F.col(votes_col).alias("v")).distinct().collect()]
+    p = model.posterior(np.array([list(v) for v in found], np.int64).reshape(-1, len(RULES)))
+    return F.broadcast(measured.sparkSession.createDataFrame(list(zip(found, p.tolist(), strict=True)), "votes binary, p_good double"))
 
 
 def quality_report(docs: DataFrame, model: LabelModel | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,31 +186,30 @@ def quality_report(docs: DataFrame, model: LabelModel | None = None, threshold:
     counts as often as it occurs). Other columns are not read. An empty table stays empty. Ties at
     the threshold are kept.
     """
-    model = model or fit_quality(docs, text_col)
-    good = _posteriors(model)
-    key = docs.schema[id_col].dataType
+    key = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             found = [measures(t or "") for t in b.column(1).to_pylist()]
-            judged = [_judged(m, good) for m in found]
             columns = [pa.array([m[c] for m in found], pa.int64()) for c in BASE]
-            columns += [pa.array([f for f, _ in judged], pa.bool_()), pa.array([not f and p >= threshold for f, p in judged], pa.bool_()), pa.array([p for _, p in judged], pa.float64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=[id_col, *BASE, "base_failed", "kept", "p_good"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array(map(base_failed, found), pa.bool_()), pa.array(map(votes, found), pa.binary())], names=["i", *BASE, "base_failed", "votes"])
 
-    schema = f"`{id_col}` {key.simpleString()}, " + ", ".join(f"{c} bigint" for c in BASE) + ", base_failed boolean, kept boolean, p_good double"
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    schema = f"i {key}, " + ", ".join(f"{c} bigint" for c in BASE) + ", base_failed boolean, votes binary"
+    measured = written(docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema), "quality")
+    judged = measured.join(posteriors(measured, model or fit_quality(measured)), "votes", "left")
+    return judged.select(F.col("i").alias(id_col), *BASE, "base_failed", (~F.col("base_failed") & (F.col("p_good") >= threshold)).alias("kept"), "p_good")
 
 
 def keep_good(docs: DataFrame, model: LabelModel | None = None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of documents that are kept, with all their columns and no others."""
-    model = model or fit_quality(docs, text_col)
-    good = _posteriors(model)
-    at = docs.columns.index(text_col)
+    at, failed, voted = docs.columns.index(text_col), scratch_name(docs, "base_failed"), scratch_name(docs, "votes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            judged = [_judged(measures(t or ""), good) for t in b.column(at).to_pylist()]
-            yield b.filter(pa.array([not f and p >= threshold for f, p in judged], pa.bool_()))
+            found = [measures(t or "") for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(base_failed, found), pa.bool_()), pa.array(map(votes, found), pa.binary())], names=[*b.schema.names, failed, voted])
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    schema = T.StructType([*docs.schema.fields, T.StructField(failed, T.BooleanType()), T.StructField(voted, T.BinaryType())])
+    measured = written(docs.mapInArrow(run, schema), "quality")
+    good = posteriors(measured, model or fit_quality(measured, failed, voted), voted).filter(F.col("p_good") >= threshold)
+    return measured.filter(~F.col(failed)).join(good.withColumnRenamed("votes", voted), voted, "left_semi").select(*docs.columns)
