@@ -159,8 +159,8 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200,
     return model
 
 
-def base_failed(m: dict[str, float]) -> bool:
-    return m["n_words"] < MIN_WORDS or 100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"]
+def base_failed(m: dict[str, float], min_words: int = MIN_WORDS) -> bool:
+    return m["n_words"] < min_words or 100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"]
 
 
 def fit_quality(measured: DataFrame, failed_col: str = "base_failed", votes_col: str = "votes") -> LabelModel:
@@ -200,14 +200,15 @@ def quality_report(docs: DataFrame, model: LabelModel | None = None, threshold:
     return judged.select(F.col("i").alias(id_col), *BASE, "base_failed", (~F.col("base_failed") & (F.col("p_good") >= threshold)).alias("kept"), "p_good")
 
 
-def keep_good(docs: DataFrame, model: LabelModel | None = None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of documents that are kept, with all their columns and no others."""
+def keep_good(docs: DataFrame, model: LabelModel | None = None, threshold: float = THRESHOLD, text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of documents that are kept, with all their columns and no others. min_words: what the
+    base test asks for here; the fit is over the documents that pass it."""
     at, failed, voted = docs.columns.index(text_col), scratch_name(docs, "base_failed"), scratch_name(docs, "votes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             found = [measures(t or "") for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(base_failed, found), pa.bool_()), pa.array(map(votes, found), pa.binary())], names=[*b.schema.names, failed, voted])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([base_failed(m, min_words) for m in found], pa.bool_()), pa.array(map(votes, found), pa.binary())], names=[*b.schema.names, failed, voted])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(failed, T.BooleanType()), T.StructField(voted, T.BinaryType())])
     measured = written(docs.mapInArrow(run, schema), "quality")
