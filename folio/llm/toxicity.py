@@ -53,7 +53,9 @@ ANYWHERE = 3
 #: What is left of all weights after each epoch.
 DECAY = 0.6
 #: Rows, and bytes of text, that are scored together.
-SCORED_ROWS, SCORED_BYTES = 4096, 16 << 20
+SCORED_ROWS, SCORED_BYTES = 4096, 8 << 20
+#: Words whose windows are looked at together, unless one text has more.
+WORDS_TOGETHER = 1 << 18
 
 _EDGE = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "«»„“”‘’¿¡…–—"
 _MARKS = re.compile(f"[{re.escape(_EDGE)}]+")
@@ -146,6 +148,11 @@ def word_means(words: pa.Array, per_bucket: np.ndarray) -> np.ndarray:
 def worst_windows(of_word: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, mean) of each text's worst window of words; of_word: a value for each word of all
     texts; a shorter text is one window. Texts without words: no number."""
+    if len(of_word) > WORDS_TOGETHER and len(ends) > 2:  # by halves, to bound what is held at a time
+        half = min(max(1, int(np.searchsorted(ends, len(of_word) // 2))), len(ends) - 2)
+        cut = ends[half]
+        parts = worst_windows(of_word[:cut], ends[: half + 1]), worst_windows(of_word[cut:], ends[half:] - cut)
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     begin, size = ends[:-1], np.diff(ends)
     n = np.maximum(size - WINDOW + 1, (size > 0).astype(np.int64))
     starts = _ragged(begin, n)

@@ -267,6 +267,17 @@ def test_toxicity_generalises_to_misspellings():
     assert score(*odd).tolist() == pytest.approx([plain_toxicity(model, t) for t in odd], abs=1e-9)
 
 
+def test_worst_windows_by_halves(monkeypatch):
+    rng = np.random.default_rng(3)
+    ends = np.concatenate(([0], np.cumsum(rng.integers(0, 40, 200))))
+    of = rng.normal(size=ends[-1])
+    whole = toxicity.worst_windows(of, ends)
+    for together in (1, 7, 500):
+        monkeypatch.setattr(toxicity, "WORDS_TOGETHER", together)
+        for a, b in zip(whole, toxicity.worst_windows(of, ends), strict=True):
+            np.testing.assert_array_equal(a, b)
+
+
 def plain_toxicity(model, text):
     """The score by loops over windows, words and n-grams."""
 
