@@ -123,11 +123,15 @@ def ngram_buckets(words: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]],
     return found, begin, (_mixed(whole) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
+def _parts(words: pa.Array) -> Iterator[pa.Array]:
+    """Some words at a time, to bound what is held in between."""
+    return (words.slice(first, 1 << 14) for first in range(0, len(words), 1 << 14))
+
+
 def word_rows(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(flat, at): the buckets of word i are flat[at[i] : at[i + 1]]."""
     flats, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-    for first in range(0, len(words), 1 << 14):  # some at a time, to bound what is held in between
-        some = words.slice(first, 1 << 14)
+    for some in _parts(words):
         found, begin, whole = ngram_buckets(some)
         of = np.repeat(np.arange(len(some)), np.diff(np.append(begin, len(found[0][0]))))
         flat, word = np.concatenate([b[v] for b, v in found] + [whole]), np.concatenate([of[v] for _, v in found] + [np.arange(len(some))])
@@ -138,11 +142,12 @@ def word_rows(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_means(words: pa.Array, per_bucket: np.ndarray) -> np.ndarray:
     """Mean over the buckets of each word."""
-    found, begin, whole = ngram_buckets(words)
-    if not len(words):
-        return np.zeros(0)
-    total = np.add.reduceat(sum(np.where(v, per_bucket[b], 0) for b, v in found).astype(np.float64), begin) + per_bucket[whole]
-    return total / (1 + np.add.reduceat(sum(v.astype(np.int64) for _, v in found), begin))
+    means = [np.zeros(0)]
+    for some in _parts(words):
+        found, begin, whole = ngram_buckets(some)
+        total = np.add.reduceat(sum(np.where(v, per_bucket[b], 0) for b, v in found).astype(np.float64), begin) + per_bucket[whole]
+        means.append(total / (1 + np.add.reduceat(sum(v.astype(np.int64) for _, v in found), begin)))
+    return np.concatenate(means)
 
 
 def worst_windows(of_word: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
