@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as queries over the tables of a folder."""
+"""The thirteen operators and the pipeline as queries over the tables of a folder."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import ann, byte_bpe, lm_score, packing, quality, secret_scan, simhash, token_counts, toxicity, warc
+from folio.llm import ann, byte_bpe, conversation_repair, lm_score, packing, periodic_runs, quality, secret_scan, sharding, simhash, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(_table(spark, sf_dir, "conversations"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_report(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_packing, op3_warc, op4_quality, op5_neighbours, op6_byte_bpe, op7_secrets, op8_lm_score, op9_toxicity, op10_token_counts, pipeline)
+    f.__name__: f for f in (op1_simhash, op2_packing, op3_warc, op4_quality, op5_neighbours, op6_byte_bpe, op7_secrets, op8_lm_score, op9_toxicity, op10_token_counts, op11_conversation_repair, op12_sharding, op13_periodic_runs, pipeline)
 }
 
 #: SQL for the queries that it can express. The digest's 160 bits are spelled five at a time.
