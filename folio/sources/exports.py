@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import datetime
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio import domain as D
 from folio.functions import text
+from folio.sources.one_file import write_one_file
 
 
 def _alternative(place: int) -> tuple[Column, Column]:
@@ -53,7 +56,7 @@ def csv_text(rows: DataFrame) -> DataFrame:
 
 def _lines(rows: DataFrame) -> DataFrame:
     quoted = lambda c: F.when(F.col(c).rlike('[;"\r\n]'), F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(c))
-    return rows.select(F.concat_ws(";", *[quoted(c) for c in rows.columns]).alias("line"))
+    return rows.select(F.concat(F.concat_ws(";", *[quoted(c) for c in rows.columns]), F.lit("\n")).alias("line"))
 
 
 #: What save() can write.
@@ -64,30 +67,30 @@ def save(records: DataFrame, folder: str, prefix: str = "analise", threshold: fl
     """Write {prefix}_{stamp}.csv (semicolons, BOM) and .json, or those of them that are asked for; their
     paths. An unknown format is an error.
 
-    One file of each kind is what is asked for, so rows stream through the driver partition by
-    partition; for large exports, write export_rows() as a table."""
+    One file of each kind is what is asked for; tasks write it, see write_one_file(). The folder is a
+    path or URI that driver and executors share; paths of URIs are texts."""
     if unknown := set(formats) - set(FORMATS):
         raise ValueError(f"unknown format {sorted(unknown)[0]!r}")
     stamp = (now or datetime.datetime.now()).strftime("%Y%m%d_%H%M%S")
-    base = Path(folder)
-    base.mkdir(parents=True, exist_ok=True)
-    paths = [base / f"{prefix}_{stamp}.{kind}" for kind in FORMATS if kind in formats]
     rows = export_rows(records.orderBy(*order))
-    for path in paths:
-        (_write_csv if path.suffix == ".csv" else _write_json)(path, rows, records, threshold)
+    paths = []
+    for kind in FORMATS:
+        if kind in formats:
+            target = f"{str(folder).rstrip('/')}/{prefix}_{stamp}.{kind}"
+            if kind == "csv":
+                write_one_file(_lines(csv_text(rows)), target, head="\ufeff" + ";".join(D.EXPORT_COLUMNS) + "\n")
+            else:
+                _write_json(rows, records, threshold, target)
+            paths.append(target if "://" in target else Path(target))
     return paths
 
 
-def _write_csv(path: Path, rows: DataFrame, records: DataFrame, threshold: float) -> None:
-    with path.open("w", encoding="utf-8-sig", newline="") as f:
-        f.write(";".join(D.EXPORT_COLUMNS) + "\n")
-        f.writelines(r.line + "\n" for r in _lines(csv_text(rows)).toLocalIterator())
+def _write_json(rows: DataFrame, records: DataFrame, threshold: float, target: str) -> None:
+    totals = json.dumps(metadata(records, threshold), ensure_ascii=False, indent=2).replace("\n", "\n  ")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells = ({k: "" if v is None else v for k, v in r.items()} for r in b.to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(["\n    " + json.dumps(c, ensure_ascii=False) for c in cells], pa.string())], names=["line"])
 
-def _write_json(path: Path, rows: DataFrame, records: DataFrame, threshold: float) -> None:
-    with path.open("w", encoding="utf-8") as f:
-        f.write('{\n  "metadata": ' + json.dumps(metadata(records, threshold), ensure_ascii=False, indent=2).replace("\n", "\n  ") + ',\n  "resultados": [')
-        for n, r in enumerate(rows.toLocalIterator()):
-            cells = {k: "" if v is None else v for k, v in r.asDict().items()}
-            f.write(("," if n else "") + "\n    " + json.dumps(cells, ensure_ascii=False))
-        f.write("\n  ]\n}\n")
+    write_one_file(rows.mapInArrow(run, "line string"), target, head='{\n  "metadata": ' + totals + ',\n  "resultados": [', between=",", tail="\n  ]\n}\n")
