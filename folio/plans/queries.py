@@ -12,7 +12,8 @@ from folio import engine
 from folio.functions import ranking, text
 from folio.operators import classify, evaluate, labels, merge
 from folio.plans import fixtures as X
-from folio.sources import exports, files, history
+from folio.session import scratch_folder
+from folio.sources import exports, files, history, tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -390,6 +391,36 @@ def top_level_entries(spark, sf):
     return files.top_level(X.paths(spark, sf))
 
 
+_TREE = """t AS (SELECT s_suppkey AS k, 's' || (s_suppkey % 7) || '/' || CASE s_suppkey % 5 WHEN 0 THEN '.git/' WHEN 1 THEN '_build/x/' WHEN 2 THEN '' WHEN 3 THEN 'node_modules/m/' ELSE 'src/' END
+  || CASE s_suppkey % 4 WHEN 0 THEN '.env' WHEN 1 THEN '_f.PY' WHEN 2 THEN 'historico.db' ELSE 'r.csv' END || CASE WHEN s_suppkey % 8 < 4 THEN '' ELSE s_suppkey::VARCHAR END AS caminho FROM supplier),
+ ft AS (SELECT caminho, max(10 + length(caminho)) AS length FROM t GROUP BY caminho)"""
+
+
+def _planted_tree(spark, sf) -> str:
+    """A folder of files that are named after suppliers, hidden names among them."""
+    k = F.col("s_suppkey")
+    folder = F.element_at(F.array(*map(F.lit, [".git/", "_build/x/", "", "node_modules/m/", "src/"])), (k % 5 + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, [".env", "_f.PY", "historico.db", "r.csv"])), (k % 4 + 1).cast("int"))
+    path = F.concat(F.lit("s"), (k % 7).cast("string"), F.lit("/"), folder, name, F.when(k % 8 < 4, "").otherwise(k.cast("string")))
+    rows = X.table(spark, sf, "supplier").select(path.alias("caminho")).distinct().select("caminho", (F.length("caminho") + 10).alias("length"))
+    root = scratch_folder(spark, "tree")
+    tree.planted(rows, root)
+    return root
+
+
+@query(f"WITH {_TREE} SELECT caminho, length::BIGINT AS length, ends_with(caminho, '.env') OR ends_with(caminho, 'historico.db') AS vazado FROM ft")
+def file_listing(spark, sf):
+    root = _planted_tree(spark, sf)
+    found = files.all_files(spark, root)
+    return found.join(files.leaks(found).select("caminho", F.lit(True).alias("v")), "caminho", "left").select("caminho", "length", F.coalesce("v", F.lit(False)).alias("vazado"))
+
+
+@query(f"WITH {_TREE} SELECT caminho, length::BIGINT AS length FROM ft WHERE starts_with(caminho, 's1/') AND ends_with(caminho, '.PY') AND NOT contains(caminho, '.git/') AND NOT contains(caminho, 'node_modules/')")
+def file_listing_pruned(spark, sf):
+    found = tree.file_tree(spark, _planted_tree(spark, sf), D.EXCLUDED_DIRS)
+    return found.filter(F.col("caminho").startswith("s1/") & (F.col("sufixo") == ".py")).select("caminho", "length")
+
+
 @query("SELECT p_partkey, nome FROM (SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN '.PNG' WHEN 1 THEN '.jpeg' WHEN 2 THEN '.gif' ELSE '.png.txt' END AS nome FROM part) WHERE regexp_matches(lower(nome), '\\.(png|jpe?g)$')")
 def ext_filter(spark, sf):
     k = F.col("p_partkey") % 4

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,6 +25,17 @@ def local_session(name: str = "folio", cores: str = "*", shuffle_partitions: int
     )
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or for a local
+    session without it the temp folder. On a cluster without it: an error."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = os.path.join(tempfile.gettempdir(), "folio-checkpoints")
+    return f"{shared.rstrip('/')}/folio/{name}-{uuid.uuid4().hex}"
+
+
 def ship_library(spark: SparkSession) -> None:
     """Make this package importable in the Python workers, once for each application."""
     context = spark.sparkContext

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio import domain as D
 from folio.functions.text import file_name, file_suffix
+from folio.sources.tree import file_tree
 
 IMAGE = r"(?i)\.(png|jpe?g)$"
 MAX_UPLOAD = 20 << 20
@@ -43,13 +44,10 @@ def labelled_images(spark: SparkSession, folder: str, content: bool = False) ->
     return found.select(F.element_at(F.split("path", "/"), -2).alias("rotulo"), "arquivo", "path", "length", *(["content"] if content else []))
 
 
-def all_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(caminho, length): every file below a folder, by its path from there; contents aren't read.
-    Spark leaves out what begins with a dot or an underscore."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    plain = lambda c: F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/")
-    root = plain(F.lit(folder.rstrip("/") + "/"))
-    return found.select(F.substring(plain(F.col("path")), F.length(root) + 1, F.length("path")).alias("caminho"), "length")
+def all_files(spark: SparkSession, folder: str, without: list[str] | None = None) -> DataFrame:
+    """(caminho, length): every file below a folder, hidden ones too, by its path from there; contents
+    aren't read. Folders with a name in without are not entered: for packages, D.EXCLUDED_DIRS."""
+    return file_tree(spark, folder, without).select("caminho", "length")
 
 
 def exported_files(spark: SparkSession, folder: str) -> DataFrame:
