@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import ann, byte_bpe, conversation_repair, lm_score, packing, periodic_runs, quality, secret_scan, sharding, simhash, token_counts, toxicity, warc
+from folio.llm import ann, byte_bpe, conversation_repair, lm_score, packing, periodic_runs, quality, repair_sql, secret_scan, sharding, simhash, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: SQL for the queries that it can express. The digest's 160 bits are spelled five at a time.
 ORACLE_SQL: dict[str, str] = {
+    "op11_conversation_repair": repair_sql.SQL,
     "op3_warc": """WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
  b AS (SELECT *, array_to_string(list_transform(string_split(h, ''), lambda c: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * instr('0123456789abcdef', c) - 3, 4)), '') AS bits FROM d),
  f AS (SELECT *, min(page_id) OVER (PARTITION BY h, n) AS first FROM b)
