@@ -14,6 +14,7 @@ from folio import domain as D
 from folio.operators import merge
 from folio.sources import exports
 from folio.sources.history import History
+from folio.sources.store import removed
 
 
 class Engine:
@@ -21,25 +22,45 @@ class Engine:
 
     def __init__(self, spark: SparkSession, history_path: str, cnn: Callable[[DataFrame], DataFrame], vlm: Callable[[DataFrame], DataFrame]):
         self.spark, self.history, self.cnn, self.vlm = spark, History(spark, history_path), cnn, vlm
+        self._id = uuid.uuid4().hex
 
     def state(self) -> dict:
         """Modes, threshold, classes and the number of records kept."""
         return {"modos": list(merge.MODES.values()), "limiar_padrao": D.THRESHOLD, "classes": [{"id": c[0], "cultura": c[2], "diagnostico": c[3], "condicao": c[4]} for c in D.CATALOGUE], "total_historico": self.history.total()}
 
     def analyse(self, items: DataFrame, mode: str = merge.AUTO, keep: bool = True) -> tuple[DataFrame, list[str]]:
-        """(records, warnings). What an engine answers is written once, next to the history, and read
-        from there by all that follows: no item is asked about twice, and history and caller have
-        the same answers."""
+        """(records, warnings). What an engine answers is written once and read from there by all that
+        follows: no item is asked about twice, and history and caller have the same answers.
+
+        With keep, records come back from the history, each with its id_historico; a column miniatura
+        of the items is kept as their picture, once for all records that show it. Without, what was
+        answered stays in the folder of answers until close()."""
         records, warnings = merge.analyse(items, lambda i: self._once(self.cnn(i)), lambda i: self._once(self.vlm(i)), mode)
         if keep:
-            self.history.save_all(records)
+            pictures = items.select("pos", "miniatura") if "miniatura" in items.columns else None
+            records, _ = self.history.save_all(records, pictures)
+            self.close()
         return records, warnings
 
+    @property
+    def _answers(self) -> str:
+        return f"{self.history.path}-answers/{self._id}"
+
     def _once(self, answers: DataFrame) -> DataFrame:
-        path = f"{self.history.path.rstrip('/')}-answers/{uuid.uuid4().hex}"
+        path = f"{self._answers}/{uuid.uuid4().hex}"
         answers.write.parquet(path)
         return self.spark.read.schema(answers.schema).parquet(path)
 
+    def close(self) -> None:
+        """Remove the answers of batches that were not kept: their records can't be read any more."""
+        removed(self._answers)
+
+    def __enter__(self) -> Engine:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def export(self, folder: str, prefix: str = "historico", formats: tuple[str, ...] = exports.FORMATS) -> list[Path]:
         """The whole history as files of these formats; an error if there is none, or for an unknown
         format."""

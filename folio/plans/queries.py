@@ -319,6 +319,21 @@ def history_total(spark, sf):
     return history.current(_log(spark, sf)).agg(F.count("*").alias("total"))
 
 
+@query(f"""WITH {X.LAUDOS_SQL}, i AS (SELECT row_number() OVER (ORDER BY l.id % 3, l.id) AS novo, l.* FROM l)
+ SELECT novo AS id, arquivo, data_hora, motor, especie, round(confianca, 4) AS confianca, CASE WHEN novo <= (SELECT count(*) FROM l WHERE l.id % 3 < 2) THEN props END AS miniatura FROM i WHERE novo NOT IN (2, 5, 11)""")
+def history_store(spark, sf):
+    """Three batches and three deletes, written anew after the second: what is there then, with pictures."""
+    h, rows = history.History(spark, scratch_folder(spark, "history")), X.laudos(spark, sf).withColumnRenamed("id", "pos")
+    for k in range(3):
+        batch = rows.filter(F.col("pos") % 3 == k)
+        h.save_all(batch.drop("miniatura"), batch.select("pos", "miniatura") if k < 2 else None)
+        h.delete((2, 5, 11)[k])
+        if k == 1:
+            h.compact()
+    kept = h.rows.join(h.thumbnails(), "id", "left")
+    return kept.select("id", "arquivo", "data_hora", "motor", "especie", F.round("confianca", 4).alias("confianca"), F.decode("miniatura", "UTF-8").alias("miniatura"))
+
+
 @query("SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y às %H:%M') AS data_legivel, 'sem data ' || o_orderkey AS sem_data FROM orders")
 def human_date(spark, sf):
     o = X.table(spark, sf, "orders")
@@ -448,10 +463,12 @@ _FIELDS = [c for c in D.RECORD.names if c != "ranking"]
 
 
 @query(f"""WITH {X.CNN_SQL}, k AS (SELECT pos, string_agg(cultura || ' — ' || diagnostico || '=' || printf('%.4f', round(conf, 4)), '|' ORDER BY rn) AS ranking FROM r JOIN cat ON r.idx = cat.idx WHERE rn <= 3 GROUP BY pos)
- SELECT cnn.pos, cnn.pos + 7 AS id_historico, arquivo, '{X.AS_OF}' AS data_hora, '{D.CNN}' AS motor, especie, diagnostico, condicao, round(conf, 4) AS confianca, printf('%.1f%%', conf * 100) AS confianca_texto,
+ SELECT cnn.pos, row_number() OVER (ORDER BY cnn.pos) AS id_historico, arquivo, '{X.AS_OF}' AS data_hora, '{D.CNN}' AS motor, especie, diagnostico, condicao, round(conf, 4) AS confianca, printf('%.1f%%', conf * 100) AS confianca_texto,
  agente, sintomas, manejo, 'stub v1.0.0' AS modelo_versao, '' AS observacoes, k.ranking FROM cnn JOIN k ON cnn.pos = k.pos""")
 def api_document(spark, sf):
-    records = X.cnn_records(spark, sf).withColumn("id_historico", F.col("pos") + 7)
+    unavailable = lambda _: X.cnn_records(spark, sf).limit(0)
+    batch = engine.Engine(spark, scratch_folder(spark, "history"), lambda i: classify.classify(i, as_of=X.AS_OF), unavailable)
+    records, _ = batch.analyse(X.scores(spark, sf).select("pos", "arquivo", "p"), merge.ONLY_CNN)
     fields = ", ".join(f"{c} {'double' if c == 'confianca' else 'string'}" for c in _FIELDS)
     doc = engine.serialised(records).select("pos", F.from_json("documento", f"id_historico bigint, {fields}, ranking array<struct<rotulo string, confianca double>>").alias("d"))
     shown = F.array_join(F.transform("d.ranking", lambda r: F.concat(r["rotulo"], F.lit("="), F.format_string("%.4f", F.round(r["confianca"], 4)))), "|")
