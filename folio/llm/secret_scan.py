@@ -5,8 +5,8 @@ beginning, whatever is assigned to a secret's name, bearer tokens, passwords in
 tokens and private key blocks. A random forest, trained in numpy from labelled findings, tells
 secrets from what only looks like one: checksums, commit and order numbers, card numbers, UUIDs,
 paths, identifiers, plain words. It looks at the candidate's length, its transitions between
-characters, how much of it dictionary words cover, whether it is part of a path or address, and the
-neighbouring words.
+characters, how much of it dictionary words cover (those that are frequent in the documents, and some
+that configuration and code use), whether it is part of a path or address, and the neighbouring words.
 
 Candidates don't overlap: of nested or overlapping ones, that of the pattern which stands first in
 PATTERNS holds, then the one that begins first. Adjacent ones are each a candidate.
@@ -17,13 +17,16 @@ which knows the kinds of secrets and of look-alikes below.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
+import math
 import random
 import re
 import string
 import uuid
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +38,11 @@ from folio.llm._common import slices
 #: Characters before and after a candidate that its features see.
 CONTEXT = 48
 MASK = "[SECRET]"
+#: Candidates whose features are in memory at a time.
+SCORED = 4096
 THRESHOLD = 0.5
-#: Characters of a candidate whose transitions and words count; all of it counts as its length.
-MOST_LOOKED_AT = 4096
+#: Words of the documents that the dictionary takes in: the most frequent ones of so many letters.
+MOST_WORDS, WORD_LETTERS = 5000, (4, 12)
 #: Labelled findings that the forest is fitted on, at most; those of the smallest hashes.
 MAX_FINDINGS = 20_000
 
@@ -48,29 +53,45 @@ SECRET_NAMES = ["passw", "passphrase", "pwd", "secret", "token", "key", "auth",
 KEY_PREFIXES = ["AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "glpat-", "sk-", "sk_live_", "rk_live_", "pk_live_", "xoxb-", "xoxp-", "eyJ", "SG_", "npm_", "hf_"]
 DICTIONARY = ["the", "and", "for", "with", "this", "that", "from", "your", "here", "user", "name", "test", "example", "sample", "demo", "data", "file", "path", "image", "index", "page", "item", "list", "main", "home", "config", "server", "client", "version", "release", "build", "model", "table", "column", "value", "number", "string", "array", "object", "class", "method", "function", "return", "update", "create", "delete", "select", "order", "report", "project", "service", "system", "change", "insert", "place", "holder", "placeholder", "dummy", "default", "local", "host", "http", "https", "www", "html", "json", "text", "time", "date", "year", "month", "week", "photo", "video", "music", "copy", "draft", "final", "backup", "archive", "log", "temp", "key", "token", "secret", "password"]
 
-_RUN = rf"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*[0-9]|{'|'.join(map(re.escape, KEY_PREFIXES))})[A-Za-z0-9_+/\-]{{12,}}={{0,2}}"
+_RUN = re.compile(rf"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*+[0-9]|{'|'.join(map(re.escape, KEY_PREFIXES))})[A-Za-z0-9_+/\-]{{12,}}+={{0,2}}")
 _NAME = re.compile("|".join(SECRET_NAMES), re.I)
-#: Each pattern's candidates, the most telling pattern first. Group v is the candidate; what group
-#: name holds, if there is one, must be a secret's name.
-PATTERNS = [
-    re.compile(r"(?P<v>-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----[A-Za-z0-9+/=\s:,\-]*?-----END [A-Z ]{0,32}PRIVATE KEY-----)"),
-    re.compile(r"(?<![A-Za-z0-9_\-])(?P<v>eyJ[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]+){1,2})"),
-    re.compile(r"://[^\s/:@]{0,64}:(?P<v>[^\s/@]{3,128})(?=@)"),
-    re.compile(r"(?i)\bbearer[ \t]{1,3}(?P<v>[A-Za-z0-9._~+/\-]{8,}={0,2})"),
-    re.compile(r"(?<![\w.\-])(?P<name>[\w.\-]{1,64}+)[\"'\]]{0,2}[ \t]{0,3}(?:=>|:=|==|[=:])[ \t]{0,3}(?=[\"'`]?(?P<v>[^\s\"'`,;<>(){}\[\]]{3,}[^\s\"'`,;<>(){}\[\].!?:]))"),
-    re.compile(f"(?P<v>{_RUN})"),
-]
-_WORDS = re.compile("|".join(sorted(DICTIONARY, key=len, reverse=True)))
+_BEGIN, _END = (re.compile(rf"-----{x} [A-Z ]{{0,32}}PRIVATE KEY-----") for x in ("BEGIN", "END"))
+_NOT_IN_BLOCK = re.compile(r"[^A-Za-z0-9+/=\s:,\-]")
+_WEB_TOKEN = re.compile(r"(?<![A-Za-z0-9_\-])eyJ[A-Za-z0-9_\-]{8,}+(?:\.[A-Za-z0-9_\-]++){1,2}+")
+_URL = re.compile(r"://[^\s/:@]*+:(?P<v>[^\s/@]{3,}+)(?=@)")
+_BEARER = re.compile(r"(?i)\bbearer[ \t]{1,3}(?=(?P<v>[A-Za-z0-9._~+/\-]{8,}+={0,2}))")
+_ASSIGNED = re.compile(r"(?<![\w.\-])(?P<name>[\w.\-]++)[\"'\]]{0,2}[ \t]{0,3}(?:=>|:=|==|[=:])[ \t]{0,3}(?P<quote>[\"'`]?)")
+#: What ends an assigned value, without quotes and in them; and what it does not end with.
+_VALUE_ENDS, _QUOTED_ENDS = re.compile(r"[\s\"'`,;&|<>(){}\[\]]"), re.compile(r"[\s\"'`]")
+_NO_LAST, LEAST_VALUE = ".!?:", 4
 _NEIGHBOUR = re.compile(r"[a-z0-9]+")
 _UUID = re.compile(r"[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$", re.I)
 _HEX = re.compile(r"[0-9a-fA-F]+$")
 _SECRET, _BENIGN = set(SECRET_WORDS), set(BENIGN_WORDS)
 _SYMBOLS = set("!#$%&*?@^~|.,;:")
 _COMMON_PAIRS = {a + b for w in DICTIONARY for a, b in zip(w, w[1:], strict=False)}
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+@lru_cache(maxsize=4096)
+def _kind(c: str) -> int:
+    return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
 
 
-def _kinds(text: str) -> list[int]:
-    return [0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in text]
+def covered(text: str, words: frozenset[str]) -> int:
+    """Letters of a text in lower case that words cover: from the left, the longest that begins there."""
+    longest, total = WORD_LETTERS[1], 0
+    for run in _LETTERS.finditer(text):
+        at, end = run.span()
+        while end - at > 2:
+            for n in range(min(longest, end - at), 2, -1):
+                if text[at : at + n] in words:
+                    total += n
+                    at += n
+                    break
+            else:
+                at += 1
+    return total
 
 
 def _luhn(digits: str) -> bool:
@@ -78,17 +99,17 @@ def _luhn(digits: str) -> bool:
     return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(doubled)) % 10 == 0
 
 
-def features(before: str, candidate: str, after: str) -> list[float]:
-    body = candidate[:MOST_LOOKED_AT].rstrip("=") or "="
-    n, kinds, lower = len(body), _kinds(body), body.lower()
-    of = np.bincount(kinds, minlength=4) / n
-    moves = np.zeros((4, 4))
-    for a, b in zip(kinds, kinds[1:], strict=False):
-        moves[a, b] += 1
-    moves /= max(1, n - 1)
-    _, counts = np.unique(list(body), return_counts=True)
-    p = counts / n
-    letters = [a + b for a, b in zip(lower, lower[1:], strict=False) if a.isalpha() and b.isalpha()]
+def features(before: str, candidate: str, after: str, words: frozenset[str] = frozenset(DICTIONARY)) -> list[float]:
+    """Of a whole candidate, whatever its length, and of what stands beside it."""
+    body = candidate.rstrip("=") or "="
+    n, lower = len(body), body.lower()
+    counts, moves = Counter(body), [[0] * 4 for _ in range(4)]
+    of = [0.0] * 4
+    for c, k in counts.items():
+        of[_kind(c)] += k / n
+    for (a, b), k in Counter(zip(body, body[1:], strict=False)).items():
+        moves[_kind(a)][_kind(b)] += k / max(1, n - 1)
+    letters = [(a + b, k) for (a, b), k in Counter(zip(lower, lower[1:], strict=False)).items() if a.isalpha() and b.isalpha()]
     near_before, near_after = _NEIGHBOUR.findall(before.lower())[-3:], _NEIGHBOUR.findall(after.lower())[:2]
     left, right = before.rstrip(" \"'`")[-1:], after[:1]
     near = set(near_before + near_after)
@@ -99,20 +120,20 @@ def features(before: str, candidate: str, after: str) -> list[float]:
         float(n in (32, 40, 64)),
         # characters and transitions between them
         *of,
-        float(-(p * np.log2(p)).sum()),
-        1 - np.trace(moves),
-        moves[0, 1] + moves[1, 0],
-        moves[0, 2] + moves[2, 0],
-        moves[1, 2] + moves[2, 1],
-        sum(x in _COMMON_PAIRS for x in letters) / max(1, len(letters)),
+        -sum(k / n * math.log2(k / n) for k in counts.values()),
+        1 - sum(moves[k][k] for k in range(4)),
+        moves[0][1] + moves[1][0],
+        moves[0][2] + moves[2][0],
+        moves[1][2] + moves[2][1],
+        sum(k for x, k in letters if x in _COMMON_PAIRS) / max(1, sum(k for _, k in letters)),
         float(bool(_HEX.match(body))),
         float(bool(_UUID.match(body))),
         float(body.isdigit() and _luhn(body)),
         float(any(body.startswith(x) for x in KEY_PREFIXES)),
         float(candidate.startswith("-----BEGIN")),
-        len(set(body) & _SYMBOLS),
+        sum(c in _SYMBOLS for c in counts),
         # dictionary coverage
-        sum(map(len, _WORDS.findall(lower))) / n,
+        covered(lower, words) / n,
         # path
         body.count("/") + body.count("-") + body.count("_"),
         body.count("."),
@@ -136,6 +157,9 @@ class RandomForest:
     A tree is arrays over its nodes: the feature (-1 for a leaf), the threshold, the children and
     the share of positives."""
 
+    #: The dictionary that its features were counted with.
+    words: frozenset[str] = frozenset(DICTIONARY)
+
     def __init__(self, trees: int = 48, depth: int = 10, least: int = 3, seed: int = 5):
         self.size, self.depth, self.least, self.seed = trees, depth, least, seed
         self.trees: list[tuple[np.ndarray, ...]] = []
@@ -188,17 +212,63 @@ class RandomForest:
         return total / max(1, len(self.trees))
 
 
+def _blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Private key blocks: a first line, the next last line, and nothing else between but what keys hold.
+    Positions looked for only move forward."""
+    ends, end, foreign, done = _END.finditer(text), None, None, 0
+    for begin in _BEGIN.finditer(text):
+        if begin.start() < done:
+            continue
+        while end is None or end.start() < begin.end():
+            end = next(ends, None)
+            if end is None:
+                return
+        if foreign is None or foreign < begin.end():
+            found = _NOT_IN_BLOCK.search(text, begin.end())
+            foreign = found.start() if found else len(text)
+        if end.start() <= foreign:
+            done = end.end()
+            yield begin.start(), done
+
+
+def _assigned(text: str) -> Iterator[tuple[int, int]]:
+    """Values assigned to secrets' names. Where values nest (name=name=value), they end at the same place,
+    which is looked for once."""
+    known = {_VALUE_ENDS: (-1, -1), _QUOTED_ENDS: (-1, -1)}  # the last end found, and that without what none ends with
+    for m in _ASSIGNED.finditer(text):
+        if not _NAME.search(m["name"]):
+            continue
+        start, ends = m.end(), _QUOTED_ENDS if m["quote"] else _VALUE_ENDS
+        if start > known[ends][0]:
+            found = ends.search(text, start)
+            end = trimmed = found.start() if found else len(text)
+            while trimmed > start and text[trimmed - 1] in _NO_LAST:
+                trimmed -= 1
+            known[ends] = end, trimmed
+        if known[ends][1] - start >= LEAST_VALUE:
+            yield start, known[ends][1]
+
+
+#: What finds the candidates, the most telling first.
+PATTERNS = [
+    _blocks,
+    lambda text: (m.span() for m in _WEB_TOKEN.finditer(text)),
+    lambda text: (m.span("v") for m in _URL.finditer(text)),
+    lambda text: (m.span("v") for m in _BEARER.finditer(text)),
+    _assigned,
+    lambda text: (m.span() for m in _RUN.finditer(text)),
+]
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """(start, end) of each candidate of a whole text, in code points and in order."""
     taken: list[tuple[int, int]] = []
     for pattern in PATTERNS:
-        named, more = "name" in pattern.groupindex, []
-        for m in pattern.finditer(text):
-            a, z = m.span("v")
-            if named and not _NAME.search(m["name"]):
-                continue
-            at = bisect.bisect_left(taken, (a, a))
-            if (at and taken[at - 1][1] > a) or (at < len(taken) and taken[at][0] < z) or (more and more[-1][1] > a):
+        more, at = [], 0
+        for a, z in pattern(text):
+            while at < len(taken) and taken[at][1] <= a:
+                at += 1
+            if (at < len(taken) and taken[at][0] < z) or (more and more[-1][1] > a):
                 continue
             more.append((a, z))
         taken = sorted(taken + more)
@@ -209,7 +279,7 @@ class _Examples:
     """A source of labelled findings. SECRET and BENIGN: kinds, as methods that return what stands
     before a candidate and the candidate."""
 
-    SECRET = ["hexadecimal", "letters_and_digits", "base64", "cloud_key", "prefixed", "web_token", "password", "letters_only", "url_password", "key_block", "bearer"]
+    SECRET = ["hexadecimal", "letters_and_digits", "base64", "cloud_key", "prefixed", "web_token", "password", "worded_password", "letters_only", "url_password", "key_block", "bearer"]
     BENIGN = ["checksum", "bare_hex", "uuid", "number", "path", "slug", "placeholder", "camel_case", "date", "word_and_digits", "sum", "assigned_word", "reference", "assigned_number"]
 
     def __init__(self, seed: int):
@@ -253,6 +323,11 @@ class _Examples:
     def password(self):
         return self.named(), self.pick(self.alnum + "!#$%&*?@^", 6, 16) + self.pick(self.alnum, 1)
 
+    def worded_password(self):
+        words = [w.title() if self.rng.random() < 0.3 else w for w in (self.pick(string.ascii_lowercase, 3, 7), self.word())]
+        self.rng.shuffle(words)
+        return self.named(), words[0] + self.pick(string.digits, 1, 3) + words[1] + self.pick(string.digits + "!#$", 1, 3) + self.pick(string.digits, 1)
+
     def letters_only(self):
         return self.named(), self.pick(string.ascii_letters, 14, 40)
 
@@ -335,9 +410,18 @@ def example_findings(n: int = 6000, seed: int = 3, kinds: list[str] | None = Non
     return _Examples(seed).findings(n, [k for k in kinds if k not in without])
 
 
-def fit_forest(findings: list[tuple[str, str, str, int]] | DataFrame | None = None) -> RandomForest:
+def frequent_words(docs: DataFrame, text_col: str = "text") -> frozenset[str]:
+    """The most frequent words of all documents, in lower case, and those of DICTIONARY: what covers a
+    candidate. Words are counted where they are before anything is shuffled; the driver gets MOST_WORDS."""
+    low, high = WORD_LETTERS
+    words = docs.select(F.explode(F.split(F.lower(F.col(text_col).cast("string")), r"[^\p{L}]+")).alias("w")).filter(F.length("w").between(low, high))
+    counts = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(MOST_WORDS)
+    return frozenset(DICTIONARY) | {r.w for r in counts.collect()}
+
+
+def fit_forest(findings: list[tuple[str, str, str, int]] | DataFrame | None = None, words: frozenset[str] = frozenset(DICTIONARY)) -> RandomForest:
     """A forest from labelled findings (before, candidate, after, label: 1 for a secret); the examples
-    if None. Of a table, rows with nulls are left out, and at most MAX_FINDINGS are taken, by hash. Without findings
+    if None. words: the dictionary that covers candidates. Of a table, rows with nulls are left out, and at most MAX_FINDINGS are taken, by hash. Without findings
     nothing is a secret."""
     if isinstance(findings, DataFrame):
         names = ["before", "candidate", "after", "label"]
@@ -346,15 +430,21 @@ def fit_forest(findings: list[tuple[str, str, str, int]] | DataFrame | None = No
     findings = example_findings() if findings is None else findings
     if not findings:
         return RandomForest(trees=0)
-    return RandomForest().fit(np.array([features(*f[:3]) for f in findings], float), np.array([f[3] for f in findings]))
+    forest = RandomForest().fit(np.array([features(*f[:3], words) for f in findings], float), np.array([f[3] for f in findings]))
+    forest.words = words
+    return forest
 
 
 def scan(texts: list[str], forest: RandomForest) -> list[list[tuple[int, int, float]]]:
     """(start, end, score) of each candidate of each whole text; in code points."""
     spans = [candidates(t) for t in texts]
-    rows = [features(t[max(0, a - CONTEXT) : a], t[a:b], t[b : b + CONTEXT]) for t, found in zip(texts, spans, strict=True) for a, b in found]
-    scores = iter(forest.score(np.array(rows, float)).tolist() if rows else [])
-    return [[(a, b, next(scores)) for a, b in found] for found in spans]
+    wanted = ((t, a, b) for t, found in zip(texts, spans, strict=True) for a, b in found)
+    scores: list[float] = []
+    while some := list(islice(wanted, SCORED)):
+        rows = [features(t[max(0, a - CONTEXT) : a], t[a:b], t[b : b + CONTEXT], forest.words) for t, a, b in some]
+        scores += forest.score(np.array(rows, float)).tolist()
+    of = iter(scores)
+    return [[(a, b, next(of)) for a, b in found] for found in spans]
 
 
 def find_secrets(docs: DataFrame, forest: RandomForest | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -362,10 +452,10 @@ def find_secrets(docs: DataFrame, forest: RandomForest | None = None, threshold:
 
     start is a 0-based code point; the candidate itself isn't returned, but its digest is. Texts
     without candidates and null texts have no rows. Null ids stay; a repeated row's candidates are
-    repeated. A score at the threshold counts as secret. Other columns are not read; an empty table
-    gives an empty one.
+    repeated. A score at the threshold counts as secret. Very long texts take time in proportion to
+    their length. Other columns are not read; an empty table gives an empty one.
     """
-    key, shared = docs.schema[id_col].dataType.simpleString(), docs.sparkSession.sparkContext.broadcast(forest or fit_forest())
+    key, shared = docs.schema[id_col].dataType.simpleString(), docs.sparkSession.sparkContext.broadcast(forest or fit_forest(words=frequent_words(docs, text_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -384,7 +474,7 @@ def mask_secrets(docs: DataFrame, forest: RandomForest | None = None, threshold:
     has it, set to the new length in code points where the text changed. Null text stays null, and a
     repeated row is masked as often as it occurs. A score at the threshold counts as secret. An empty
     table stays empty; other columns stay as they are."""
-    at, shared = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(forest or fit_forest())
+    at, shared = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(forest or fit_forest(words=frequent_words(docs, text_col)))
     size_at = docs.columns.index(length_col) if length_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,8 +483,9 @@ def mask_secrets(docs: DataFrame, forest: RandomForest | None = None, threshold:
             sizes = b.column(size_at).to_pylist() if size_at is not None else None
             for i, spans in enumerate(scan([t or "" for t in texts], shared.value)):
                 cuts = [(a, z) for a, z, s in spans if s >= threshold]
-                for a, z in reversed(cuts):
-                    texts[i] = texts[i][:a] + MASK + texts[i][z:]
+                if cuts:
+                    edges = [0, *(x for cut in cuts for x in cut), len(texts[i])]
+                    texts[i] = MASK.join(texts[i][a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
                 if cuts and sizes is not None:
                     sizes[i] = len(texts[i])
             columns = list(b.columns)

@@ -2,7 +2,9 @@
 
 import math
 import os
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -348,6 +350,136 @@ def test_what_secrets_are_found():
     assert len(secret_scan.candidates("pwd=aB3$xx9;token=Zz8%qq1 pwd=aB3$xx9")) == 3
 
 
+def plain_candidates(text):
+    """The patterns by walks over characters, pattern by pattern; what overlaps an earlier one is left out."""
+    white = re.compile(r"\s")
+    word = lambda c: c.isalnum() or c == "_"
+    ascii_in = lambda c, more: c.isascii() and (c.isalnum() or c in more)
+    n, found = len(text), []
+
+    def walk(at, fits):
+        while at < n and fits(text[at]):
+            at += 1
+        return at
+
+    def blocks():
+        line = lambda kind: [m.span() for m in re.finditer(f"-----{kind} [A-Z ]{{0,32}}PRIVATE KEY-----", text)]
+        done = 0
+        for a, z in line("BEGIN"):
+            end = next(((x, y) for x, y in line("END") if x >= z), None)
+            if a >= done and end and all(ascii_in(c, "+/=:,-") or white.match(c) for c in text[z : end[0]]):
+                done = end[1]
+                yield a, done
+
+    def web_tokens():
+        at = 0
+        while (a := text.find("eyJ", at)) >= 0:
+            at, end = a + 1, walk(a, lambda c: ascii_in(c, "_-"))
+            if (a == 0 or not ascii_in(text[a - 1], "_-")) and end - a >= 11:
+                parts = 0
+                while parts < 2 and end < n and text[end] == "." and (to := walk(end + 1, lambda c: ascii_in(c, "_-"))) > end + 1:
+                    end, parts = to, parts + 1
+                if parts:
+                    at = end
+                    yield a, end
+
+    def url_passwords():
+        at = 0
+        while (a := text.find("://", at)) >= 0:
+            at, colon = a + 1, walk(a + 3, lambda c: c not in "/:@" and not white.match(c))
+            if colon < n and text[colon] == ":":
+                end = walk(colon + 1, lambda c: c not in "/@" and not white.match(c))
+                if end - colon > 3 and end < n and text[end] == "@":
+                    at = end
+                    yield colon + 1, end
+
+    def bearers():
+        for m in re.finditer(r"(?i)\bbearer", text):  # \b: no letter, digit or underscore before it
+            a = walk(m.end(), lambda c: c in " \t")
+            end = walk(a, lambda c: ascii_in(c, "._~+/-"))
+            if 1 <= a - m.end() <= 3 and end - a >= 8:
+                yield a, min(walk(end, lambda c: c == "="), end + 2)
+
+    def assigned():
+        at = 0
+        while at < n:
+            if not (word(text[at]) or text[at] in ".-"):
+                at += 1
+                continue
+            end = walk(at, lambda c: word(c) or c in ".-")
+            m = re.compile(r"[\"'\]]{0,2}[ \t]{0,3}(=>|:=|==|=|:)[ \t]{0,3}([\"'`]?)").match(text, end)
+            if m and any(x in text[at:end].lower() for x in secret_scan.SECRET_NAMES):
+                stops = "\"'`" if m[2] else "\"'`,;&|<>(){}[]"
+                z = walk(m.end(), lambda c: c not in stops and not white.match(c))
+                while z > m.end() and text[z - 1] in ".!?:":
+                    z -= 1
+                if z - m.end() >= 4:
+                    yield m.end(), z
+            at = m.end() if m else end
+
+    def runs():
+        at = 0
+        while at < n:
+            if not ascii_in(text[at], "_+/-"):
+                at += 1
+                continue
+            end = walk(at, lambda c: ascii_in(c, "_+/-"))
+            if end - at >= 12 and (any(c.isdigit() for c in text[at:end]) or text[at:end].startswith(tuple(secret_scan.KEY_PREFIXES))):
+                yield at, min(walk(end, lambda c: c == "="), end + 2)
+            at = end
+
+    for pattern in (blocks, web_tokens, url_passwords, bearers, assigned, runs):
+        more = []
+        for a, z in pattern():
+            if all(z <= x or a >= y for x, y in found + more):
+                more.append((a, z))
+        found += more
+    return sorted(found)
+
+
+def test_candidates_equal_plain_walks():
+    rng = random.Random(12)
+    bits = ["password", "api_key", "x", "token", "pwd", "=", ": ", ":", "=>", "\"", "'", "&", "|", ";", " ", "\n", "/", "@", "://", ".", "..", "eyJ", "abcdefgh", "AB12cd34", "9", "-", "_", "+", "Bearer ", "bearer\t", "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "AKIA", "é", "(", ")", "secret", "==", "\u00a0", "!"]
+    seen = 0
+    for _ in range(6000):
+        text = "".join(rng.choices(bits, k=rng.randrange(30)))
+        expected = plain_candidates(text)
+        assert secret_scan.candidates(text) == expected, text
+        seen += len(expected)
+    assert seen > 3000
+
+
+@pytest.mark.parametrize("unit", ["a=1&", "://a:", "-----BEGIN PRIVATE KEY-----\n", "password=", "key:", "eyJabcdefghij.", "bearer ", "aB3/", "token: ..."])
+def test_time_grows_with_the_length_of_a_text(unit):
+    def seconds(n):
+        began = time.perf_counter()
+        secret_scan.candidates((unit * (n // len(unit) + 1))[:n])
+        return time.perf_counter() - began
+
+    seconds(10_000)
+    assert seconds(4_000_000) < 12 * max(0.1, min(seconds(1_000_000) for _ in range(2)))
+
+
+def test_bounds_of_candidates():
+    found = lambda t: [t[a:z] for a, z in secret_scan.candidates(t)]
+    long = "aB3$x" * 2000
+    assert found("?token=Zk39aaB2qqLL&page=2&user=bob") == found("a|token=Zk39aaB2qqLL|page") == ["Zk39aaB2qqLL"]
+    assert found('password = "a&b|c;9Z(x" end') == ["a&b|c;9Z(x"]
+    assert found(f"postgres://u:{long}@h/x") == [long] and found(f"secret: {long}") == [long] and found("n" * 300 + "_key=abcd9") == ["abcd9"]
+    assert secret_scan.features("", "a" * 9000 + "9" * 1000, "")[3] == pytest.approx(0.1)  # all of it counts
+    forest = secret_scan.fit_forest()
+    assert all(secret_scan.scan([t], forest)[0][0][2] >= 0.5 for t in ("db_password: hunter2secret9", "?token=Zk39aaB2qqLL&page=2"))
+
+
+def test_the_dictionary_comes_from_the_documents(spark, docs, no_docs):
+    words = secret_scan.frequent_words(docs)
+    counts = Counter(w for r in docs.collect() for w in re.findall(r"[^\W\d_]+", (r.text or "").lower()) if 4 <= len(w) <= 12)
+    most = sorted(counts, key=lambda w: (-counts[w], w))[: secret_scan.MOST_WORDS]
+    assert len(words & set(most)) >= 0.999 * len(most) and set(secret_scan.DICTIONARY) <= words
+    assert secret_scan.frequent_words(no_docs) == frozenset(secret_scan.DICTIONARY)
+    assert secret_scan.covered("xxthtionwh9and", frozenset({"thtion", "tion", "and"})) == 9
+
+
 def test_kinds_that_were_never_labelled():
     """Each kind left out of the findings: most unseen secrets are found, most unseen look-alikes not."""
     caught, fooled = [], []
