@@ -26,7 +26,7 @@ class Engine:
 
     def state(self) -> dict:
         """Modes, threshold, classes and the number of records kept."""
-        return {"modos": list(merge.MODES.values()), "limiar_padrao": D.THRESHOLD, "classes": [{"id": c[0], "cultura": c[2], "diagnostico": c[3], "condicao": c[4]} for c in D.CATALOGUE], "total_historico": self.history.total()}
+        return {"modos": list(dict.fromkeys(merge.MODES.values())), "limiar_padrao": D.THRESHOLD, "classes": [{"id": c[0], "cultura": c[2], "diagnostico": c[3], "condicao": c[4]} for c in D.CATALOGUE], "total_historico": self.history.total()}
 
     def analyse(self, items: DataFrame, mode: str = merge.AUTO, keep: bool = True) -> tuple[DataFrame, list[str]]:
         """(records, warnings). What an engine answers is written once and read from there by all that

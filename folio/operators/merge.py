@@ -9,7 +9,7 @@ from folio import domain as D
 
 # The modes by their names.
 AUTO, ONLY_CNN, ONLY_VLM, COMPARE = "Automático (CNN → VLM)", "Somente CNN especializado", "Somente visão generalista", "Comparar os dois motores"
-MODES = {"auto": AUTO, "cnn": ONLY_CNN, "vlm": ONLY_VLM, "comparar": COMPARE}
+MODES = {"auto": AUTO, "cnn": ONLY_CNN, "vlm": ONLY_VLM, "comparacao": COMPARE, "comparar": COMPARE}
 
 
 class EngineUnavailable(RuntimeError):
