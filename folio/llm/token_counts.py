@@ -7,14 +7,16 @@ that suffix and how many tokens it is behind. A list of tokens is the encoding o
 when all neighbours are, so the last token of a longer text is the one piece that fits the token
 before it. States and transitions are made when first needed and kept.
 
-Two characters that stand together in no piece are a seam: no token reaches over it, so that the
-state behind it is the start. Texts are cut into chunks, at a seam if one is near. A chunk's state
-map sends each state that may come in to the state that goes out and the tokens in between; maps
-are functions on finite sets of states, a monoid under composition, and a parallel prefix scan
-composes them. At a seam only the start comes in. At any other cut a token begins somewhere in the
-reach of the longest piece, and from there on the encoding does not depend on what was before: the
-states that come in are those reached from there. Should the scan find that another one came in,
-the chunk's map gets it as well, and the scan is run again: counts are exact in any case.
+Texts are cut into chunks of a fixed length, wherever that is. A chunk's state map sends each state
+that may come in to the state that goes out and the tokens in between: a token may begin at any place
+in the reach of the longest pieces before the cut, and each of these places gives a state. Maps are
+functions on finite sets of states, a monoid under composition. A parallel prefix scan composes those
+of all texts of a batch at once, level by level, as arrays of the numbers of states and tokens. Should
+a state come in that was not foreseen, the chunk's map gets it as well, and the scan is run again:
+counts are exact in any case.
+
+Two characters that stand together in no piece are a seam: no token reaches over it, so that what
+comes behind it in a chunk is the same for all states that come in, and is counted once for all.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +33,8 @@ from folio.llm._common import Memo, slices
 
 #: The mark that stands for a space.
 MARK = "▁"
-#: Characters of a chunk, and how far beyond that a seam is looked for.
+#: Characters of a chunk.
 CHUNK_CHARS = 512
-SEAM_CHARS = 64
 #: Words up to so many characters are remembered with their counts.
 MEMO_CHARS = 64
 #: Transitions after which the compiled part is dropped and made afresh as needed.
@@ -151,38 +153,32 @@ class CountingTransducer:
         """The first seam from one place to before another."""
         return next((i for i in range(at, end) if text[i - 1 : i + 1] not in self.together), None)
 
-    def cuts(self, text: str, size: int) -> list[tuple[int, bool]]:
-        """(where a chunk begins, whether at a seam) for each chunk of a text."""
-        found, at = [(0, True)], size
-        while at < len(text):
-            sealed = self.seam(text, at, min(at + SEAM_CHARS, len(text)))
-            found.append((at, False) if sealed is None else (sealed, True))
-            at = found[-1][0] + size
-        return found
-
     def last_seam(self, text: str, at: int) -> int | None:
         """The last seam that lies before a place and not further back than tokens can matter."""
         return next((i for i in range(at - 1, max(0, at - 2 * self.longest), -1) if text[i - 1 : i + 1] not in self.together), None)
 
     def entries(self, text: str, at: int) -> set[State]:
-        """The states that may come in at a cut without a seam."""
-        seam, far = self.last_seam(text, at), at - 2 * self.longest
-        begins = range(max(0, far), max(1, far + self.longest)) if seam is None else [seam]
-        return {self.run(self.start, text[b:at])[0] for b in begins}
-
-    def through(self, state: State, chunk: str, sealed: bool) -> tuple[State, int]:
-        """(state, tokens) after a chunk; sealed: whether it ends at a seam, behind which is the start."""
-        if state is self.start:
-            out, n = self.words_of(chunk)
-        elif (first := self.seam(chunk, 1, len(chunk))) is None:
-            out, n = self.run(state, chunk)
+        """The states that may come in at a cut: a token begins at one of the places before it. Before
+        the last seam there is no need to look."""
+        seam = self.last_seam(text, at)
+        return {self.run(self.start, text[b:at])[0] for b in range(max(0, at - 2 * self.longest) if seam is None else seam, at + 1)}
+
+    def out_of(self, text: str, at: int) -> State | None:
+        """The state at a place, where a seam before it decides it."""
+        seam = self.last_seam(text, at)
+        return None if seam is None else self.run(self.start, text[seam:at])[0]
+
+    def state_map(self, text: str, a: int, z: int, states: set[State]) -> dict[State, tuple[State, int]]:
+        """Each state that comes in to (state, tokens) after text[a:z]."""
+        first, out = self.seam(text, a + 1, z), self.out_of(text, z)
+        if first is None:
+            found = {s: self.run(s, text[a:z]) for s in states}
         else:
-            out, more = self.words_of(chunk[first:])
-            n = self.run(state, chunk[:first])[1] + more
-        if sealed:
-            return self.start, n
-        last = self.last_seam(chunk, len(chunk))
-        return (out if last is None else self.run(self.start, chunk[last:])[0]), n
+            reached, rest = self.words_of(text[first:z])
+            found = {s: (reached, self.run(s, text[a:first])[1] + rest) for s in states}
+        # A seam this side of the cut decides what goes out, by the name that the next chunk knows it by.
+        within = out is not None and self.last_seam(text, z) >= a
+        return {s: (out, n) for s, (_, n) in found.items()} if within else found
 
     @staticmethod
     def compose(a: dict, b: dict) -> dict:
@@ -190,33 +186,90 @@ class CountingTransducer:
         return {state: (b[out][0], n + b[out][1]) for state, (out, n) in a.items() if out in b}
 
     def scan(self, maps: list[dict]) -> list[dict]:
-        """Inclusive prefix scan: neighbours are composed, their scan gives every second prefix, and
-        one composition each of the others. All those of a step are independent of one another."""
-        if len(maps) < 2:
-            return maps
-        outer = self.scan([self.compose(a, b) for a, b in zip(maps[::2], maps[1::2], strict=False)])
-        return [maps[0], *(outer[i // 2] if i % 2 else self.compose(outer[i // 2 - 1], maps[i]) for i in range(1, len(maps)))]
-
-    def state_maps(self, text: str, size: int) -> tuple[list[dict], list[str], list[bool]]:
-        """(maps, chunks, whether each ends at a seam) of a text with its spaces as marks."""
-        cuts = self.cuts(text, size)
-        ends = [*(at for at, _ in cuts[1:]), len(text)]
-        chunks, sealed = [text[a:z] for (a, _), z in zip(cuts, ends, strict=True)], [*(s for _, s in cuts[1:]), False]
-        come_in = [{self.start} if at_seam else self.entries(text, at) for at, at_seam in cuts]
-        return [{s: self.through(s, c, z) for s in states} for states, c, z in zip(come_in, chunks, sealed, strict=True)], chunks, sealed
+        """The maps of all beginnings of a list of chunks."""
+        (places, tokens), prefixes = prefix_scan([maps]), maps[:1]
+        for k in range(1, len(maps)):
+            chunk = list(maps[k].values())
+            came = [(s, places[k - 1, e], int(tokens[k - 1, e])) for e, s in enumerate(maps[0])]
+            prefixes.append({s: (chunk[p][0], n + chunk[p][1]) for s, p, n in came if p >= 0})
+        return prefixes
+
+    def state_maps(self, text: str, size: int) -> tuple[list[dict], list[str], list[int]]:
+        """(maps, chunks, where each begins) of a text with its spaces as marks."""
+        cuts = list(range(0, len(text), size))
+        come_in = [self.entries(text, at) if at else {self.start} for at in cuts]
+        ends = [*cuts[1:], len(text)]
+        return [self.state_map(text, a, z, states) for a, z, states in zip(cuts, ends, come_in, strict=True)], [text[a:z] for a, z in zip(cuts, ends, strict=True)], cuts
+
+    def counts(self, texts: list[str], chunk_chars: int = CHUNK_CHARS) -> list[int]:
+        """Tokens of each whole text; the scan runs over all of them at once."""
+        marked = [MARK + t.replace(" ", MARK) for t in texts if t]
+        made = [self.state_maps(t, chunk_chars) for t in marked]
+        found, still = [0] * len(made), list(range(len(made)))
+        while still:
+            places, tokens = prefix_scan([made[i][0] for i in still])
+            again, at = [], 0
+            for i in still:
+                maps, _, cuts = made[i]
+                came = places[at : at + len(maps), 0]  # from the start, the only state that comes in first
+                if came[-1] >= 0:
+                    found[i] = int(tokens[at + len(maps) - 1, 0])
+                else:
+                    # What went out of the first chunk without a place is not among what the next one foresaw.
+                    miss = int((came < 0).argmax()) + 1
+                    state = self._went_out(maps, miss)
+                    end = cuts[miss + 1] if miss + 1 < len(cuts) else len(marked[i])
+                    maps[miss].update(self.state_map(marked[i], cuts[miss], end, {state}))
+                    again.append(i)
+                at += len(maps)
+            still = again
+        counted = iter(found)
+        return [next(counted) if t else 0 for t in texts]
+
+    def _went_out(self, maps: list[dict], at: int) -> State:
+        state = self.start
+        for m in maps[:at]:
+            state = m[state][0]
+        return state
 
     def count(self, text: str, chunk_chars: int = CHUNK_CHARS) -> int:
         """Tokens of a whole text."""
-        if not text:
-            return 0
-        maps, chunks, sealed = self.state_maps(MARK + text.replace(" ", MARK), chunk_chars)
-        while True:
-            prefixes = self.scan(maps)
-            if self.start in prefixes[-1]:
-                return prefixes[-1][self.start][1]
-            miss = next(i for i, p in enumerate(prefixes) if self.start not in p)
-            state = prefixes[miss - 1][self.start][0]
-            maps[miss][state] = self.through(state, chunks[miss], sealed[miss])
+        return self.counts([text], chunk_chars)[0]
+
+
+def out_names(chunk_map: dict) -> list:
+    """The states that go out of a chunk, each once."""
+    return list(dict.fromkeys(out for out, _ in chunk_map.values()))
+
+
+def prefix_scan(texts: list[list[dict]]) -> tuple[np.ndarray, np.ndarray]:
+    """Inclusive prefix scan of the state maps of each text's chunks: (places, tokens), with a row for each
+    chunk of each text and a column for each state that comes into the text's first chunk: the number of the
+    state that goes out, among those of the next chunk (of the last: among out_names()), or -1 where a
+    chunk in between lacks it, and the tokens until then.
+
+    In every round, each chunk's map is composed with that of the chunks before it, twice as many each
+    time; rounds are as many as the logarithm of the most chunks of a text."""
+    maps = [m for text in texts for m in text]
+    if not maps:
+        return np.zeros((0, 0), np.int64), np.zeros((0, 0), np.int64)
+    place = np.concatenate([np.arange(len(text)) for text in texts])  # in its text
+    last = np.concatenate([np.arange(len(text)) == len(text) - 1 for text in texts])
+    width = max(map(len, maps))
+    places, tokens = np.full((len(maps), width), -1), np.zeros((len(maps), width), np.int64)
+    for k, m in enumerate(maps):
+        names = {s: e for e, s in enumerate(out_names(m) if last[k] else maps[k + 1])}
+        for e, (out, n) in enumerate(m.values()):
+            places[k, e], tokens[k, e] = names.get(out, -1), n
+    reach = 1
+    while reach <= place.max():
+        at = np.flatnonzero(place >= reach)
+        into, before = places[at - reach], tokens[at - reach]
+        goes = into >= 0
+        into = np.where(goes, into, 0)
+        places[at], tokens[at] = np.where(goes, np.take_along_axis(places[at], into, 1), -1), np.where(goes, before + np.take_along_axis(tokens[at], into, 1), 0)
+        reach *= 2
+    return places, tokens
 
 
 @lru_cache(maxsize=2)
@@ -235,14 +288,14 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
 
     model_path is opened in the Python workers. Null text counts as empty (0 bytes, 0 tokens).
     Null ids and repeated rows stay; other columns are not read; an empty table stays empty.
-    Texts of any length run in chunks.
+    Texts of any length run in chunks, whose maps are composed by arrays of a batch.
     """
     key = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = compiled(model_path).count
+        counts = compiled(model_path).counts
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([count(t or "") for t in b.column(1).to_pylist()], pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counts([t or "" for t in b.column(1).to_pylist()]), pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
 
     text = F.col(text_col).cast("string")
     picked = docs.select(F.col(id_col), text, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))

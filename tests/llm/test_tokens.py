@@ -196,3 +196,28 @@ def test_odd_rows_through_spark(spark, odd, no_docs):
     encoded = byte_bpe.encode_documents(odd, RANKS, P.PATTERN)
     assert sorted(bytes(r.decoded) for r in byte_bpe.decode_documents(encoded, RANKS, P.PATTERN).collect()) == sorted(t.encode() for _, t in texts)
     assert token_counts.count_tokens(no_docs, PIECES).count() == byte_bpe.round_trip_digests(no_docs, RANKS, P.PATTERN).count() == 0
+
+
+def test_most_maps_have_several_states_and_composition_matters(spark, monkeypatch):
+    """At fixed cuts of ordinary documents, most chunks have more than one state that may come in, and
+    they are not all alike; a scan that takes a wrong one for them counts wrongly."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(400).collect() if r.text]
+    later = [m for t in texts for m in COUNTER.state_maps("▁" + t.replace(" ", "▁"), token_counts.CHUNK_CHARS)[0][1:]]
+    differ = [m for m in later if len({n for _, n in m.values()}) > 1]
+    assert len(later) > 1000 and sum(len(m) > 1 for m in later) > 0.9 * len(later) and len(differ) > 0.3 * len(later)
+    want = [len(x) for x in SP.encode(texts)]
+    assert COUNTER.counts(texts) == want
+    real = token_counts.prefix_scan
+
+    def wrong(of):
+        """As if whatever comes in were the first state of the map."""
+        return real([[{s: next(iter(m.values())) for s in m} for m in maps] for maps in of])
+
+    monkeypatch.setattr(token_counts, "prefix_scan", wrong)
+    assert sum(a != b for a, b in zip(COUNTER.counts(texts), want, strict=True)) > 20
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(TEXT, max_size=6), st.integers(1, 30))
+def test_counts_of_many_texts_at_once(texts, size):
+    assert COUNTER.counts(texts, size) == [len(x) for x in SP.encode(texts)]
