@@ -7,7 +7,8 @@ never seen share the n-gram vectors of those that were. A text is as toxic as it
 a long text a few words would vanish in the average over all of it. Labels are of texts, so
 training first averages whole texts and then goes back and forth between finding each text's worst
 window and learning from those. The score is the softmax of the worst window; its temperature and
-its prior are fitted on texts that training didn't see.
+its prior are fitted on texts that training didn't see: each of several trainings leaves out another
+part of them. Averaging their logits is averaging the models, since all is linear up to the window.
 
 A run without blanks that is longer than WORD_CHARS is split at marks, and what is still longer into
 overlapping pieces; each counts as a word, so that nothing of it is left out or vanishes in it.
@@ -34,24 +35,30 @@ from pyspark.sql import types as T
 from folio.llm._common import slices
 
 #: Words of a window.
-WINDOW = 3
+WINDOW = 2
 #: Characters of a word; longer runs are split, into pieces that begin half as many apart.
 WORD_CHARS = 64
 NGRAMS = (3, 4, 5)
+#: How often the bucket of a whole word counts beside those of its n-grams.
+WHOLE_WEIGHT = 3
 BUCKETS = 1 << 18
 DIM = 8
 #: Most labelled texts of each class, and most bytes of text of all of them, that the fit takes;
 #: they are chosen by a hash of their id.
 MAX_DOCS_PER_CLASS = 3000
 MAX_TRAIN_BYTES = 48 << 20
-EPOCHS = 12
+EPOCHS = 16
 #: Epochs at the start in which a text's average is over all of its words, or over a stretch of so
 #: many at random.
 WHOLE_EPOCHS, WHOLE_WORDS = 1, 4096
 #: Windows at random that each clean text adds to its worst one.
 ANYWHERE = 3
 #: What is left of all weights after each epoch.
-DECAY = 0.6
+DECAY = 0.95
+#: Parts of the texts, each left out of one training; the logits of all trainings are averaged.
+FOLDS = 5
+#: A toxic text that is missed weighs as much as so many clean ones that are rejected, in the choice of the prior.
+MISS_WEIGHT = 3
 #: Rows, and bytes of text, that are scored together.
 SCORED_ROWS, SCORED_BYTES = 4096, 8 << 20
 #: Words whose windows are looked at together, unless one text has more.
@@ -134,7 +141,7 @@ def word_rows(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for some in _parts(words):
         found, begin, whole = ngram_buckets(some)
         of = np.repeat(np.arange(len(some)), np.diff(np.append(begin, len(found[0][0]))))
-        flat, word = np.concatenate([b[v] for b, v in found] + [whole]), np.concatenate([of[v] for _, v in found] + [np.arange(len(some))])
+        flat, word = np.concatenate([b[v] for b, v in found] + [whole] * WHOLE_WEIGHT), np.concatenate([of[v] for _, v in found] + [np.arange(len(some))] * WHOLE_WEIGHT)
         flats.append(flat[np.argsort(word, kind="stable")].astype(np.int32))
         sizes.append(np.bincount(word, minlength=len(some)))
     return np.concatenate(flats), np.cumsum(np.concatenate(sizes))
@@ -145,8 +152,8 @@ def word_means(words: pa.Array, per_bucket: np.ndarray) -> np.ndarray:
     means = [np.zeros(0)]
     for some in _parts(words):
         found, begin, whole = ngram_buckets(some)
-        total = np.add.reduceat(sum(np.where(v, per_bucket[b], 0) for b, v in found).astype(np.float64), begin) + per_bucket[whole]
-        means.append(total / (1 + np.add.reduceat(sum(v.astype(np.int64) for _, v in found), begin)))
+        total = np.add.reduceat(sum(np.where(v, per_bucket[b], 0) for b, v in found).astype(np.float64), begin) + WHOLE_WEIGHT * per_bucket[whole]
+        means.append(total / (WHOLE_WEIGHT + np.add.reduceat(sum(v.astype(np.int64) for _, v in found), begin)))
     return np.concatenate(means)
 
 
@@ -219,23 +226,11 @@ class _Sample:
         return row, self.flat[_ragged(self.at[ids], size)], np.repeat(1 / (size * np.repeat(width, width)), size).astype(np.float32)
 
 
-def fit_model(texts: list[str], toxic: list[int], seed: int = 7, epochs: int = EPOCHS, natural: float | None = None) -> ToxicityModel:
-    """Train on (text, 0/1). Every fifth text is kept back to fit prior and temperature; natural is
-    the share of toxic texts where they come from, by which the two kinds of error are weighed there.
-
-    Without texts of both classes every text is as those that there are, or clean if there are none.
-    """
-    y = np.array(toxic, np.int64)
-    share = float(y.mean()) if len(y) else 0.0
-    if len(set(toxic)) < 2:
-        return ToxicityModel(np.zeros(BUCKETS, np.float32), 1e6 if share else -1e6, 1.0, share)
-    rng, s = np.random.default_rng(seed), _Sample(texts)
+def _trained(s: _Sample, y: np.ndarray, train: np.ndarray, rng: np.random.Generator, epochs: int) -> np.ndarray:
+    """Each bucket's logit after training on some of the texts from a random start."""
     words = np.diff(s.ends)
-    held = np.arange(len(y)) % 5 == 4
-    train = np.flatnonzero((words > 0) & ~held)
     clean = train[y[train] == 0]
     width = np.minimum(words, WINDOW)
-
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     soft, bias = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     emb_sq, soft_sq, bias_sq = np.full(BUCKETS, 1e-6, np.float32), 1e-6, 1e-6
@@ -265,17 +260,40 @@ def fit_model(texts: list[str], toxic: list[int], seed: int = 7, epochs: int = E
             np.subtract.at(emb, buckets, 0.2 * back / np.sqrt(emb_sq[buckets])[:, None])
         emb *= DECAY
         soft *= DECAY
-    logit = (emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
+    return (emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
+
 
-    # Prior and temperature, on the texts kept back: half lies where fewest errors are made, in the
-    # middle of the gap; the temperature is the likeliest one.
-    _, top = worst_windows(s.word_means(logit), s.ends)
-    check = np.flatnonzero(held & (words > 0)) if len(set(y[held & (words > 0)])) == 2 else train
+def fit_model(texts: list[str], toxic: list[int], seed: int = 7, epochs: int = EPOCHS, natural: float | None = None) -> ToxicityModel:
+    """Train on (text, 0/1), FOLDS times, each time without another part of the texts, by which prior
+    and temperature are fitted; natural is the share of toxic texts where they come from, by which the two kinds of error are weighed there.
+
+    Without texts of both classes every text is as those that there are, or clean if there are none.
+    """
+    y = np.array(toxic, np.int64)
+    share = float(y.mean()) if len(y) else 0.0
+    if len(set(toxic)) < 2:
+        return ToxicityModel(np.zeros(BUCKETS, np.float32), 1e6 if share else -1e6, 1.0, share)
+    s = _Sample(texts)
+    words = np.diff(s.ends)
+    fold, some = np.arange(len(y)) % FOLDS, words > 0
+    logits, top = [], np.full(len(y), np.nan)
+    for k in range(FOLDS):
+        seen = np.flatnonzero(some & (fold != k))
+        if len(set(y[seen])) < 2:  # too few texts to leave any out
+            seen = np.flatnonzero(some)
+        logits.append(_trained(s, y, seen, np.random.default_rng(seed + k), epochs))
+        left = fold == k
+        top[left] = worst_windows(s.word_means(logits[-1]), s.ends)[1][left]
+    logit = np.mean(logits, axis=0, dtype=np.float32)
+
+    # Prior and temperature, by what each training makes of the texts that it didn't see: half lies
+    # where fewest errors are made, in the middle of the gap; the temperature is the likeliest one.
+    check = np.flatnonzero(some)
     order = check[np.argsort(top[check], kind="stable")]
     below = np.concatenate(([0], np.cumsum(y[order] == 1)))  # toxic ones called clean
     above = np.concatenate((np.cumsum((y[order] == 0)[::-1])[::-1], [0]))  # clean ones called toxic
     natural = share if natural is None else natural
-    wrong = natural * below / max(1, below[-1]) + (1 - natural) * above / max(1, above[0])
+    wrong = MISS_WEIGHT * natural * below / max(1, below[-1]) + (1 - natural) * above / max(1, above[0])
     best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
     cut = best[len(best) // 2]
     edge = np.concatenate(([top[order[0]] - 1], top[order], [top[order[-1]] + 1]))

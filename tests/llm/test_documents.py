@@ -291,13 +291,13 @@ def plain_toxicity(model, text):
         c = [ord(x) for x in f"<{word}>"]
         buckets = [sum(pow(0x100000001B3, n - 1 - k) * c[i + k] for k in range(n)) + n - 1 for n in (3, 4, 5) for i in range(len(c) - n + 1)]
         whole = sum(mixed(x + (len(c) - i << 32)) for i, x in enumerate(c))
-        found = [mixed(b % 2**64) % toxicity.BUCKETS for b in [*buckets, whole % 2**64]]
+        found = [mixed(b % 2**64) % toxicity.BUCKETS for b in [*buckets, *[whole % 2**64] * toxicity.WHOLE_WEIGHT]]
         return sum(float(model.bucket_logit[b]) for b in found) / len(found)
 
     means = [mean(w) for run in text.lower().split() for w in toxicity.split_run(run)]
     if not means:
         return model.empty
-    worst = max(sum(w) / len(w) for w in (means[i : i + 3] for i in range(max(1, len(means) - 2))))
+    worst = max(sum(w) / len(w) for w in (means[i : i + toxicity.WINDOW] for i in range(max(1, len(means) - toxicity.WINDOW + 1))))
     return 1 / (1 + math.exp(-max(-500, min(500, (worst + model.bias) / model.temperature))))
 
 
@@ -315,6 +315,27 @@ def test_toxicity_on_tables(spark, docs, odd, no_docs):
     assert toxicity.score_toxicity(odd, none).filter("score > 0.001").count() == 0
 
 
+def test_toxicity_is_no_worse_than_a_learned_word_list(spark):
+    """On the held-out fold of sf0.1: words that four or more toxic and no clean training texts have."""
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    rows = table.join(labels, "doc_id").select("text", "toxic", held.alias("held")).collect()
+    edge = toxicity._EDGE
+    bag = lambda t: {w.strip(edge) for w in (t or "").lower().split()}
+    counts = [Counter(w for r in rows if not r.held and r.toxic == c for w in bag(r.text)) for c in (0, 1)]
+    listed = {w for w, n in counts[1].items() if n >= 4 and not counts[0][w]}
+    test = [r for r in rows if r.held]
+    model = toxicity.fit_toxicity(table, labels.filter(~held))
+    scores = model.scores(pa.array([r.text for r in test], pa.string()))
+    wrong = {True: [0, 0], False: [0, 0]}
+    for r, s in zip(test, scores, strict=True):
+        for ours, said in ((True, s >= 0.5), (False, bool(listed & bag(r.text)))):
+            wrong[ours][r.toxic] += said != bool(r.toxic)
+    print("clean and toxic ones taken for the other: model", wrong[True], "list", wrong[False])
+    assert wrong[True][0] <= wrong[False][0] and wrong[True][1] <= wrong[False][1]
+
+
 def test_secrets(spark, docs, odd, no_docs):
     forest = secret_scan.fit_forest()
     held = secret_scan.example_findings(1500, seed=77)
