@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from folio import domain as D
@@ -17,6 +19,41 @@ from folio.sources.history import History
 from folio.sources.store import removed
 
 
+@contextlib.contextmanager
+def reported(spark: SparkSession, progress: Callable[[int, int], None] | None, every: float = 0.5) -> Iterator[None]:
+    """Tell progress(done, known) about the tasks of the jobs that this thread runs meanwhile, when it changes."""
+    if progress is None:
+        yield
+        return
+    context, group, over, seen = spark.sparkContext, uuid.uuid4().hex, threading.Event(), {}
+
+    def tell() -> None:
+        tracker, last = context.statusTracker(), None
+        while True:
+            ended = over.wait(every)
+            for job in tracker.getJobIdsForGroup(group):
+                info = tracker.getJobInfo(job)
+                for stage in info.stageIds if info else ():
+                    if at := tracker.getStageInfo(stage):
+                        seen[stage] = (at.numCompletedTasks, at.numTasks)
+            now = tuple(map(sum, zip(*seen.values(), strict=True))) if seen else (0, 0)
+            if now != last:
+                progress(*now)
+                last = now
+            if ended:
+                return
+
+    context.setJobGroup(group, "analysis")
+    teller = threading.Thread(target=tell, daemon=True)
+    teller.start()
+    try:
+        yield
+    finally:
+        over.set()
+        teller.join()
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
 class Engine:
     """cnn and vlm take items (pos, arquivo, ...) and return records, or raise EngineUnavailable."""
 
@@ -28,18 +65,25 @@ class Engine:
         """Modes, threshold, classes and the number of records kept."""
         return {"modos": list(dict.fromkeys(merge.MODES.values())), "limiar_padrao": D.THRESHOLD, "classes": [{"id": c[0], "cultura": c[2], "diagnostico": c[3], "condicao": c[4]} for c in D.CATALOGUE], "total_historico": self.history.total()}
 
-    def analyse(self, items: DataFrame, mode: str = merge.AUTO, keep: bool = True) -> tuple[DataFrame, list[str]]:
+    def analyse(self, items: DataFrame, mode: str = merge.AUTO, keep: bool = True, progress: Callable[[int, int], None] | None = None) -> tuple[DataFrame, list[str]]:
         """(records, warnings). What an engine answers is written once and read from there by all that
-        follows: no item is asked about twice, and history and caller have the same answers.
+        follows: no item is asked about twice, and history and caller have the same answers. Items
+        without a record are left out; a warning says how many, counted as the records are written.
 
         With keep, records come back from the history, each with its id_historico; a column miniatura
         of the items is kept as their picture, once for all records that show it. Without, what was
-        answered stays in the folder of answers until close()."""
-        records, warnings = merge.analyse(items, lambda i: self._once(self.cnn(i)), lambda i: self._once(self.vlm(i)), mode)
-        if keep:
-            pictures = items.select("pos", "miniatura") if "miniatura" in items.columns else None
-            records, _ = self.history.save_all(records, pictures)
-            self.close()
+        answered stays in the folder of answers until close(). progress is told from time to time how
+        many tasks are done, and of how many that are known so far."""
+        with reported(self.spark, progress):
+            dropped = Observation()
+            merged, warnings = merge.analyse(items, lambda i: self._once(self.cnn(i)), lambda i: self._once(self.vlm(i)), mode, dropped)
+            records = self._once(merged)
+            if n := dropped.get.get("descartados", 0) if items.head(1) else 0:
+                warnings.append(f"{n} items have no record and were left out")
+            if keep:
+                pictures = items.select("pos", "miniatura") if "miniatura" in items.columns else None
+                records, _ = self.history.save_all(records, pictures)
+                self.close()
         return records, warnings
 
     @property

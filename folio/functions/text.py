@@ -18,8 +18,36 @@ def missing_to(value: Column, default: str) -> Column:
     return F.coalesce(F.nullif(value, F.lit("")), F.lit(default))
 
 
+def _scaled(value: Column, places: int) -> Column:
+    """The integer that is nearest to value * 10^places, as a double: the value's exact binary one, ties
+    to even. Exact where that integer has at most 38 bits.
+
+    The value is split into two halves of few bits, whose products with a small power of ten are exact;
+    what their sum loses decides where it looks like a tie."""
+    ten, split = float(10**places), value * 134217729.0
+    high = split - (split - value)
+    a, b = high * ten, (value - high) * ten
+    total = a + b
+    lost = (a - total) + b
+    near = F.rint(total)
+    off = total - near
+    return near + F.when((off == 0.5) & (lost > 0), 1.0).when((off == -0.5) & (lost < 0), -1.0).otherwise(0.0)
+
+
+def rounded(value: Column, places: int) -> Column:
+    """A double rounded to so many decimal places, by its exact binary value, ties to even. Values of
+    2^38 / 10^places and more, infinite ones and those that are no number stay as they are."""
+    small = F.abs(value) < float(2**38 // 10**places)
+    return F.when(small, _scaled(value, places) / float(10**places)).otherwise(value)
+
+
 def percent(share: Column, places: int = 1) -> Column:
-    return F.format_string(f"%.{places}f%%", share * 100)
+    """A share as percent with so many places, by the exact binary value of share * 100, ties to even."""
+    scaled, ten = _scaled(share * 100.0, places), 10**places
+    whole = F.abs(scaled).cast("long")
+    sign = F.when(share.cast("string").startswith("-"), "-").otherwise("")  # of a negative zero, too
+    behind = F.concat(F.lit("."), F.lpad((whole % ten).cast("string"), places, "0")) if places else F.lit("")
+    return F.concat(sign, ((whole - whole % ten) / ten).cast("long").cast("string"), behind, F.lit("%"))
 
 
 def integer_percent(share: Column) -> Column:
@@ -29,7 +57,7 @@ def integer_percent(share: Column) -> Column:
 
 def decimal_comma(value: Column, places: int = 4) -> Column:
     """Rounded number with a decimal comma, without trailing zeros but for one; null gives ""."""
-    text = F.format_string(f"%.{places}f", F.round(value, places))
+    text = F.format_string(f"%.{places}f", rounded(value, places))
     short = F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", ".0")
     return F.when(value.isNull(), "").otherwise(F.replace(short, F.lit("."), F.lit(",")))
 

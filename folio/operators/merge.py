@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from folio import domain as D
@@ -30,31 +30,36 @@ def vlm_targets(items: DataFrame, cnn: DataFrame) -> DataFrame:
     return items.join(sure.select("arquivo"), "arquivo", "left_anti")
 
 
-def merge(items: DataFrame, cnn: DataFrame, vlm: DataFrame, mode: str = AUTO) -> DataFrame:
-    """(pos, ordem, record) in the order of items(pos, arquivo).
+def merge(items: DataFrame, cnn: DataFrame, vlm: DataFrame, mode: str = AUTO, dropped: Observation | None = None) -> DataFrame:
+    """(pos, ordem, record) in the order of items(pos, arquivo). dropped observes, as descartados, how
+    many items had no record, when the result is first computed.
 
     Records are found by name, so items of one name all get its last record. Items without a
     record are left out. In comparison the CNN's record comes first (ordem 0), then the other (1).
     """
     one, two = last_of_name(cnn).withColumnRenamed("r", "c"), last_of_name(vlm).withColumnRenamed("r", "v")
     base = items.select("pos", "arquivo")
+    both = base
+    both = both.join(one, "arquivo", "left") if mode != ONLY_VLM else both.withColumn("c", F.lit(None))
+    both = both.join(two, "arquivo", "left") if mode != ONLY_CNN else both.withColumn("v", F.lit(None))
+    if dropped is not None:
+        both = both.observe(dropped, F.count_if(F.col("c").isNull() & F.col("v").isNull()).alias("descartados"))
     if mode == ONLY_CNN:
-        found = base.join(one, "arquivo").select("pos", "arquivo", F.lit(0).alias("ordem"), F.col("c").alias("r"))
+        found = both.select("pos", "arquivo", F.lit(0).alias("ordem"), F.col("c").alias("r"))
     elif mode == ONLY_VLM:
-        found = base.join(two, "arquivo").select("pos", "arquivo", F.lit(1).alias("ordem"), F.col("v").alias("r"))
+        found = both.select("pos", "arquivo", F.lit(1).alias("ordem"), F.col("v").alias("r"))
+    elif mode == AUTO:
+        found = both.select("pos", "arquivo", F.when(F.col("v").isNotNull(), 1).otherwise(0).alias("ordem"), F.coalesce("v", "c").alias("r"))
+    elif mode == COMPARE:
+        pair = F.array(F.struct(F.lit(0).alias("ordem"), F.col("c").alias("r")), F.struct(F.lit(1).alias("ordem"), F.col("v").alias("r")))
+        found = both.select("pos", "arquivo", F.explode(pair).alias("e")).select("pos", "arquivo", "e.ordem", "e.r")
     else:
-        both = base.join(one, "arquivo", "left").join(two, "arquivo", "left")
-        if mode == AUTO:
-            found = both.select("pos", "arquivo", F.when(F.col("v").isNotNull(), 1).otherwise(0).alias("ordem"), F.coalesce("v", "c").alias("r")).filter("r IS NOT NULL")
-        elif mode == COMPARE:
-            pair = F.filter(F.array(F.struct(F.lit(0).alias("ordem"), F.col("c").alias("r")), F.struct(F.lit(1).alias("ordem"), F.col("v").alias("r"))), lambda x: x["r"].isNotNull())
-            found = both.select("pos", "arquivo", F.explode(pair).alias("e")).select("pos", "arquivo", "e.ordem", "e.r")
-        else:
-            raise ValueError(f"unknown mode {mode!r}")
+        raise ValueError(f"unknown mode {mode!r}")
+    found = found.filter("r IS NOT NULL")
     return found.select("pos", "ordem", "arquivo", *[F.col(f"r.{f}").alias(f) for f in D.RECORD.names if f != "arquivo"])
 
 
-def analyse(items: DataFrame, run_cnn, run_vlm, mode: str = AUTO) -> tuple[DataFrame, list[str]]:
+def analyse(items: DataFrame, run_cnn, run_vlm, mode: str = AUTO, dropped: Observation | None = None) -> tuple[DataFrame, list[str]]:
     """(records, warnings). run_cnn and run_vlm take items and return records, or raise
     EngineUnavailable.
 
@@ -84,7 +89,7 @@ def analyse(items: DataFrame, run_cnn, run_vlm, mode: str = AUTO) -> tuple[DataF
                 if not have_cnn:
                     raise
                 warnings.append(f"vision engine unavailable: {e}")
-    return merge(items, cnn, vlm, mode), warnings
+    return merge(items, cnn, vlm, mode, dropped), warnings
 
 
 def group_by_file(records: DataFrame) -> DataFrame:

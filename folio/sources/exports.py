@@ -23,13 +23,13 @@ def _alternative(place: int) -> tuple[Column, Column]:
     for id_, _, culture, diagnosis, *_ in D.CATALOGUE:
         pairs += [F.lit(id_), F.lit(f"{culture} — {diagnosis}")]
     labels = F.create_map(*pairs)
-    return F.coalesce(F.element_at(labels, entry["id_classe"]), F.lit(D.MISSING)), F.round(entry["confianca"], 4)
+    return F.coalesce(F.element_at(labels, entry["id_classe"]), F.lit(D.MISSING)), text.rounded(entry["confianca"], 4)
 
 
 def export_rows(records: DataFrame) -> DataFrame:
     """The 17 export columns in their order; numbers stay numbers, missing ones null."""
     (label_1, conf_1), (label_2, conf_2) = _alternative(2), _alternative(3)
-    renamed = {"agente_causal": F.col("agente"), "sintomas_observados": F.col("sintomas"), "manejo_recomendado": F.col("manejo"), "confianca": F.round("confianca", 4), "alternativa_1": label_1, "confianca_alternativa_1": conf_1, "alternativa_2": label_2, "confianca_alternativa_2": conf_2}
+    renamed = {"agente_causal": F.col("agente"), "sintomas_observados": F.col("sintomas"), "manejo_recomendado": F.col("manejo"), "confianca": text.rounded(F.col("confianca"), 4), "alternativa_1": label_1, "confianca_alternativa_1": conf_1, "alternativa_2": label_2, "confianca_alternativa_2": conf_2}
     return records.select(*[renamed.get(c, F.col(c)).alias(c) for c in D.EXPORT_COLUMNS])
 
 
