@@ -34,7 +34,7 @@ def _vlm(spark: SparkSession, args: argparse.Namespace):
 
     def run(items):
         if args.modelo or args.motor == "vlm":
-            pictures = images.pictures(images.decoded(spark, args.pasta), images.REQUEST_SIDE)
+            pictures = images.requests(images.decoded(spark, args.pasta))
             items = items.join(pictures.select("arquivo", "imagem"), "arquivo", "left")
         return engine(items)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from folio import domain as D
 from folio.operators import merge
-from folio.sources import exports
+from folio.sources import exports, files, images
 from folio.sources.history import History
 from folio.sources.store import removed
 
@@ -59,7 +59,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, history_path: str, cnn: Callable[[DataFrame], DataFrame], vlm: Callable[[DataFrame], DataFrame]):
         self.spark, self.history, self.cnn, self.vlm = spark, History(spark, history_path), cnn, vlm
-        self._id = uuid.uuid4().hex
+        self._id, self._scratch = uuid.uuid4().hex, []
 
     def state(self) -> dict:
         """Modes, threshold, classes and the number of records kept."""
@@ -86,6 +86,23 @@ class Engine:
                 self.close()
         return records, warnings
 
+    def analyse_uploads(self, contents: dict[str, bytes], mode: str = merge.AUTO, keep: bool = True) -> tuple[DataFrame, list[str]]:
+        """As analyse(), of files in memory by their names. The engines get items (pos, arquivo, imagem,
+        miniatura, and what images.decoded() has); what can't be read is left out with a warning, and
+        ValueError if nothing is left."""
+        good, bad = files.set_aside(files.uploads(self.spark, contents))
+        warnings = [f"{r.arquivo}: {r.motivo}" for r in bad.select("pos", "arquivo", "motivo").orderBy("pos").collect()]
+        decoded, folder = images.decoded_bytes(good)
+        self._scratch.append(folder)
+        broken = decoded.filter("altura <= 0").select("pos", "arquivo").orderBy("pos").collect()
+        warnings += [f"{r.arquivo}: não foi possível ler" for r in broken]
+        if len(warnings) == len(contents):
+            raise ValueError("; ".join(warnings) or "no files")
+        decoded = decoded.filter("altura > 0")
+        items = decoded.join(images.requests(decoded).select("path", "imagem"), "path").join(images.thumbnails(decoded).select("path", "miniatura"), "path")
+        records, more = self.analyse(items, mode, keep)
+        return records, warnings + more
+
     @property
     def _answers(self) -> str:
         return f"{self.history.path}-answers/{self._id}"
@@ -98,6 +115,8 @@ class Engine:
     def close(self) -> None:
         """Remove the answers of batches that were not kept: their records can't be read any more."""
         removed(self._answers)
+        while self._scratch:
+            removed(self._scratch.pop())
 
     def __enter__(self) -> Engine:
         return self

@@ -1,8 +1,7 @@
 """Preparing decoded images for a model, in Arrow batches.
 
 Spark's image source decodes, and doesn't look at how a camera was held: that is read from the files'
-first bytes. Pictures made here (thumbnails, what a remote engine is sent) are PNG, as no JPEG
-encoder is at hand in the workers.
+first bytes. Pictures made here (thumbnails, what a remote engine is sent) are JPEG or PNG.
 """
 
 from __future__ import annotations
@@ -17,9 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.session import scratch_folder
+from folio.sources import jpeg
+from folio.sources.tree import planted
+
 SIDE = 224
 #: Longer sides of a thumbnail, and of what a remote engine is sent.
 THUMBNAIL_SIDE, REQUEST_SIDE = 480, 1024
+#: And their qualities as JPEG.
+THUMBNAIL_QUALITY, REQUEST_QUALITY = 82, 85
 #: Bytes of a file in which its orientation is looked for.
 HEAD_BYTES = 1 << 17
 
@@ -93,9 +98,9 @@ def png(pixels: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
 
 
-def pictures(images: DataFrame, most: int = THUMBNAIL_SIDE, as_text: bool = False) -> DataFrame:
+def pictures(images: DataFrame, most: int = THUMBNAIL_SIDE, as_text: bool = False, quality: int | None = None) -> DataFrame:
     """(path, arquivo, imagem): each decoded image upright, its longer side at most so many pixels, as
-    PNG bytes or as base64 text. Images that could not be decoded have null."""
+    PNG or, with a quality, as JPEG: bytes or base64 text. Images that could not be decoded have null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -108,13 +113,34 @@ def pictures(images: DataFrame, most: int = THUMBNAIL_SIDE, as_text: bool = Fals
                 wide, high = fitted_size(rgb.shape[1], rgb.shape[0], most)
                 if (high, wide) != rgb.shape[:2]:
                     rgb = np.clip(np.rint(resized(rgb, high, wide)), 0, 255).astype(np.uint8)
-                out.append(png(rgb))
+                out.append(png(rgb) if quality is None else jpeg.encoded(rgb, quality))
             made = pa.array([base64.b64encode(x).decode() if x else None for x in out], pa.string()) if as_text else pa.array(out, pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), made], names=["path", "arquivo", "imagem"])
 
     return images.select("path", "arquivo", "largura", "altura", "canais", "dados", "orientacao").mapInArrow(run, f"path string, arquivo string, imagem {'string' if as_text else 'binary'}")
 
 
+def thumbnails(images: DataFrame) -> DataFrame:
+    """(path, arquivo, miniatura): what the history keeps of decoded images."""
+    return pictures(images, THUMBNAIL_SIDE, quality=THUMBNAIL_QUALITY).withColumnRenamed("imagem", "miniatura")
+
+
+def requests(images: DataFrame) -> DataFrame:
+    """(path, arquivo, imagem): what a remote engine is sent of decoded images."""
+    return pictures(images, REQUEST_SIDE, quality=REQUEST_QUALITY)
+
+
+def decoded_bytes(rows: DataFrame) -> tuple[DataFrame, str]:
+    """(as decoded(), with pos; the folder they are read from) of rows(pos, arquivo, content): tasks write
+    the contents to a scratch folder, from where Spark's image source decodes them. The folder may be
+    removed when nothing reads the table any more."""
+    spark = rows.sparkSession
+    folder = scratch_folder(spark, "uploads")
+    planted(rows.select(F.concat(F.col("pos").cast("string"), F.lit(".img")).alias("caminho"), "content"), folder, lambda r: r["content"] or b"")
+    found = decoded(spark, folder).withColumn("pos", F.substring_index("arquivo", ".", 1).cast("long")).drop("arquivo")
+    return found.join(rows.select("pos", "arquivo"), "pos"), folder
+
+
 def _weights(size: int, wanted: int) -> np.ndarray:
     """Triangle filter from size to wanted samples, widened when shrinking so that it averages."""
     scale = size / wanted
