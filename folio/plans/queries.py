@@ -497,7 +497,7 @@ def page_groups(spark, sf):
     return merge.in_rows_of(X.table(spark, sf, "supplier"), "s_nationkey", "s_suppkey").select("s_suppkey", "linha")
 
 
-@query("SELECT n_regionkey, string_agg(n_name || ':' || length(n_name), '|' ORDER BY n_name) || '|auto|0.6' AS assinatura FROM nation GROUP BY n_regionkey")
+@query("SELECT n_regionkey, count(*) || '|' || sum(('0x' || substr(md5(n_name || ':' || length(n_name)), 1, 15))::BIGINT::HUGEINT) || '|auto|0.6' AS assinatura FROM nation GROUP BY n_regionkey")
 def batch_signature(spark, sf):
     return merge.batch_signature(X.table(spark, sf, "nation").withColumn("n", F.length("n_name")), ["n_regionkey"], "auto", 0.6)
 

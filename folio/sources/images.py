@@ -141,18 +141,20 @@ def decoded_bytes(rows: DataFrame) -> tuple[DataFrame, str]:
     return found.join(rows.select("pos", "arquivo"), "pos"), folder
 
 
-def _weights(size: int, wanted: int) -> np.ndarray:
-    """Triangle filter from size to wanted samples, widened when shrinking so that it averages."""
+def _weights(size: int, wanted: int, smooth: bool = True) -> np.ndarray:
+    """Triangle filter from size to wanted samples; smooth: widened when shrinking so that it averages,
+    else always of the two nearest samples."""
     scale = size / wanted
-    reach = max(1.0, scale)
+    reach = max(1.0, scale) if smooth else 1.0
     centre = (np.arange(wanted)[:, None] + 0.5) * scale
     w = np.maximum(0, 1 - np.abs(np.arange(size)[None] + 0.5 - centre) / reach)
     return w / w.sum(1, keepdims=True)
 
 
-def resized(pixels: np.ndarray, height: int = SIDE, width: int = SIDE) -> np.ndarray:
-    """Bilinear resize of height x width x channels to float32, values in the range they had."""
-    rows, columns = _weights(pixels.shape[0], height), _weights(pixels.shape[1], width)
+def resized(pixels: np.ndarray, height: int = SIDE, width: int = SIDE, smooth: bool = True) -> np.ndarray:
+    """Bilinear resize of height x width x channels to float32, values in the range they had. Training
+    pictures are resized without smoothing, those to be diagnosed with it."""
+    rows, columns = _weights(pixels.shape[0], height, smooth), _weights(pixels.shape[1], width, smooth)
     return np.einsum("ih,hwc,jw->ijc", rows, pixels.astype(np.float64), columns, optimize=True).astype(np.float32)
 
 
@@ -162,16 +164,17 @@ def fitted_size(width: int, height: int, most: int) -> tuple[int, int]:
     return max(1, round(width * scale)), max(1, round(height * scale))
 
 
-def model_inputs(images: DataFrame, side: int = SIDE) -> DataFrame:
-    """(path, arquivo, tensor) of decoded images: float32 red, green, blue from 0 to 255, upright, side x
-    side x 3, as bytes. Images that could not be decoded have a null tensor."""
+def model_inputs(images: DataFrame, side: int = SIDE, training: bool = False) -> DataFrame:
+    """(path, arquivo, tensor) of decoded images: float32 red, green, blue from 0 to 255, side x side x 3,
+    as bytes. Images that could not be decoded have a null tensor. For training they are as the camera
+    held them, and resized without smoothing; else upright, with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for w, h, c, data, how in zip(*(b.column(i).to_pylist() for i in range(2, 7)), strict=True):
                 there = h is not None and h > 0 and data
-                out.append(resized(_rgb(h, w, c, data, how), side, side).tobytes() if there else None)
+                out.append(resized(_rgb(h, w, c, data, 1 if training else how), side, side, not training).tobytes() if there else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["path", "arquivo", "tensor"])
 
     return images.select("path", "arquivo", "largura", "altura", "canais", "dados", "orientacao").mapInArrow(run, "path string, arquivo string, tensor binary")

@@ -150,3 +150,15 @@ def test_uploads_are_set_aside_with_a_reason(spark):
     assert [r.arquivo for r in good.orderBy("pos").collect()] == ["a.png", "e.jpg"]
     assert {r.arquivo: r.motivo for r in bad.collect()} == {"b.png": "vazio", "c.gif": "nem PNG nem JPEG", "d.png": "incompleto"}
     assert D.MISSING == "—"
+
+
+def test_training_pictures_are_resized_by_another_filter(spark, tmp_path):
+    steep = np.zeros((64, 64, 3), np.uint8)
+    steep[::4] = 255
+    plain = np.array([[np.interp((k + 0.5) * 64 / 8 - 0.5, np.arange(64), steep[:, 0, 0].astype(float)) for k in range(8)]])
+    assert np.allclose(images.resized(steep, 8, 8, smooth=False)[:, 0, 0], plain) and np.allclose(images.resized(steep, 8, 8)[2:6, 0, 0], 255 / 4, atol=8)
+    assert np.allclose(images.resized(steep[:8, :8], 32, 32), images.resized(steep[:8, :8], 32, 32, smooth=False))  # no difference when enlarging
+    (tmp_path / "a.png").write_bytes(images.png(steep))
+    d = images.decoded(spark, str(tmp_path))
+    a, b = (np.frombuffer(images.model_inputs(d, 8, t).first().tensor, np.float32) for t in (False, True))
+    assert not np.allclose(a, b) and np.allclose(b, images.resized(steep, 8, 8, smooth=False).ravel())
