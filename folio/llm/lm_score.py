@@ -265,13 +265,32 @@ def left_over(of: np.ndarray, keys: np.ndarray, texts: int) -> tuple[list[np.nda
     return np.split(keys[first], cuts), np.split(times, cuts)
 
 
+def _parts_of_contexts(contexts: DataFrame, tasks: int) -> DataFrame:
+    """(of, parts): into how many parts each context goes that has more than a task's share of the rows;
+    there are fewer of them than tasks, so the table may be broadcast."""
+    counts = contexts.groupBy("of").agg(F.count("*").alias("rows"))
+    share = max(1, (counts.agg(F.sum("rows")).first()[0] or 0) // tasks)
+    hot = [(r.of, min(-(-r.rows // share), tasks, 1 << 20)) for r in counts.filter(F.col("rows") > share).collect()]
+    return F.broadcast(contexts.sparkSession.createDataFrame(hot, "of bigint, parts int"))
+
+
 def score_joined(wanted: DataFrame, grams: DataFrame, low: Trie, order: int, tasks: int) -> DataFrame:
     """(row, score): log10 of the probability of wanted(row, gram, times), summed in each row in
-    parts. low has the levels of all grams with less than SPLIT bytes of context."""
+    parts. low has the levels of all grams with less than SPLIT bytes of context.
+
+    Grams meet by the bytes of context that low lacks. Of one such context there are no more than
+    256^3 counted grams, whatever the corpus; what is wanted in it may be any share of all. A context in
+    which more is wanted than a task's share is therefore dealt to several tasks, by gram, and its
+    counted grams go to each of them."""
     split, shared = len(low.levels), wanted.sparkSession.sparkContext.broadcast(low)
     none = F.lit(None).cast("long")
-    both = grams.select("gram", none.alias("row"), "n").unionByName(wanted.select("gram", "row", F.col("times").alias("n")))
-    both = both.withColumn("context", F.shiftrightunsigned("gram", 8).bitwiseAND(int(_mask(split))))
+    context = F.shiftrightunsigned("gram", 8).bitwiseAND(int(_mask(split)))
+    parts = _parts_of_contexts(wanted.select(context.alias("of")), tasks)
+    share = lambda d, part: d.withColumn("of", context).join(parts, "of", "left").withColumn("context", F.shiftleft("of", 20) + part)
+    everywhere = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    counted = share(grams.withColumn("row", none), F.lit(0)).withColumn("part", everywhere).withColumn("context", F.col("context") + F.col("part"))
+    asked = share(wanted.withColumnRenamed("times", "n"), F.pmod(F.xxhash64("gram"), F.coalesce("parts", F.lit(1))))
+    both = counted.select("gram", "row", "n", "context").unionByName(asked.select("gram", "row", "n", "context"))
     dealt = both.repartition(tasks, "context").sortWithinPartitions("context", F.col("row").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -222,6 +222,13 @@ def test_lm_scores(docs, sent):
     assert len(got) == len(texts)
 
 
+def test_contexts_with_much_wanted_are_dealt_to_several_tasks(spark):
+    rows = spark.createDataFrame([(7,)] * 600 + [(k,) for k in range(400)], "of bigint")
+    parts = {r.of: r.parts for r in lm_score._parts_of_contexts(rows, 10).collect()}
+    assert parts == {7: 7}  # 601 rows of 1,000, a task's share is 100
+    assert lm_score._parts_of_contexts(rows.limit(0), 10).count() == 0
+
+
 @pytest.mark.parametrize(("max_grams", "order"), [(0, 5), (2_000, 5), (20_000, 5), (500, 2)])
 def test_lm_scores_do_not_depend_on_what_is_sent(docs, odd, max_grams, order):
     few = docs.filter("doc_id < 300").select("doc_id", "text").union(odd.select("doc_id", "text")).withColumn("h", F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
