@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm._common import slices
+from folio.llm._common import slices, written
 
 #: Characters before and after a candidate that its features see.
 CONTEXT = 48
@@ -41,7 +41,7 @@ MASK = "[SECRET]"
 #: Candidates whose features are in memory at a time.
 SCORED = 4096
 THRESHOLD = 0.5
-#: Words of the documents that the dictionary takes in: the most frequent ones of so many letters.
+#: Words of the documents that the dictionary takes in, at most: the most frequent ones of so many letters.
 MOST_WORDS, WORD_LETTERS = 5000, (4, 12)
 #: Labelled findings that the forest is fitted on, at most; those of the smallest hashes.
 MAX_FINDINGS = 20_000
@@ -412,11 +412,20 @@ def example_findings(n: int = 6000, seed: int = 3, kinds: list[str] | None = Non
 
 def frequent_words(docs: DataFrame, text_col: str = "text") -> frozenset[str]:
     """The most frequent words of all documents, in lower case, and those of DICTIONARY: what covers a
-    candidate. Words are counted where they are before anything is shuffled; the driver gets MOST_WORDS."""
+    candidate. Words are counted where they are before anything is shuffled; the driver gets how many
+    there are by eighths of powers of two of their counts, and then the words above the step at which
+    they would be more than MOST_WORDS."""
     low, high = WORD_LETTERS
     words = docs.select(F.explode(F.split(F.lower(F.col(text_col).cast("string")), r"[^\p{L}]+")).alias("w")).filter(F.length("w").between(low, high))
-    counts = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(MOST_WORDS)
-    return frozenset(DICTIONARY) | {r.w for r in counts.collect()}
+    counts = written(words.groupBy("w").agg(F.count("*").alias("n")), "words")
+    total, least = 0, None
+    for _, rows, n in sorted(counts.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*"), F.min("n")).collect(), reverse=True):
+        total += rows
+        if total > MOST_WORDS:
+            break
+        least = n
+    frequent = [] if least is None else counts.filter(F.col("n") >= least).select("w").collect()
+    return frozenset(DICTIONARY) | {r.w for r in frequent}
 
 
 def fit_forest(findings: list[tuple[str, str, str, int]] | DataFrame | None = None, words: frozenset[str] = frozenset(DICTIONARY)) -> RandomForest:

@@ -502,8 +502,13 @@ def test_bounds_of_candidates():
 def test_the_dictionary_comes_from_the_documents(spark, docs, no_docs):
     words = secret_scan.frequent_words(docs)
     counts = Counter(w for r in docs.collect() for w in re.findall(r"[^\W\d_]+", (r.text or "").lower()) if 4 <= len(w) <= 12)
-    most = sorted(counts, key=lambda w: (-counts[w], w))[: secret_scan.MOST_WORDS]
-    assert len(words & set(most)) >= 0.999 * len(most) and set(secret_scan.DICTIONARY) <= words
+    step = lambda w: math.floor(math.log2(counts[w]) * 8)
+    taken = words - set(secret_scan.DICTIONARY)
+    least = min(step(w) for w in taken)
+    above = {w for w in counts if step(w) >= least}
+    assert set(secret_scan.DICTIONARY) <= words and above <= words and len(above) <= secret_scan.MOST_WORDS
+    below = Counter(step(w) for w in counts if step(w) < least)  # the next step would have been too much
+    assert not below or len(above) + below[max(below)] > secret_scan.MOST_WORDS
     assert secret_scan.frequent_words(no_docs) == frozenset(secret_scan.DICTIONARY)
     assert secret_scan.covered("xxthtionwh9and", frozenset({"thtion", "tion", "and"})) == 9
 
