@@ -222,17 +222,17 @@ def repair(rows: DataFrame) -> DataFrame:
     zeros, no edits and the hash of nothing. An empty table stays empty."""
     key = rows.schema["conv"].dataType.simpleString()
     body = F.btrim("text", F.lit(" \t\n\x0b\f\r"))
-    digest = F.unhex(F.md5(F.concat(F.coalesce(F.col("conv").cast("string"), F.lit("null")), F.lit(":"), F.octet_length("role").cast("string"), F.lit(":"), "role", "text")))
+    digest = F.unhex(F.md5(F.concat(F.octet_length("role").cast("string"), F.lit(":"), "role", "text")))
     seen = rows.withColumn("digest", digest).withColumn("blank", F.length(body) == 0).withColumn("cut", ~F.substring(body, -1, 1).isin(".", "!", "?"))
     # Repeated turns become one row with a number before anything is shuffled.
     turns = seen.filter("copies > 0").groupBy("conv", "turn", "digest", F.substring("role", 1, 1).alias("initial"), "blank", "cut").agg(F.sum("copies").alias("copies"))
     turns = written(turns, "turns")
-    # Where a role and text come first: one small row for each of them, joined by digest.
+    # Where a role and text of a conversation come first: one small row for each of them.
     order = lambda c: F.struct(c.isNotNull().alias("n"), c.alias("turn"))
-    first = turns.groupBy("digest").agg(F.min(order(F.col("turn"))).alias("first"))
+    first = turns.groupBy(F.col("conv").alias("of"), F.col("digest").alias("same")).agg(F.min(order(F.col("turn"))).alias("first"))
     again = F.when(F.col("blank"), 1).otherwise(2)
     fault = F.when(F.col("blank"), 1).when(order(F.col("turn")) != F.col("first"), 2).when(F.col("cut"), 3).otherwise(0)
-    small = turns.join(first, "digest").select("conv", F.lit(_TURN).alias("kind"), "turn", "digest", F.col("initial").alias("role"), F.lit(None).cast("string").alias("text"), fault.cast("int").alias("fault"), again.cast("int").alias("again"), "copies")
+    small = turns.join(first, F.col("conv").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("same"))).select("conv", F.lit(_TURN).alias("kind"), "turn", "digest", F.col("initial").alias("role"), F.lit(None).cast("string").alias("text"), fault.cast("int").alias("fault"), again.cast("int").alias("again"), "copies")
     rest = [F.lit(None).cast(t).alias(n) for n, t in (("fault", "int"), ("again", "int"))]
     gone = rows.filter("copies = 0").select("conv").distinct().select("conv", F.lit(_DROPPED).alias("kind"), F.lit(None).cast("bigint").alias("turn"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"), *rest, F.lit(0).cast("long").alias("copies"))
     # Blank turns are deleted, so that they need no text.

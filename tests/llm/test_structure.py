@@ -62,7 +62,7 @@ def plain_repair(rows):
             how = zlib.crc32(key.encode()) % 20
             text = "" if how == 1 else re.sub(r"[.!?]", "", text) if how == 2 else text
             role = "user" if how == 4 else role
-            digest = hashlib.md5(f"{'null' if c is None else c}:{len(role.encode())}:{role}{text}".encode()).digest()
+            digest = hashlib.md5(f"{len(role.encode())}:{role}{text}".encode()).digest()
             kept += [(turn is not None, turn or 0, digest, turn, role, text)] * (0 if how == 0 else 2 if how == 3 else 1)
         kept.sort(key=lambda r: r[:3])
         seen, judged = set(), []
@@ -105,6 +105,8 @@ def test_repair_of_odd_conversations(spark):
     assert got == plain_repair(rows)
     assert got[dropped] == (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
     assert cr.repair_report(table.limit(0)).count() == 0
+    named = [("null", 1, "user", "A."), (None, 1, "user", "A."), ("x:4", 1, "user", "A."), ("x", 1, "4:us", "erA.")]
+    assert repaired(spark.createDataFrame(named, "conv_id string, turn bigint, role string, text string")) == plain_repair(named)
 
 
 def test_vectors_are_few_and_edits_least():
