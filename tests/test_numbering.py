@@ -21,7 +21,7 @@ def documents(spark, tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["loader_batches", "split_assign", "split_crosstab"])
+@pytest.mark.parametrize("name", ["loader_batches", "split_assign", "split_crosstab", "split_sizes"])
 def test_many_documents(spark, documents, name):
     folder, con = documents
     got = QUERIES[name](spark, folder)
