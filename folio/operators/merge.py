@@ -105,11 +105,13 @@ def summary(records: DataFrame) -> DataFrame:
 
 
 def batch_signature(items: DataFrame, keys: list[str], mode: str, threshold: float, name: str = "n_name", size: str = "n") -> DataFrame:
-    """(keys, assinatura): number of items and the sum of 60-bit digests of their names and sizes, in any
-    order, with mode and threshold: a text by which a change of a batch is told. Only sums are gathered."""
-    digest = F.conv(F.substring(F.md5(F.concat(F.col(name), F.lit(":"), F.col(size).cast("string"))), 1, 15), 16, 10).cast("decimal(38,0)")
-    parts = [F.count("*").cast("string"), F.coalesce(F.sum(digest), F.lit(0)).cast("string"), F.lit(mode), F.lit(str(threshold))]
-    return items.groupBy(*keys).agg(F.concat_ws("|", *parts).alias("assinatura"))
+    """(keys, assinatura): names and sizes of all items of each batch in order of the name, its mode and
+    its threshold as one text, by which a change of the batch is told. Items without a name or size
+    are left out; a batch of no others has none. One task puts a batch's text together."""
+    pair = F.concat(F.col(name), F.lit(":"), F.col(size).cast("string"))
+    packed = items.select(*keys, F.col(name).alias("_name"), F.col(size).alias("_size"), pair.alias("_pair"))
+    joined = F.expr("listagg(_pair, '|') WITHIN GROUP (ORDER BY _name, _size)")
+    return packed.groupBy(*keys).agg(F.concat(joined, F.lit(f"|{mode}|{threshold}")).alias("assinatura"))
 
 
 def in_rows_of(items: DataFrame, batch: str, order: str, width: int = 3) -> DataFrame:

@@ -107,6 +107,14 @@ def test_ambiguous_labels(spark):
         labels.match_labels(names, "nome", "error")
 
 
+def test_signature_holds_every_name_and_size(spark):
+    rows = [(1, "b", 2), (1, "a", 10), (1, "a", 3), (1, "", 0), (1, "a", 3), (1, None, 5), (2, "é|", 7), (3, None, 1), (None, "z", 1)]
+    items = spark.createDataFrame(rows, "lote int, nome string, n bigint").repartition(3)
+    got = {r.lote: r.assinatura for r in merge.batch_signature(items, ["lote"], "auto", 0.6, "nome").collect()}
+    assert got == {1: ":0|a:3|a:3|a:10|b:2|auto|0.6", 2: "é|:7|auto|0.6", 3: None, None: "z:1|auto|0.6"}
+    assert merge.batch_signature(items.limit(0), ["lote"], "auto", 0.6, "nome").collect() == []
+
+
 def test_numbers_have_no_gaps_over_many_ranges(spark):
     d = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(7)
     got = evaluate.numbered(d, ["k"]).collect()
