@@ -30,6 +30,12 @@ def test_many_documents(spark, documents, name):
     assert sorted(map(tuple, got.select(*names).collect()), key=repr) == sorted(want.fetchall(), key=repr)
 
 
+def test_sizes_of_all_documents(spark, documents):
+    """Every document is in a split, also those in Spanish and those without a language."""
+    folder, _ = documents
+    assert QUERIES["split_sizes"](spark, folder).first().asDict() == {"treino": 42_000, "validacao": 9_000, "teste": 9_000}
+
+
 def test_orders_of_several_kinds(spark):
     d = spark.range(0, 50_000, 1, 4).select("id", F.timestamp_micros((F.floor(F.col("id") * 31 % 50_000 / 4) + 1_729_990_000) * 1_000_000).alias("t"), F.concat(F.lit("é"), (F.col("id") % 7).cast("string")).alias("s"), F.when(F.col("id") % 4 == 1, float("nan")).when(F.col("id") % 4 != 2, F.col("id") / 3).alias("x"))
     got = evaluate.numbered(d, ["t", "s", "x"])
